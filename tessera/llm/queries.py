@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, tokens
+from tessera.llm import decontaminate, langid, packing, quality, simhash, substrings, tokens
 from tessera.llm._tables import table
 
 
@@ -18,8 +18,36 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"), window=50)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(docs.doc_id.cast("long").alias("doc_id"), langid.held_out().alias("held_out"), "text")
+    return langid.identify(rows, langid.train_on(docs)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
