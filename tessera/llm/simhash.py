@@ -121,10 +121,14 @@ def _spanning(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[
     return roots, joined[roots]
 
 
-def near_links(classes: DataFrame, radius: int, count: int) -> DataFrame:
-    """Links (a, b) between ids of fingerprint classes (fp, id) that join every two within ``radius`` bits."""
+def near_links(classes: DataFrame, radius: int, count: int, spanning=_spanning, bucket: int = BUCKET, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between ids of fingerprint classes (fp, id) that join every two within ``radius`` bits.
+
+    ``spanning`` finds the links in a shard of about ``shard`` fingerprints, or between two; ``count`` says how many
+    classes there are, and buckets are made to hold about ``bucket`` of them.
+    """
     blocks = radius + 1
-    while count >> (64 * (blocks - radius) // blocks) > BUCKET and blocks < 2 * radius:
+    while count >> (64 * (blocks - radius) // blocks) > bucket and blocks < 2 * radius:
         blocks += 1
     bounds = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
@@ -133,7 +137,7 @@ def near_links(classes: DataFrame, radius: int, count: int) -> DataFrame:
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keyed = classes.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("_table", "_key"))
     sizes = keyed.groupBy("_table", "_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    dealt = keyed.join(sizes, ["_table", "_key"]).withColumn("_shards", F.ceil(F.col("_n") / SHARD).cast("int"))
+    dealt = keyed.join(sizes, ["_table", "_key"]).withColumn("_shards", F.ceil(F.col("_n") / shard).cast("int"))
     dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("fp"), F.col("_shards")).cast("int"))
     shards = dealt.groupBy("_table", "_key", "_shards", "_shard").agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("_rows"))
     within = shards.select("_rows", F.lit(None).cast(shards.schema["_rows"].dataType).alias("_more"))
@@ -151,7 +155,7 @@ def near_links(classes: DataFrame, radius: int, count: int) -> DataFrame:
             parts = [[(np.asarray(r.field("fp")).view(np.uint64), np.asarray(r.field("id"))) if (r := column[i].values) is not None else None for i in range(len(batch))] for column in (batch.column("_rows"), batch.column("_more"))]
             for left, right in zip(*parts, strict=True):
                 ids = left[1] if right is None else np.concatenate([left[1], right[1]])
-                a, b = _spanning(left[0], right and right[0], radius)
+                a, b = spanning(left[0], right and right[0], radius)
                 out_a.append(ids[a])
                 out_b.append(ids[b])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
