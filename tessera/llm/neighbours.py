@@ -32,9 +32,13 @@ STEP, CODES = 2, 256
 
 @dataclass
 class Index:
-    """Coarse centroids, residual codebooks (parts x codes x STEP) and how many lists a query reads."""
+    """Coarse centroids, each list's residual scale, residual codebooks (parts x codes x STEP), and lists that a query reads.
+
+    Residuals are coded in units of their list's scale, so that a dense list is told apart as finely as a wide one.
+    """
 
     centroids: np.ndarray
+    scales: np.ndarray
     books: np.ndarray
     probes: int
 
@@ -46,7 +50,7 @@ class Index:
         return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        rest = self.padded(x - self.centroids[own]).reshape(len(x), -1, STEP)
+        rest = self.padded((x - self.centroids[own]) / self.scales[own, None]).reshape(len(x), -1, STEP)
         return np.stack([_nearest(rest[:, m], book) for m, book in enumerate(self.books)], 1).astype(np.uint8)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
@@ -76,7 +80,10 @@ def fit(sample: np.ndarray, entries: int, k: int, recall: float, seed: int = 11)
     centroids = _kmeans(sample, lists, 12, rng)
     own = _nearest(sample, centroids)
     parts = -(-sample.shape[1] // STEP)
-    rest = np.pad(sample - centroids[own], ((0, 0), (0, parts * STEP - sample.shape[1])))[rng.permutation(len(sample))[:6000]]
+    rest = sample - centroids[own]
+    scales = np.sqrt(np.bincount(own, (rest.astype(np.float64) ** 2).sum(1), lists) / np.maximum(np.bincount(own, minlength=lists), 1)).astype(np.float32)
+    scales[scales < 1e-6] = 1
+    rest = np.pad(rest / scales[own, None], ((0, 0), (0, parts * STEP - sample.shape[1])))[rng.permutation(len(sample))[:6000]]
     books = np.stack([_kmeans(rest[:, m * STEP : (m + 1) * STEP], min(CODES, len(rest)), 8, rng) for m in range(parts)])
     # lists to read: what the sample itself needs
     asked = np.arange(0, len(sample), max(1, len(sample) // 400))
@@ -84,12 +91,12 @@ def fit(sample: np.ndarray, entries: int, k: int, recall: float, seed: int = 11)
     near[np.arange(len(asked)), asked] = -np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
-        return Index(centroids, books, lists)
+        return Index(centroids, scales, books, lists)
     true = own[np.argpartition(-near, k - 1, axis=1)[:, :k]]
     place = np.argsort(np.argsort(-(sample[asked] @ centroids.T), 1, kind="stable"), 1)
     needed = np.sort(np.take_along_axis(place, true, 1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
-    return Index(centroids, books, min(lists, probes + 1))
+    return Index(centroids, scales, books, min(lists, probes + 1))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,7 +112,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return fine.join(F.broadcast(size), F.size("v") == F.col("_size")).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0).cast("float")).alias("v"))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_000, recall: float = 0.98, per_block: int = 60, rerank: int = 160) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_000, recall: float = 0.98, per_block: int = 100, rerank: int = 250) -> DataFrame:
     """The ``k`` nearest found of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
     rows = cut_lineage(valid_vectors(vectors))
     shown = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
@@ -159,9 +166,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
                 codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(cid), -1)
                 for at in range(0, len(qid), QUERIES):
                     q = x[at : at + QUERIES]
-                    score = np.repeat((q @ index.centroids[batch.column("list")[i].as_py()])[:, None], len(cid), 1)
+                    own = batch.column("list")[i].as_py()
+                    score = np.zeros((len(q), len(cid)), np.float32)
                     for m, t in enumerate(index.tables(q)):
                         score += t[:, codes[:, m]]
+                    score = score * index.scales[own] + (q @ index.centroids[own])[:, None]
                     take = min(per_block, len(cid))
                     best = np.argpartition(-score, take - 1, axis=1)[:, :take]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + QUERIES], take)), pa.array(cid[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float64))], ["qid", "cid", "near"])
