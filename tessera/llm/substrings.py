@@ -8,7 +8,8 @@ windows compared one by one, once for the smallest document of each. Source coor
 carry the result back, overlapping spans are merged, and the whole text is read again to drop the words.
 
 Defined results: null and empty texts have no words; a repeat inside one document stays; rows with one id never
-remove from each other; a row with a null id is no source and loses nothing; other columns are ignored.
+remove from each other; a row with a null id (as which the smallest long counts) is no source and loses nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 def _marked(docs: DataFrame, window: int, k: int) -> DataFrame:
     """doc_id, text and ``spans``: (first window, windows) of what an earlier document has too, null if nothing."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     found = arcs(rows, window, k)
     classes = found.groupBy("kmer", "a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last"))
     kmers = classes.groupBy("kmer").agg(F.count("*").alias("_arcs"), F.min("owner").alias("_low"), F.max("last").alias("_high"))
@@ -132,11 +133,11 @@ def _marked(docs: DataFrame, window: int, k: int) -> DataFrame:
     def listed(part: DataFrame) -> DataFrame:
         return part.groupBy("_id", "_text").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
 
-    windows = _open(rows.drop("doc_id").join(listed(spans.where("not whole")), ["_id", "_text"], "left"), window)
-    windows = cut_lineage(windows)
+    windows = _open(rows.join(listed(spans.where("not whole")), ["_id", "_text"], "left"), window)
+    # both reads of the texts, here and below, are of one exchange, which Spark reuses as long as they stand in one plan
     earliest = windows.groupBy("a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").drop("last")
     single = windows.join(earliest, ["a", "b"]).where("_id > owner").select("_id", "_text", "start", F.lit(1).alias("n"))
-    return rows.join(listed(spans.where("whole").select("_id", "_text", "start", "n").union(single)), ["_id", "_text"], "left").select("doc_id", "text", "spans")
+    return rows.join(listed(spans.where("whole").select("_id", "_text", "start", "n").union(single)), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
