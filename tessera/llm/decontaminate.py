@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm._words import LETTER_OR_DIGIT, slices, split, window_minimum
 
 #: Bytes of test texts that one pass holds, about.
 BLOCK_BYTES = 2 << 20
-_STATE = "doc_id long, text string, _spans binary, _items array<string>"
+_STATE = {"__spans": "binary", "__items": "array<string>"}
 
 
 class Index:
@@ -90,11 +91,12 @@ def _blocks(benchmark: DataFrame, window: int, gram: int) -> Iterator[Index]:
         yield Index([tuple(r) for r in own.collect()], window, gram)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, last: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, give: str) -> Iterator[pa.RecordBatch]:
+    """One pass: ``give`` is "state" for the next pass, "digests" for the counts, or "clean" for the rows without a hit."""
     for batch in batches:
         n = len(batch)
-        spans: list[np.ndarray] = [np.frombuffer(x, np.int64).reshape(-1, 2) if x else np.zeros((0, 2), np.int64) for x in batch.column("_spans").to_pylist()]
-        items = [set(x or ()) for x in batch.column("_items").to_pylist()]
+        spans: list[np.ndarray] = [np.frombuffer(x, np.int64).reshape(-1, 2) if x else np.zeros((0, 2), np.int64) for x in batch.column("__spans").to_pylist()]
+        items = [set(x or ()) for x in batch.column("__items").to_pylist()]
         counts, hit = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for a, b, data, bounds in slices(batch.column("text")):
             words = split(data, bounds, LETTER_OR_DIGIT, lower=True)
@@ -111,24 +113,38 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, last: bool) -> Iterat
             covered = np.cumsum(change[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(covered)])
             hit[a:b] = total[words.first[1:]] - total[words.first[:-1]]
-            if not last:
+            if give == "state":
                 for row in np.flatnonzero(hit[a:b]).tolist():
                     own = np.concatenate([[0], covered[words.first[row] : words.first[row + 1]], [0]])
                     spans[a + row] = np.flatnonzero(np.diff(own)).reshape(-1, 2)
-        if not last:
-            state = [batch.column("doc_id"), batch.column("text"), pa.array([x.astype(np.int64).tobytes() for x in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(state, ["doc_id", "text", "_spans", "_items"])
+        own = [c for c in batch.schema.names if c not in _STATE]
+        if give == "clean":
+            yield batch.select(own).filter(pa.array(hit == 0))
+            continue
+        if give == "state":
+            state = [pa.array([x.astype(np.int64).tobytes() for x in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *state], [*own, *_STATE])
             continue
         digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
         out = [batch.column("doc_id"), pa.array(counts), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests), pa.array(hit > 0)]
         yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside a test window), n_items, items_sha256 and contaminated of every row."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("binary").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, give: str, schema: str | StructType) -> DataFrame:
+    rows = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in _STATE.items()})
     indexes = _blocks(benchmark, window, gram)
     index = next(indexes)
     for after in indexes:
-        rows, index = rows.mapInArrow(partial(_scan, index=index, last=False), _STATE), after
-    return rows.mapInArrow(partial(_scan, index=index, last=True), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        rows, index = rows.mapInArrow(partial(_scan, index=index, give="state"), rows.schema), after
+    return rows.mapInArrow(partial(_scan, index=index, give=give), schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside a test window), n_items, items_sha256 and contaminated of every row."""
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _passes(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, gram, "digests", schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """The rows of ``docs``, as they are, in which no test window stands."""
+    return _passes(docs, benchmark, window, gram, "clean", docs.schema)

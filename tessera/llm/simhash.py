@@ -50,14 +50,14 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and the fingerprint (``fp``, a long) of every row."""
+    """doc_id, a hash of the text (``key``) and the fingerprint (``fp``, a long) of every row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(compute, "doc_id long, key long, fp long")
 
 
 class BKTree:
@@ -163,11 +163,28 @@ def near_links(classes: DataFrame, radius: int, count: int, spanning=_spanning,
     return within.where(F.size("_rows") > 1).union(across).mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable over links)."""
+def _members(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     found = cut_lineage(fingerprints(docs, shingle))
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null")
-    classes = cut_lineage(classes)
+    classes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
     groups = connected_components(near_links(classes, radius, classes.count()))
     members = classes.join(groups, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return found.join(members, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(members, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable over links)."""
+    return _members(docs, radius, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each group: of the smallest id and, of rows with that id, the smallest hash of the text.
+
+    Rows without an id stay only if no row with an id is in their group; then one of each fingerprint does.
+    """
+    no_id = F.lit(-(1 << 63))
+    members = _members(docs, radius, shingle).where("component_id is null or doc_id = component_id")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    kept = members.groupBy(group.alias("_group")).agg(F.coalesce(F.min("doc_id"), no_id).alias("__id"), F.min("key").alias("__key")).drop("_group")
+    # a row without an id and a row with the smallest long would meet here; no such id is handed out
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__key": F.xxhash64("text")})
+    return keyed.join(kept.hint("shuffle_hash"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
