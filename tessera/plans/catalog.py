@@ -1,10 +1,544 @@
-"""Every query of the library by name, with the SQL that checks it."""
+"""Every query of the library by name, with the SQL that checks it.
+
+Each query runs over whole tables and returns scalar columns; ties are broken by explicit keys.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import dice, facts, rules, scoring, similarity, text, tracks
+from tessera.operators import builds, html, index, merge, places, ranking, segment, vocabulary
+from tessera.streaming import insanity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL where there is some."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: SQL that turns a part into an effect sentence; Spark and DuckDB read it alike.
+EFFECT = """case p_size % 10
+  when 0 then concat('Gain ', cast(p_size % 4 + 1 as string), ' green dice when attacking.')
+  when 1 then 'You may gain a green dice while attacking a target in your space.'
+  when 2 then concat('Gain ', cast(p_size % 4 + 1 as string), ' black dice instead.')
+  when 3 then concat('Count ', cast(p_size % 4 + 1 as string), ' elder sign (any) as success.')
+  when 4 then 'You may count any number of elder signs as 2 successes.'
+  when 5 then concat('Perform ', cast(p_size % 4 + 1 as string), ' free attack per turn.')
+  when 6 then concat('Heal ', cast(p_size % 4 + 1 as string), ' wounds and ', cast(p_size % 3 + 1 as string), ' stress at the end of turn.')
+  when 7 then concat('Reroll ', cast(p_size % 4 + 1 as string), ' dice when attacked.')
+  when 8 then concat('Reduce wounds taken by ', cast(p_size % 4 + 1 as string), '. Gain 1 free reroll.')
+  else concat('Gain ', cast(p_size % 4 + 1 as string), ' additional green dice; heal ', cast(p_size % 3 + 1 as string), ' stress.')
+end"""
+
+
+def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.expr(EFFECT).alias("effect"))
+
+
+# ---- documents: quality, cleaning, extraction
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: len(w) > 3)"
+
+
+@query(f"""
+with d as (select lang, text, doc_id in (select doc_id from (select doc_id, unnest({_WORDS}) as w from documents) group by doc_id, w having count(*) > 3) as rep from documents)
+select lang, count(*) as docs, sum(regexp_matches(text, '[A-Z]{{5,}}')::int)::bigint as capitals, sum(regexp_matches(text, '\\s{{3,}}')::int)::bigint as spaces,
+  sum((len(text) > 20 and not regexp_matches(text, '[.!?]$'))::int)::bigint as unfinished, sum((len(text) < 20)::int)::bigint as short, sum(rep::int)::bigint as repeated
+from d group by lang""")
+def doc_quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", scoring.description_issues(F.col("text")).alias("issues"))
+    n = lambda issue: F.count_if(F.array_contains("issues", issue))
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"), n("capitals").alias("capitals"), n("whitespace").alias("spaces"), n("unfinished").alias("unfinished"), n("short").alias("short"), n("repeated").alias("repeated"))
+
+
+def _literal_sql(column: str) -> str:
+    for a, b in rules.LITERAL_CORRECTIONS:
+        column = "replace({}, '{}', '{}')".format(column, a.replace("'", "''"), b.replace("'", "''"))
+    return column
+
+
+@query(f"select doc_id, md5(trim(regexp_replace({_literal_sql('text')}, '\\s+', ' ', 'g'))) as cleaned from documents")
+def clean_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.whitespace(rules.literal(F.col("text"))).cast("binary")).alias("cleaned"))
+
+
+@query("""
+with a as (select doc_id, regexp_replace(regexp_replace(text, '\\s*[|]\\s*', ' ', 'g'), '\\s*[~]\\s*', ' ', 'g') as t from documents)
+select doc_id, md5(regexp_replace(t, '[^0-9A-Za-z_\\s.,;:!?\\-()\\[\\]/]', '', 'g')) as stripped from a""")
+def artifact_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.artifacts(F.col("text"), keep_symbols=False).cast("binary")).alias("stripped"))
+
+
+def _clean_sql() -> str:
+    steps = [("[●○◉🟢🟩]", "green dice"), ("(?i)green\\s*dice", "green dice"), ("[■□⬛⬜]", "black dice"), ("(?i)black\\s*dice", "black dice"), ("🌀", "red swirl"), ("(?i)red\\s*swirl", "red swirl"), ("(?i)sanity\\s*threshold", "red swirl"), ("(?i)insanity\\s*threshold", "red swirl"), ("(?i)red\\s*sanity\\s*marker", "red swirl")]
+    out = _literal_sql("text")
+    for a, b in steps:
+        out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
+    out = f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+    out = f"regexp_replace(regexp_replace({out}, '\\s*[|]\\s*', ' ', 'g'), '\\s*[~]\\s*', ' ', 'g')"
+    return f"trim(regexp_replace({out}, '[^0-9A-Za-z_\\s.,;:!?\\-()\\[\\]/●○◉🌀■□⬛⬜]', '', 'g'))"
+
+
+@query(f"select doc_id, md5({_clean_sql()}) as cleaned from documents")
+def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned"))
+
+
+@query("""
+select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]\\s+'), lambda s: regexp_replace(trim(s), '[.!?]+$', '')), lambda s: trim(s) <> ''))::bigint as sentences from documents""")
+def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query("""
+select conv_id, turn, role, len(regexp_extract_all(text, '(\\d+)', 1))::bigint as numbers, coalesce(list_sum(list_transform(regexp_extract_all(text, '(\\d+)', 1), lambda s: try_cast(s as bigint))), 0)::bigint as total from conversations""")
+def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.integers(F.col("text"))
+    total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("long")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.size(found).cast("long").alias("numbers"), total.alias("total"))
+
+
+@query("select p_partkey, " + ", ".join(f"regexp_matches(lower(effect), '{'|'.join(w)}') as {k}" for k, w in rules.KEY_PHRASES.items()) + f" from (select p_partkey, {EFFECT} as effect from part)")
+def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects(spark, sf_dir).select("p_partkey", *[c.alias(k) for k, c in text.phrase_flags(F.col("effect")).items()])
+
+
+@query("select role, score, count(*) as turns from (select role, least(" + " + ".join(f"case when contains(lower(text), '{w}') then {p} else 0 end" for w, p in scoring.MECHANICS.items()) + " + least(len(regexp_extract_all(lower(text), '(\\b\\d+\\b)', 1)) * 5, 15), 100)::int as score from conversations) group by role, score")
+def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "conversations").select("role", scoring.mechanics_score(F.col("text")).cast("int").alias("score"))
+    return scored.groupBy("role", "score").agg(F.count("*").alias("turns"))
+
+
+@query("select doc_id, (strpos(lower(text), 'the') > 0 and strpos(lower(text), 'and') > 0 and abs(strpos(lower(text), 'the') - strpos(lower(text), 'and')) < 50) as near from documents")
+def proximity_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.near(F.col("text"), "the", "and").alias("near"))
+
+
+@query()
+def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-references, which DuckDB's expressions do not have."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.collapse_repeats(F.col("text")).alias("collapsed"))
+
+
+@query("""
+select doc_id, len(text) < 5 as too_short, len(text) > 500 as long_text, regexp_matches(text, '[|]{2,}') as bars, regexp_matches(text, '[^0-9A-Za-z_\\s.,;:!?\\-()\\[\\]/]{3,}') as odd from documents""")
+def description_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = scoring.validity_issues(F.col("text"))
+    has = lambda x: F.array_contains(issues, x)
+    return table(spark, sf_dir, "documents").select("doc_id", has("too short").alias("too_short"), has("long").alias("long_text"), has("bars").alias("bars"), has("characters").alias("odd"))
+
+
+# ---- effects: facts, dice, builds, tracks
+
+
+def _number_sql(patterns: list[str], column: str = "effect") -> str:
+    return "coalesce(" + ", ".join(f"try_cast(nullif(regexp_extract({column}, '(?i){p}', 1), '') as int)" for p in patterns) + ", 0)"
+
+
+_GREEN_SQL = f"case when regexp_matches(effect, '(?i)gain\\s+a\\s+green\\s+dice') then 1 else {_number_sql(facts.dice_patterns('green'))} end"
+_BLACK_SQL = _number_sql(facts.dice_patterns("black"))
+_ANY_SQL = f"regexp_matches(effect, '(?i){facts.ANY_CONVERSION}')"
+_CONVERSION_SQL = f"case when {_number_sql(facts.CONVERSIONS)} > 0 then {_number_sql(facts.CONVERSIONS)} when {_ANY_SQL} then 999 else 0 end"
+_FACTOR_SQL = f"case when {_number_sql(facts.CONVERSIONS)} = 0 and {_ANY_SQL} and regexp_matches(effect, '(?i)as\\s+2\\s+success') then 2 else 1 end"
+
+
+@query(f"""
+select p_partkey, ({_GREEN_SQL})::int as green, ({_BLACK_SQL})::int as black, ({_CONVERSION_SQL})::int as conversion, ({_FACTOR_SQL})::int as factor, ({_number_sql(facts.ACTIONS)})::int as actions,
+  'attack' as action_kind,
+  coalesce(try_cast(nullif(regexp_extract(effect, '(?i)reroll\\s+(\\d+)\\s+(?:die|dice)', 1), '') as int), try_cast(nullif(regexp_extract(effect, '(?i)(\\d+)\\s+(?:free\\s+)?reroll', 1), '') as int), 0) as rerolls,
+  case when regexp_matches(effect, '(?i)reroll\\s+\\d+\\s+(?:die|dice)') then 'standard' when regexp_matches(effect, '(?i)\\d+\\s+(?:free\\s+)?reroll') then 'free' end as reroll_kind,
+  {_number_sql(['heal\\s+(\\d+)\\s+wounds?'])} as wounds_healed,
+  coalesce(try_cast(nullif(regexp_extract(effect, '(?i)heal\\s+(\\d+)\\s+wound.*?(\\d+)\\s+stress', 2), '') as int), try_cast(nullif(regexp_extract(effect, '(?i)heal\\s+(\\d+)\\s+stress', 1), '') as int), 0) as stress_healed,
+  {_number_sql(['reduce\\s+wounds?\\s+(?:taken\\s+)?by\\s+(\\d+)'])} as wound_reduction, 0 as sanity_reduction
+from (select p_partkey, {EFFECT} as effect from part)""")
+def effect_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects(spark, sf_dir).select("p_partkey", *facts.all_facts(F.col("effect")))
+
+
+@query(f"""
+with f as (select p_partkey, ({_GREEN_SQL}) as g, ({_BLACK_SQL}) as b, ({_CONVERSION_SQL}) as c, ({_FACTOR_SQL}) as k from (select p_partkey, {EFFECT} as effect from part)),
+s as (select *, (3 + b) / 6.0::double + g * 0.5::double as signs from f),
+e as (select *, (3 + b + g) * 0.5::double + case when c >= 999 then signs * k else least(signs, c::double) * k end as enhanced from s)
+select p_partkey, round(enhanced, 6) as enhanced, round(enhanced - 1.5, 6) as increase, round((enhanced - 1.5) / 1.5 * 100, 6) as percent, (b + g)::int as max_increase, round((3 + b) * 0.5::double, 6) as risk, (enhanced - 1.5) / 1.5 * 100 > 10 as significant from e""")
+def effect_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("effect")
+    found = effects(spark, sf_dir).select("p_partkey", facts.green_dice(e).alias("g"), facts.black_dice(e).alias("b"), facts.conversion(e).alias("c"), facts.conversion_factor(e).alias("k"))
+    out = found.select("p_partkey", *dice.impact(F.col("g"), F.col("b"), F.col("c"), F.col("k")))
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("enhanced", "increase", "percent")], F.col("max_increase").cast("int"), F.round("risk", 6).alias("risk"), "significant")
+
+
+@query("""
+with r as (select p_partkey, p_size % 6 as b, p_size % 5 as g from part)
+select p_partkey, (b + g)::int as dice, (b + g)::int as max_successes, round((b + g) * 0.5::double, 6) as expected_successes, round(1 - pow(0.5::double, b) * pow(0.5::double, g), 6) as any_success,
+  round(b * 0.5::double, 6) as expected_tentacles, round(1 - pow(0.5::double, b), 6) as any_tentacle, round(b / 6.0::double + g * 0.5::double, 6) as expected_elder_signs, round(1 - pow(5.0::double / 6, b) * pow(0.5::double, g), 6) as any_elder_sign from r""")
+def roll_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", *dice.roll(F.expr("p_size % 6"), F.expr("p_size % 5")))
+    return rows.select("p_partkey", *[(F.round(c, 6) if t == "double" else F.col(c).cast("int")).alias(c) for c, t in rows.dtypes[1:]])
+
+
+@query("""
+select * from (values ('black', 'success', 0.5::double), ('black', 'tentacle', 0.333333::double), ('black', 'elder_sign', 0.166667::double), ('black', 'blank', 0.166667::double), ('black', 'success+tentacle', 0.166667::double),
+  ('green', 'success', 0.5::double), ('green', 'elder_sign', 0.333333::double), ('green', 'blank', 0.333333::double), ('green', 'elder_sign+success', 0.166667::double)) t(die, symbol, p)""")
+def face_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dice.histogram(dice.faces(spark)).select("die", "symbol", F.round("p", 6).alias("p"))
+
+
+_PICK = """
+with picked as (select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as place from lineitem),
+e as (select l_orderkey, place, p_size, {effect} as effect from picked join part on l_partkey = p_partkey where place < 2)"""
+
+
+def _pair_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    first = builds.first_two(lines, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
+    e = F.col("effect")
+    return first.join(effects(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "place", "p_size", facts.green_dice(e).alias("green"), facts.black_dice(e).alias("black"), facts.rerolls(e).alias("rerolls"), facts.wounds_healed(e).alias("wounds"), facts.stress_healed(e).alias("stress"),
+        F.contains(F.lower(e), F.lit("instead")).alias("replaces"), F.nullif(facts.conversion(e), F.lit(0)).alias("conversion"),
+    )
+
+
+_REROLL_SQL = "coalesce(try_cast(nullif(regexp_extract(effect, '(?i)reroll\\s+(\\d+)\\s+(?:die|dice)', 1), '') as int), try_cast(nullif(regexp_extract(effect, '(?i)(\\d+)\\s+(?:free\\s+)?reroll', 1), '') as int), 0)"
+_WOUND_SQL = _number_sql(["heal\\s+(\\d+)\\s+wounds?"])
+_STRESS_SQL = "coalesce(try_cast(nullif(regexp_extract(effect, '(?i)heal\\s+(\\d+)\\s+wound.*?(\\d+)\\s+stress', 2), '') as int), try_cast(nullif(regexp_extract(effect, '(?i)heal\\s+(\\d+)\\s+stress', 1), '') as int), 0)"
+_TOTALS = f"""{_PICK.format(effect=EFFECT)},
+f as (select l_orderkey, contains(lower(effect), 'instead') as r, {_GREEN_SQL} as g, {_BLACK_SQL} as b, {_REROLL_SQL} as rr, {_WOUND_SQL} as w, {_STRESS_SQL} as s from e),
+t as (select l_orderkey, coalesce(sum(g) filter (not r), 0)::bigint as green, 3 + coalesce(sum(b) filter (not r), 0)::bigint as black, coalesce(sum(rr) filter (not r), 0)::bigint as rerolls, coalesce(sum(w) filter (not r), 0)::bigint as wounds_active,
+  coalesce(sum(s) filter (not r), 0)::bigint as stress_active, sum(w)::bigint as wounds_listed, sum(s)::bigint as stress_listed from f group by l_orderkey)"""
+
+
+@query(f"{_TOTALS} select * from t")
+def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.totals(_pair_effects(spark, sf_dir), "l_orderkey")
+
+
+@query(f"""{_PICK.format(effect=EFFECT)},
+c as (select l_orderkey, place, p_size, nullif({_CONVERSION_SQL}, 0) as conversion from e)
+select l_orderkey, conversion::int as conversion from c where conversion is not null qualify row_number() over (partition by l_orderkey order by p_size desc, place) = 1""")
+def conversion_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.conversion_pick(_pair_effects(spark, sf_dir), "l_orderkey", "conversion", "p_size", "place")
+
+
+@query(f"""{_TOTALS},
+s as (select *, (black + green) * 0.5::double + black / 6.0::double + green * 0.5::double as successes, black * 0.5::double as tentacles from t),
+p as (select case when successes > 2.5 and tentacles < 1 then 'offensive' when wounds_listed > 0 or stress_listed > 0 then 'defensive' when rerolls > 0 then 'utility' else 'balanced' end as playstyle,
+  concat_ws(', ', case when successes > 2 then 'High success rate' end, case when tentacles < 1 then 'Low tentacle risk' end, case when green > 0 then 'Green dice bonuses (safer rolls)' end, case when wounds_listed > 0 then 'Wound healing' end,
+  case when stress_listed > 0 then 'Stress healing' end, case when rerolls > 0 then 'Reroll capabilities' end, case when black + green > 0 then 'Elder sign conversion' end) as strengths from s)
+select playstyle, strengths, count(*) as builds from p group by all""")
+def playstyles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = builds.totals(_pair_effects(spark, sf_dir), "l_orderkey")
+    signs = dice.expected(F.col("black"), F.col("green"), "elder_sign")
+    t = t.withColumn("successes", dice.expected(F.col("black"), F.col("green"), "success") + signs).withColumn("tentacles", dice.expected(F.col("black"), F.col("green"), "tentacle")).withColumn("signs", signs)
+    c = [F.col(x) for x in ("successes", "tentacles", "wounds_listed", "stress_listed", "rerolls")]
+    strong = tracks.strengths(c[0], c[1], F.col("green"), c[2], c[3], c[4], F.col("signs"))
+    return t.groupBy(tracks.playstyle(*c).alias("playstyle"), F.array_join(strong, ", ").alias("strengths")).agg(F.count("*").alias("builds"))
+
+
+@query("""
+with r as (select user_id, (event_id % 22)::int as slot, (event_id % 5)::int as n from events),
+s as (select *, case when slot < 5 then 5 when slot < 9 then 9 when slot < 13 then 13 when slot < 16 then 16 when slot < 19 then 19 when slot < 20 then 20 end as nxt,
+  (slot >= 5)::int + (slot >= 9)::int + (slot >= 13)::int + (slot >= 16)::int + (slot >= 19)::int + (slot >= 20)::int as swirls, (slot >= 9)::int + (slot >= 16)::int + (slot >= 19)::int + (slot >= 20)::int as bonus from r)
+select slot, n, slot >= 21 as dead, greatest(0, 21 - slot)::int as until_death, swirls::int as swirls, (6 - swirls)::int as levels_left, bonus::int as bonus_dice, nxt as next_swirl, nxt - slot as until_swirl, least(slot + n, coalesce(nxt, 21), 21)::int as after, count(*) as events from s group by all""")
+def track_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 22).cast("int").alias("slot"), (F.col("event_id") % 5).cast("int").alias("n"))
+    groups = rows.groupBy("slot", "n").agg(F.count("*").alias("events"))
+    return groups.select("slot", "n", *tracks.insanity_columns(F.col("slot")), tracks.advance(F.col("slot"), F.col("n")).alias("after"), "events")
+
+
+@query("""
+with recursive e as (select user_id, (event_id % 7 = 0)::int as n, row_number() over (partition by user_id order by ts, event_id) as k from events),
+f(user_id, k, slot) as (
+  select distinct user_id, 0::bigint, 0 from e union all
+  select e.user_id, e.k, least(f.slot + n, case when f.slot < 5 then 5 when f.slot < 9 then 9 when f.slot < 13 then 13 when f.slot < 16 then 16 when f.slot < 19 then 19 when f.slot < 20 then 20 else 21 end, 21) from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+select user_id, arg_max(slot, k)::int as insanity from f group by user_id""")
+def track_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 7 == 0).cast("int").alias("n"))
+    return insanity.final_insanity(rows, "user_id", "ts", "event_id", "n")
+
+
+@query("""select p_partkey, case when a + b > 3 then trunc(a * (3.0::double / (a + b)))::int else a end as health, case when a + b > 3 then trunc(b * (3.0::double / (a + b)))::int else b end as stress from (select p_partkey, (p_size % 7)::int as a, (p_size % 4)::int as b from part)""")
+def rest_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    health, stress = tracks.rest(F.expr("cast(p_size % 7 as int)"), F.expr("cast(p_size % 4 as int)"))
+    return table(spark, sf_dir, "part").select("p_partkey", health.alias("health"), stress.alias("stress"))
+
+
+# ---- indexes and search
+
+
+@query("select source as key, array_to_string(list_sort(list(distinct doc_id)), ',') as ids, count(distinct doc_id) as n from documents where source <> '' group by source")
+def inv_index_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.inverted_index(table(spark, sf_dir, "documents"), F.col("source"), "doc_id").select("key", F.array_join("ids", ",").alias("ids"), "n")
+
+
+@query("select p_brand as key, md5(array_to_string(list_sort(list(distinct p_partkey)), ',')) as ids, count(distinct p_partkey) as n from part where p_brand <> '' group by p_brand")
+def inv_index_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.inverted_index(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey").select("key", F.md5(F.array_join("ids", ",").cast("binary")).alias("ids"), "n")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    where = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return table(spark, sf_dir, "customer").join(where, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+_FACETS = {"region": "r_name", "nation": "n_name", "segment": "c_mktsegment", "name": "c_name"}
+_FACET_SQL = " union all ".join(f"select '{k}' as facet, {v} as key, c_custkey as id from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey" for k, v in _FACETS.items())
+
+
+@query(f"select facet, key, count(distinct id) as n from ({_FACET_SQL}) where key <> '' and facet <> 'name' group by facet, key")
+def facet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.facet_counts(_customers(spark, sf_dir), {k: F.col(v) for k, v in _FACETS.items() if k != "name"}, "c_custkey")
+
+
+@query(f"with h as (select distinct id from ({_FACET_SQL}) where contains(lower(key), 'au')) select c_mktsegment, count(*) as n from customer where c_custkey in (select id from h) group by c_mktsegment")
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facets = index.facets(_customers(spark, sf_dir), {k: F.col(v) for k, v in _FACETS.items()}, "c_custkey")
+    return index.grouped_hits(index.substring_search(facets, " AU "), table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey")
+
+
+@query("select s_suppkey, count(distinct p_brand) as brands from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by s_suppkey having count(distinct p_brand) > 1")
+def multi_trait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s_suppkey"), "p_brand").distinct()
+    links = links.join(table(spark, sf_dir, "supplier"), "s_suppkey", "left_semi")
+    return index.both_ways(links, "s_suppkey", "p_brand")[0].where("n > 1").withColumnRenamed("n", "brands")
+
+
+@query("select p_brand, count(distinct l_suppkey) as suppliers from lineitem join part on l_partkey = p_partkey group by p_brand")
+def trait_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return index.both_ways(links, "l_suppkey", "p_brand")[1].withColumnRenamed("n", "suppliers")
+
+
+# ---- completeness, scores, arg-max
+
+
+@query("""
+with m as (select n_regionkey, c_custkey, c_acctbal > 0 as data, exists (select 1 from orders where o_custkey = c_custkey) as audio, c_mktsegment = 'BUILDING' as images from customer join nation on c_nationkey = n_nationkey)
+select n_regionkey, count(*) as members, round((sum(data::int) * 0.4 + sum(audio::int) * 0.3 + sum(images::int) * 0.3)::double / count(*), 2) as completeness, bool_and(data) as all_data from m group by n_regionkey""")
+def season_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("audio", F.lit(1))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(ordered, "c_custkey", "left")
+    n = lambda c: F.count_if(c)
+    counted = rows.groupBy("n_regionkey").agg(F.count("*").alias("members"), n(F.col("c_acctbal") > 0).alias("d"), n(F.col("audio") == 1).alias("a"), n(F.col("c_mktsegment") == "BUILDING").alias("i"))
+    return counted.select("n_regionkey", "members", scoring.season_completeness(F.col("d"), F.col("a"), F.col("i"), F.col("members")).alias("completeness"), (F.col("d") == F.col("members")).alias("all_data"))
+
+
+@query("""
+select d.doc_id, round(least(((case when coalesce(lang, '') <> '' then 1.0 else 0 end) + (case when coalesce(text, '') <> '' then 1.0 else 0 end) + (case when coalesce(source, '') <> '' then 0.5 else 0 end) + (case when quality is not null then 1.0 else 0 end)
+  + (case when toxic = 1 then 0.5 else 0 end))::double / 10, 1), 6) as completeness from documents d left join labels l using (doc_id)""")
+def entity_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    flags = {"name": scoring.present(F.col("lang")), "story": scoring.present(F.col("text")), "place": scoring.present(F.col("source")), "audio": F.col("quality").isNotNull(), "motto": F.coalesce(F.col("toxic") == 1, F.lit(False))}
+    return rows.select("doc_id", F.round(scoring.weighted_presence(flags), 6).alias("completeness"))
+
+
+@query("""
+with s as (select d.doc_id, greatest(0.0::double, 100 - (case when coalesce(lang, '') in ('', 'Unknown') then 20 else 0 end) - (case when coalesce(source, '') = '' then 15 else 0 end) - (case when l.doc_id is null then 15 else 0 end) - (case when coalesce(text, '') = '' then 20 else 0 end)
+  - (case when quality is null then 15 when quality = 0 then 10 else 0 end) - (case when n_chars % 4 = 0 then 15 when n_chars % 4 <> 2 then 10 else 0 end) - (case when len(text) < 20 then 15 else 0 end)) as score from documents d left join labels l using (doc_id))
+select doc_id, score, row_number() over (order by score desc, doc_id) as rank from s qualify rank <= 100""")
+def parse_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    score = scoring.parse_score(F.col("lang"), F.col("source"), F.col("quality").cast("string"), F.col("text"), F.col("quality").isNotNull(), F.coalesce(F.col("quality") == 1, F.lit(False)), F.col("n_chars") % 4, (F.length("text") < 20).cast("int"))
+    scored = rows.select("doc_id", score.alias("score"))
+    return ranking.ranked(scored, [F.desc("score"), F.asc("doc_id")], top=100).select("doc_id", "score", F.col("rank").cast("long"))
+
+
+@query("""
+with l as (select year(l_shipdate)::int as y, l_returnflag, sum(l_quantity) as quantity, round(sum(l_extendedprice), 2) as price, count(*)::double as lines from lineitem group by all),
+u as (select y, l_returnflag, 'quantity' as category, quantity as score from l union all select y, l_returnflag, 'price', price from l union all select y, l_returnflag, 'lines', lines from l)
+select y, category, l_returnflag, score from u qualify row_number() over (partition by y, category order by score desc, l_returnflag desc) = 1""")
+def best_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("y"), "l_returnflag").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("*").cast("double").alias("lines"))
+    long = sums.withColumn("order", -F.ascii("l_returnflag")).unpivot(["y", "l_returnflag", "order"], ["quantity", "price", "lines"], "category", "score")
+    return ranking.best_per_group(long, ["y", "category"], F.col("score"), "order", ["l_returnflag"]).select("y", "category", "l_returnflag", F.col("metric").alias("score"))
+
+
+@query()
+def similarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratcliff-Obershelp and indel ratios of each benchmark item's first two sentences; SQL has neither."""
+    s = text.sentences(F.col("text"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.get(s, F.lit(0)).alias("a"), F.coalesce(F.get(s, F.lit(1)), F.get(s, F.lit(0))).alias("b"))
+    return rows.select("item_id", F.round(similarity.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(similarity.indel(F.col("a"), F.col("b")), 6).alias("indel"), F.round(similarity.indel(F.col("a"), F.col("b"), "token_sort"), 6).alias("token_sort"))
+
+
+# ---- merging, matching, places
+
+
+@query("""
+with n as (select doc_id, case when doc_id % 2 = 0 then text || '!' else '' end as text, 'new' as source from documents where doc_id % 3 <> 0)
+select d.doc_id, md5(case when coalesce(len(nullif(n.text, '')), 0) > len(d.text) then n.text else d.text end) as text, coalesce(nullif(d.source, ''), n.source) as source from documents d left join n using (doc_id)""")
+def merge_prefer_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    new = docs.where(F.col("doc_id") % 3 != 0).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise("").alias("text"), F.lit("new").alias("source"))
+    return merge.merge(docs, new, "doc_id", prefer_old=["source"], prefer_longer=["text"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "source")
+
+
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)")
+def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return merge.missing(table(spark, sf_dir, "customer"), known, "c_custkey").select("c_custkey", "c_name")
+
+
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query(f"""
+with t as (select p_partkey, {_TOKENS.format('p_name')} as a, {_TOKENS.format('p_type')} as b from part)
+select p_partkey, len(list_intersect(a, b))::int as common, len(list_filter(a, lambda x: not list_contains(b, x)))::int as missing, len(list_filter(b, lambda x: not list_contains(a, x)))::int as extra from t""")
+def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", *merge.set_difference(F.col("p_name"), F.col("p_type")))
+
+
+_FIGURES = ["green metal", "tin", "steel", "promo", "brass"]
+
+
+@query("select p_partkey, case " + " ".join(f"when contains(lower(trim(p_type)), '{f}') or (len(trim(p_type)) > 4 and contains('{f}', lower(trim(p_type)))) then '{f}'" for f in _FIGURES) + " end as figure from part")
+def ordered_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", vocabulary.ordered_match(F.col("p_type"), _FIGURES).alias("figure"))
+
+
+_PLACE = "case c_custkey % 4 when 0 then concat(c_name, ', ', c_mktsegment, ', ', n_name) when 1 then concat(c_name, ', ', c_mktsegment) when 2 then concat(c_name, ', ', n_name) else 'UNKNOWN' end"
+
+
+@query(f"""
+with p as (select c_custkey, {_PLACE} as place from customer join nation on c_nationkey = n_nationkey), s as (select c_custkey, case when upper(trim(place)) <> 'UNKNOWN' then list_transform(string_split(place, ','), lambda x: trim(x)) end as w from p)
+select c_custkey, case when len(w) in (2, 3) then w[1] end as city, case when len(w) = 3 or (len(w) = 2 and upper(w[2]) in ('BUILDING', 'MACHINERY')) then w[2] end as division,
+  case when len(w) = 3 then w[3] when len(w) = 2 and upper(w[2]) in ('BUILDING', 'MACHINERY') then 'USA' when len(w) = 2 then w[2] end as country from s""")
+def place_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.expr(_PLACE).alias("place"))
+    states = spark.createDataFrame([("Building", "USA"), ("Machinery", "USA")], "state string, country string")
+    return places.parse(rows, "place", states).select("c_custkey", "city", "division", "country")
+
+
+_TYPES = ["STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"]
+
+
+@query()
+def fuzzy_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of three ratios against a vocabulary; SQL has none of them."""
+    return vocabulary.fuzzy(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", _TYPES).select("p_partkey", "match", F.round("score", 6).alias("score"))
+
+
+@query("""with v(seq, entry) as (values (0, 'STANDARD'), (1, 'SMALL'), (2, 'MEDIUM'), (3, 'LARGE'), (4, 'ECONOMY'), (5, 'PROMO')), t as (select distinct p_type from part),
+d as (select p_type, entry, levenshtein(lower(p_type), lower(entry))::int as distance, seq from t, v), b as (select p_type, entry, distance from d qualify row_number() over (partition by p_type order by distance, seq) = 1)
+select p_partkey, entry, distance from part join b using (p_type)""")
+def edit_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.lower("p_type")
+    best = F.array_min(F.array(*[F.struct(F.levenshtein(word, F.lit(v.lower())).alias("distance"), F.lit(i), F.lit(v).alias("entry")) for i, v in enumerate(_TYPES)]))
+    return table(spark, sf_dir, "part").select("p_partkey", best["entry"].alias("entry"), best["distance"].alias("distance"))
+
+
+# ---- pages and conversations
+
+
+@query("select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from pages")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("select page_id, len(regexp_extract_all(html, '(?i)href=\"([^\"]*)\"', 1))::bigint as links from pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("links"))
+
+
+@query("""
+with l as (select page_id, unnest(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) as u, generate_subscripts(regexp_extract_all(html, '(?i)href="([^"]*)"', 1), 1) - 1 as pos from pages)
+select page_id, regexp_replace(u, '#.*$', '') as url, min(pos)::int as pos from l where regexp_replace(u, '#.*$', '') <> '' group by all""")
+def link_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.distinct_links(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+_BLOCK = "regexp_extract_all(html, '(?is)(<(?:h[1-6]|p)\\b[^>]*>.*?</(?:h[1-6]|p)>)', 1)"
+
+
+@query(f"""
+with b as (select page_id, unnest({_BLOCK}) as raw, (generate_subscripts({_BLOCK}, 1) - 1)::int as pos from pages),
+c as (select page_id, pos, lower(regexp_extract(raw, '(?i)^<(h[1-6]|p)', 1)) as tag, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as content from b),
+h as (select *, last_value(case when tag <> 'p' then content end ignore nulls) over (partition by page_id order by pos) as heading from c)
+select page_id, pos, heading, content from h where tag = 'p'""")
+def heading_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.under_headings(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("""
+select conv_id, turn, last_value(case when role = 'user' then len(text) end ignore nulls) over (partition by conv_id order by turn rows between 5 preceding and 1 preceding)::int as user_before,
+  coalesce(sum((len(text) > 200)::int) over (partition by conv_id order by turn rows between 1 following and 3 following), 0)::bigint as long_after from conversations""")
+def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    before = segment.nearest_before(rows, "conv_id", F.when(F.col("role") == "user", F.length("text")), "turn", reach=5)
+    return rows.select("conv_id", "turn", before.alias("user_before"), segment.count_after("conv_id", F.length("text") > 200, "turn").alias("long_after"))
+
+
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as pos from documents),
+n as (select *, lead(line) over (partition by doc_id order by pos) as after from l)
+select doc_id, pos, trim(line) || ' ' || trim(after) as phrase from n where len(trim(line)) between 1 and 60 and len(trim(after)) between 1 and 60""")
+def adjacent_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = segment.lines(table(spark, sf_dir, "documents"), "doc_id")
+    return lines.withColumn("phrase", segment.adjacent_phrase("doc_id", "line", 60)).where("phrase is not null").select("doc_id", "pos", "phrase")
+
+
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as pos from documents),
+s as (select *, sum((len(line) < 80)::int) over (partition by doc_id order by pos) as section from l)
+select doc_id, section::bigint as section, count(*) as lines, sum(len(line))::bigint as chars from s group by all""")
+def level_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.sections(segment.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.length("line") < 80)
+    return rows.groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
+
+
+@query("select user_id, count(*) as n, count(distinct event_type) as kinds, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen from events group by user_id")
+def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by all")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return insanity.windowed_counts(rows, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("""
+with w as (select l_returnflag, l_linestatus, sum(l_quantity) as quantity, count(*) as n from lineitem group by rollup (l_returnflag, l_linestatus))
+select coalesce(l_returnflag, '*') as flag, coalesce(l_linestatus, '*') as status, quantity, n from w""")
+def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
+    return rolled.select(F.coalesce("l_returnflag", F.lit("*")).alias("flag"), F.coalesce("l_linestatus", F.lit("*")).alias("status"), "quantity", "n")
+
+
+@query("""
+with w as (select role, lower(trim(text)) as k, conv_id, turn, text from conversations)
+select conv_id, turn, md5(text) as text from w qualify row_number() over (partition by k order by conv_id, turn) = 1""")
+def distinct_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case-insensitive distinct that keeps the first spelling, as an aggregate that is combined before the shuffle."""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.lower(F.trim("text")).alias("_k")).agg(F.min_by(F.struct("conv_id", "turn", "text"), F.struct("conv_id", "turn")).alias("_first"))
+    return rows.select("_first.conv_id", "_first.turn", F.md5(F.col("_first.text").cast("binary")).alias("text"))
+
+
+@query("""
+with r as (select o_custkey, o_orderkey, o_totalprice from orders)
+select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from r qualify rank <= 3""")
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return ranking.ranked(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], ["o_custkey"], top=3).withColumn("rank", F.col("rank").cast("long"))
+
+
