@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dice, facts, rules, scoring, similarity, text, tracks
+from tessera.functions import cards, dice, facts, rules, scoring, similarity, text, tracks
 from tessera.operators import builds, html, index, merge, places, ranking, segment, vocabulary
 from tessera.streaming import insanity
 
@@ -542,3 +542,51 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], ["o_custkey"], top=3).withColumn("rank", F.col("rank").cast("long"))
 
 
+
+
+# ---- cards: stories, rewrites and consistency
+
+
+def _paragraph_sql() -> str:
+    common = ", ".join(f"'{w}'" for w in cards.STORY_COMMON)
+    story = " + ".join(f"contains(lower(p), '{w}')::int" for w in cards.STORY_WORDS)
+    return f"""
+with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as p, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as pos from documents)
+select doc_id, pos, (case when len(p) <= 80 or (regexp_matches(p, '[A-Z]') and not regexp_matches(p, '[a-z]')) then -1000
+  else len(p) + len(regexp_split_to_array(lower(p), '\\s+')) * 5 - (len(p) - len(regexp_replace(p, '[@#$%^&*|~`]', '', 'g'))) * 5 + len(list_filter(regexp_split_to_array(lower(p), '\\s+'), lambda w: w in ({common}))) * 3
+  + ({story}) * 10 - case when regexp_matches(upper(p), '{'|'.join(cards.RULE_WORDS)}') then 100 else 0 end end)::int as score from l"""
+
+
+@query(_paragraph_sql())
+def paragraph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.lines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "pos", cards.paragraph_score(F.col("line")).cast("int").alias("score"))
+
+
+@query(f"""
+with e as (select p_partkey, {EFFECT} as effect, p_type from part), f as (select p_partkey, lower(effect) as d, lower(p_type) as t, {_GREEN_SQL} as g, {_BLACK_SQL} as b from e)
+select p_partkey, concat_ws(',', case when contains(d, 'green dice') and g = 0 and not regexp_matches(d, 'when|while') then 'green dice' end, case when contains(d, 'black dice') and b = 0 and not regexp_matches(d, 'when|while') then 'black dice' end,
+  case when regexp_matches(d, 'elder sign|arcane') and regexp_matches(d, 'success|succeed') and contains(d, 'count') and not regexp_matches(t, 'elder sign|arcane|success|succeed') then 'conversion' end,
+  case when contains(d, 'free') and regexp_matches(d, 'attack|action') and not regexp_matches(t, 'attack|action') then 'free action' end) as issues from f""")
+def consistency_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("effect")
+    issues = cards.consistency_issues(e, F.col("p_type"), facts.green_dice(e), facts.black_dice(e))
+    return effects(spark, sf_dir).select("p_partkey", F.array_join(issues, ",").alias("issues"))
+
+
+@query()
+def narrative_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that repeat earlier ones go: a fold over the sentences of a text, which SQL expresses only recursively."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cards.unique_sentences(F.col("text")).alias("fixed"))
+
+
+@query()
+def domain_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words near to spellings of domain terms, by a ratio that SQL does not have."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cards.domain_rewrite(F.col("text")).alias("rewritten"))
+
+
+@query()
+def card_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, motto and story of each document, read as a card's front."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", cards.name_line(t).alias("name"), cards.motto(t).alias("motto"), F.length(cards.story(t)).alias("story_chars"))

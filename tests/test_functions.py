@@ -157,3 +157,73 @@ def test_totals(spark):
     rows = [(1, 2, 0, 1, 1, 0, False), (1, 5, 1, 0, 2, 3, True)]
     got = builds.totals(spark.createDataFrame(rows, "e int, green int, black int, rerolls int, wounds int, stress int, replaces boolean"), "e").first()
     assert (got.green, got.black, got.rerolls, got.wounds_active, got.wounds_listed, got.stress_listed) == (2, 3, 1, 1, 3, 3)
+
+
+def test_cards(spark):
+    from tessera.functions import cards
+
+    assert one(spark, cards.name_line, "5 LORD ADAM\nsome text\nMISS BEL\nLORDS") == "LORD ADAM"
+    assert one(spark, cards.name_line, "nothing here") is None
+    assert one(spark, cards.motto, 'NAME\n"Shoot first, ask never."') == "Shoot first, ask never."
+    assert one(spark, cards.motto, "NAME\nShoot first and\nask questions never") == "Shoot first and ask questions never"
+    assert one(spark, cards.motto, "NAME\nxyz") is None
+    long = "It was the most curious of warnings, and his fellow investigators battled the cults for decades without rest."
+    assert one(spark, cards.story, "SHORT\n\n" + long + "\n\nYOUR TURN") == long
+    assert one(spark, cards.story, "short") is None
+    assert one(spark, cards.unique_sentences, "The cat sat down. A dog ran off! the cat sat down.") == "The cat sat down. A dog ran off!"
+    assert one(spark, cards.domain_rewrite, "You goin attakk, but attack") == "You goin attack, but attack"
+    assert one(spark, cards.domain_rewrite, None) is None
+    issues = lambda d, e: spark.createDataFrame([(d, e)], "d string, e string").select(cards.consistency_issues(F.col("d"), F.col("e"), F.lit(0), F.lit(0)).alias("r")).first()["r"]
+    assert issues("Roll green dice; perform 1 free attack", "none") == ["green dice", "free action"]
+    assert issues("Roll green dice when hit", "") == []
+
+
+def test_sources(spark, tmp_path):
+    import json
+
+    from tessera.operators.index import facets, substring_search
+    from tessera.sources import entities, rule_files, sinks
+
+    def put(path, value):
+        path.parent.mkdir(parents=True)
+        path.write_text(json.dumps(value) if not isinstance(value, str) else value)
+
+    put(tmp_path / "in/s1/characters/ann/character.json", {"id": "ann", "name": "Ann", "location": {"original": "Oslo, Norway", "parsed": {"city": "Oslo"}}, "common_powers": ["A", "B"], "special_power": {"name": "P", "levels": [{"level": 1, "description": "d"}]}})
+    put(tmp_path / "in/s2/bob/character.json", {"name": "Bob", "location": "Rome", "common_powers": 7, "special_power": "Q"})
+    put(tmp_path / "in/s2/eve/character.json", "{broken")
+    got = {r.id: r for r in entities.read_entities(spark, f"{tmp_path}/in/*/characters/*/*.json", f"{tmp_path}/in/*/[be]*/*.json").collect()}
+    assert (got["ann"].season, got["ann"].place.parsed.city, got["ann"].common_powers, got["ann"].special_power["levels"][0].level) == ("s1", "Oslo", ["A", "B"], 1)
+    assert (got["bob"].season, got["bob"].place.original, got["bob"].common_powers, got["bob"].special_power.name) == ("s2", "Rome", [], "Q")
+    assert got["eve"]._corrupt_record is not None
+    df = entities.named(entities.read_entities(spark, f"{tmp_path}/in/*/characters/*/*.json"))
+    assert [(r.season, r.character_count) for r in sinks.season_documents(df).collect()] == [("s1", 1)]
+    index = facets(df, {"name": F.col("name"), "city": F.col("place.parsed.city")}, "id")
+    sinks.write_postings(index, f"{tmp_path}/index")
+    assert [r.id for r in substring_search(spark.read.parquet(f"{tmp_path}/index"), " OSL").collect()] == ["ann"]
+    assert substring_search(index, "  ").collect() == []
+    assert rule_files.ordered_rules(tmp_path / "none.toml") == []
+    (tmp_path / "r.toml").write_text('[a.b]\n"x" = "y"\n"w" = "z"\n')
+    assert rule_files.ordered_rules(tmp_path / "r.toml", "a", "b") == [("x", "y"), ("w", "z")]
+    (tmp_path / "r.json").write_text(json.dumps({"corrections": {"a": "1", "bbb": "2", "cc": "3"}, "priority": ["cc"]}))
+    assert rule_files.prioritised_rules(tmp_path / "r.json") == [("cc", "3"), ("bbb", "2"), ("a", "1")]
+    before = spark.createDataFrame([(1, "a")], "k int, v string")
+    after = spark.createDataFrame([(1, "b")], "k int, v string")
+    assert sorted(tuple(r) for r in sinks.rewrite(before, after, f"{tmp_path}/new", dry_run=True).collect()) == [(1, "a", "-"), (1, "b", "+")]
+    assert not (tmp_path / "new").exists()
+
+
+def test_stream(spark, tmp_path):
+    from tessera.streaming.insanity import stream_insanity, windowed_counts
+
+    schema = "k long, ts timestamp, i long, n int"
+    rows = [(k, f"2024-01-01 0{i}:00:00", i, i % 3 + k) for k in range(2) for i in range(6)]
+    spark.createDataFrame(rows, "k long, ts string, i long, n int").selectExpr("k", "cast(ts as timestamp) ts", "i", "n").write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    query = stream_insanity(source, "k", "ts", "i", "n").writeStream.format("memory").queryName("slots").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.k: (r.insanity, r.events) for r in spark.table("slots").collect()}
+    want = {}
+    for k, _, _, n in rows:
+        want[k] = _step(want.get(k, 0), n)
+    assert got == {k: (v, 6) for k, v in want.items()}
+    assert windowed_counts(spark.read.parquet(f"{tmp_path}/in"), "ts", "k").count() == 12
