@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
@@ -21,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of at most ``BATCH_ROWS`` rows, so that texts of some MB do not add up to the memory of a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the files."""
     context = df.sparkSession.sparkContext

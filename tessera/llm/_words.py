@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, 4 * SLICE_BYTES), base, np.uint64)
+            steps = np.full(n + max(n // 4, SLICE_BYTES // 2), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)
     return _powers[0], _powers[1]

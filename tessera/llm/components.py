@@ -20,17 +20,19 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = links.columns
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
-    edges, before = cut_lineage(edges), None
     for _ in range(rounds):
-        mark = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("high", "low"), F.lit(1 << 40)))).first()
-        if mark == before or not mark[0]:
+        edges = cut_lineage(edges)
+        both = edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
+        ends = both.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(both.select("v", F.lit(0), F.lit(1)))
+        # stars are left when every node is either a centre or hangs on one centre alone
+        loose = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.max("down").alias("down")).where("ups > 1 or (ups > 0 and down > 0)")
+        if loose.isEmpty():
             return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select("low", "low").distinct())
-        before = mark
-        both = edges.select(F.col("high").alias("u"), F.col("low").alias("v")).union(edges.select("low", "high"))
+        both = both.union(both.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every smaller neighbour, and the node itself, now goes to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("high"), F.col("m").alias("low")).union(least.select("u", "m")).distinct()
-        edges = cut_lineage(small)
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("high"), F.col("m").alias("low")).union(least.select("u", "m"))
+        edges = small.distinct()
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.llm._tables import map_batches
 from tessera.llm._words import LETTER_OR_DIGIT, slices, split, window_minimum
 
 #: Bytes of test texts that one pass holds, about.
@@ -135,8 +136,8 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, give:
     indexes = _blocks(benchmark, window, gram)
     index = next(indexes)
     for after in indexes:
-        rows, index = rows.mapInArrow(partial(_scan, index=index, give="state"), rows.schema), after
-    return rows.mapInArrow(partial(_scan, index=index, give=give), schema)
+        rows, index = rows.transform(map_batches, partial(_scan, index=index, give="state"), rows.schema), after
+    return rows.transform(map_batches, partial(_scan, index=index, give=give), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._tables import map_batches
 from tessera.llm._words import slices
 
 #: Hash buckets of n-grams.
@@ -74,7 +75,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
-    return rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").transform(map_batches, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def codewords(classes: int, seed: int = 7) -> np.ndarray:
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     schema = StructType([rows.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
-    return rows.select(kept).mapInArrow(predict, schema)
+    return rows.select(kept).transform(map_batches, predict, schema)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2):

@@ -4,6 +4,8 @@ Only DataFrame functions: texts are normalised (lower case, anything but a-z, 0-
 text if it has several lines) and into sets of word bigrams. A unit of n bigrams can only reach a coefficient t with templates of
 n * t / (2 - t) to n * (2 - t) / t bigrams, so templates are listed by the unit sizes that they allow and joined on the size; what is
 broadcast is that list, which the templates alone bound. Each unit keeps its best template; nothing is shuffled.
+A match shares at least t / (2 - t) of its template's bigrams, so a text can be passed over if it holds none of a few
+``anchors``, words that stand in more of each template's bigrams than a match can do without.
 
 Defined results: null and empty texts, and units of fewer than two words, match nothing; of equally good templates the first in
 the table wins; repeated rows each give their rows; other columns are ignored.
@@ -12,6 +14,8 @@ the table wins; repeated rows each give their rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +60,31 @@ def _normalised(text: Column) -> Column:
 
 def _bigrams(unit: Column) -> Column:
     """Distinct word bigrams of normalised text; empty for fewer than two words."""
-    words = F.split(F.trim(unit), " ")
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return _pairs(F.split(F.trim(unit), " "))
+
+
+def _pairs(words: Column) -> Column:
+    less = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
+    """Words of which every text that reaches ``least`` with some template holds one at least.
+
+    Of each template the words, those already taken first and long ones before short ones, that cover most of its
+    bigrams, until fewer bigrams are left than a match has to share.
+    """
+    taken: list[str] = []
+    for _, wording in templates:
+        words = re.sub("[^a-z0-9]+", " ", wording.lower()).split()
+        left = set(zip(words, words[1:], strict=False))
+        shared = len(left) * least / (2 - least) - 1e-9
+        while left and len(left) >= shared:
+            gain = {w: sum(w in pair for pair in left) for w in words}
+            best = max(gain, key=lambda w: (gain[w] > 0 and w in taken, min(len(w), 7) if gain[w] else 0, gain[w], w))
+            left = {pair for pair in left if best not in pair}
+            taken += [best] * (best not in taken)
+    return taken
 
 
 def _by_size(docs: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
@@ -74,11 +101,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     templates = TEMPLATES if templates is None else templates
     if not math.isfinite(least) or not 0 < least <= 1:
         raise ValueError("least is over 0 and at most 1")
-    text = docs.select(F.col("doc_id").cast("long"), _normalised(F.col("text")).alias("text")).where("text is not null")
+    low = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).where("text is not null")
+    some = reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in anchors(templates, least)], F.lit(False))
+    text = low.where(some).select("doc_id", _normalised(F.col("text")).alias("text"))
     whole = F.when(F.contains("text", F.lit("\n")), F.array(F.regexp_replace("text", " ?\n[ \n]*", " "))).otherwise(F.array())
     # the whole text comes first, as line -1, where there is one
     units = text.select("doc_id", F.size(whole).alias("more"), F.posexplode(F.concat(whole, F.split("text", "\n"))).alias("at", "unit"))
-    sized = units.select("doc_id", (F.col("at") - F.col("more")).alias("line"), _bigrams(F.col("unit")).alias("bigrams"))
+    words = units.select("doc_id", (F.col("at") - F.col("more")).alias("line"), F.split(F.trim("unit"), " ").alias("words"))
+    sized = words.select("doc_id", "line", _pairs(F.col("words")).alias("bigrams"))
     met = sized.join(F.broadcast(_by_size(docs, templates, least)), F.size("bigrams") == F.col("size"))
     dice = F.transform("candidates", lambda c: F.struct((F.lit(2.0) * F.size(F.array_intersect(c["bigrams"], F.col("bigrams"))) / (F.size(c["bigrams"]) + F.col("size"))).alias("dice"), (-c["place"]).alias("order"), c["licence"].alias("licence")))
     best = met.select("doc_id", "line", F.array_max(dice).alias("best"))

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication (op7).
 
 Lines are normalised (ASCII lower case, white space to single spaces); those of at least ``least_words`` words take part.
-Equal normalised lines are one class. Classes get a SimHash of their words and meet on pigeonhole blocks: fingerprints
+Equal normalised lines are one class. Classes get a SimHash of their words, weighted by length, and meet on pigeonhole blocks: fingerprints
 of at most ``radius`` differing bits agree on a block. Those candidates form groups; within a group the lines'
 texts are compared, in shards of bounded size, and two lines link if their fingerprints are that near and
 their edit similarity, 1 - Levenshtein distance / longer length, is ``similarity`` or more. Of each connected group the
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from tessera.llm._tables import cut_lineage
+from tessera.llm._tables import cut_lineage, map_batches
 from tessera.llm._words import NOT_SPACE, Words, mix, slices, split
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import near_links
@@ -37,24 +37,27 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _simhashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """SimHash of the words of each line; bits are counted in 16-bit lanes, four to a number."""
+    """SimHash of the words of each line, each weighing its length (15 at most), so that short common words decide little.
+
+    Bits are counted in 16-bit lanes, four to a number.
+    """
     out = np.zeros(len(first), np.uint64)
     if not len(first):
         return out
-    h = mix(words.hash ^ np.uint64(0xA4093822299F31D0))
-    bounds = np.stack([first, np.minimum(last, len(h))], 1).ravel()
-    h = np.append(h, np.uint64(0))
-    half = (last - first) // 2
+    h = np.append(mix(words.hash ^ np.uint64(0xA4093822299F31D0)), np.uint64(0))
+    weight = np.append(np.minimum(words.end - words.start, 15).astype(np.uint64), np.uint64(0))
+    bounds = np.stack([first, last], 1).ravel()
+    total = np.add.reduceat(weight, bounds)[::2]
     for k in range(16):
-        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0001000100010001), bounds)[::2]
+        lanes = np.add.reduceat(((h >> np.uint64(k)) & np.uint64(0x0001000100010001)) * weight, bounds)[::2]
         for lane in range(4):
             count = (lanes >> np.uint64(16 * lane)) & np.uint64(0xFFFF)
-            out |= (count > half.astype(np.uint64)).astype(np.uint64) << np.uint64(16 * lane + k)
-    for i in np.flatnonzero(last - first > 0xFFFF).tolist():  # a lane would overflow
-        own, total = h[first[i] : last[i]], 0
+            out |= (count * np.uint64(2) > total).astype(np.uint64) << np.uint64(16 * lane + k)
+    for i in np.flatnonzero(total > 0xFFFF).tolist():  # a lane would overflow
+        own, w, fp = h[first[i] : last[i]], weight[first[i] : last[i]], 0
         for bit in range(64):
-            total |= int(((own >> np.uint64(bit)) & np.uint64(1)).sum() > half[i]) << bit
-        out[i] = total
+            fp |= int((((own >> np.uint64(bit)) & np.uint64(1)) * w).sum() * 2 > total[i]) << bit
+        out[i] = fp
     return out
 
 
@@ -89,7 +92,7 @@ def occurrences(rows: DataFrame, least_words: int) -> DataFrame:
                 cells = [pa.array(a), pa.array(b), pa.array(_simhashes(words, first, last).view(np.int64)), raw]
                 yield pa.RecordBatch.from_arrays(cells, ["a", "b", "fp", "id"])
 
-    return rows.where(F.col("_id") != _NO_ID).select("_id", "_key", "text").mapInArrow(scan, "a long, b long, fp long, id binary")
+    return rows.where(F.col("_id") != _NO_ID).select("_id", "_key", "text").transform(map_batches, scan, "a long, b long, fp long, id binary")
 
 
 def _part(at: int, size: int) -> Column:
@@ -119,17 +122,39 @@ def _dense(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return moved, labels[moved]
 
 
-def similar(a: str, b: str, least: float) -> bool:
-    """Whether 1 - Levenshtein(a, b) / max length is ``least`` or more, exactly."""
-    allowed = int(max(len(a), len(b)) * (1 - least) + 1e-9)
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    for _ in range(2):  # drop what they share in front, then, turned round, behind
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """What is left of both without what they share in front and behind."""
+    for _ in range(2):
         lo, hi = 0, min(len(a), len(b))
         while lo < hi:
             mid = (lo + hi + 1) // 2
             lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
         a, b = a[lo:][::-1], b[lo:][::-1]
+    return a, b
+
+
+def _bound(a: str, b: str, allowed: int) -> int:
+    """A number that their Levenshtein distance does not exceed: edits between a few pieces that both have."""
+    a, b = _trimmed(a, b)
+    most = max(len(a), len(b))
+    if most <= allowed // 4 or min(len(a), len(b)) < 16:
+        return most
+    for at in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
+        piece = a[at : at + 10]
+        to = b.find(piece, max(0, at - allowed))
+        if 0 <= to <= at + allowed:
+            return _bound(a[:at], b[:to], allowed) + _bound(a[at + len(piece) :], b[to + len(piece) :], allowed)
+    return most
+
+
+def similar(a: str, b: str, least: float) -> bool:
+    """Whether 1 - Levenshtein(a, b) / max length is ``least`` or more, exactly."""
+    allowed = int(max(len(a), len(b)) * (1 - least) + 1e-9)
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    a, b = _trimmed(a, b)
+    if len(a) > allowed < len(b) and _bound(a, b, allowed) <= allowed:
+        return True
     if len(a) > len(b):
         a, b = b, a
     if len(b) <= allowed or not a:
@@ -202,7 +227,7 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
             cells = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "fp", "group", "line"])
 
-    return rows.join(lists.hint("shuffle_hash"), ["_id", "_key"]).select("text", "wanted").mapInArrow(read, "id binary, fp long, group long, line string").dropDuplicates(["id"])
+    return rows.join(lists.hint("shuffle_hash"), ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string").dropDuplicates(["id"])
 
 
 def _links(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -222,7 +247,7 @@ def _links(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return within.union(across.where("_i < _j").select("_rows", "_more")).mapInArrow(verify, "a binary, b binary")
+    return within.union(across.where("_i < _j").select("_rows", "_more")).transform(map_batches, verify, "a binary, b binary")
 
 
 def _removals(rows: DataFrame, least_words: int, radius: int, similarity: float) -> DataFrame:
@@ -274,4 +299,4 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 5, radius: int = 4,
     if report:
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = StructType().add("doc_id", LongType()).add("n_lines", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType()) if report else docs.schema
-    return keyed.join(gone.hint("shuffle_hash"), ["__id", "__key"], "left").select(*wanted, "__gone").mapInArrow(cut, schema)
+    return keyed.join(gone.hint("shuffle_hash"), ["__id", "__key"], "left").select(*wanted, "__gone").transform(map_batches, cut, schema)

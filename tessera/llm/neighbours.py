@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import cut_lineage
+from tessera.llm._tables import cut_lineage, map_batches
 
 #: Entries of a list, and queries, that one task compares at a time.
 BLOCK, QUERIES = 4096, 256
@@ -135,7 +135,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
             own = index.nearest(x)
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in index.encode(x, own)], pa.binary())], ["cid", "list", "code"])
 
-    coded = cut_lineage(entries.select("cid", "v").mapInArrow(code, "cid long, list int, code binary"))
+    coded = cut_lineage(entries.select("cid", "v").transform(map_batches, code, "cid long, list int, code binary"))
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row per list
     counts = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
 
@@ -154,7 +154,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
     centre = F.broadcast(rows.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(counts)], "list int, _n long"))  # a row per list
     deal = lambda key, size: F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / size)).cast("int")
     blocks = coded.join(centre, "list").withColumn("_b", deal("cid", BLOCK)).groupBy("list", "_b").agg(F.sort_array(F.collect_list(F.struct("cid", "code"))).alias("rows"))
-    wanted = asked.select("qid").distinct().join(entries, F.col("qid") == F.col("cid")).select("qid", "v").mapInArrow(probe, "qid long, list int, v array<float>")
+    wanted = asked.select("qid").distinct().join(entries, F.col("qid") == F.col("cid")).select("qid", "v").transform(map_batches, probe, "qid long, list int, v array<float>")
     asks = wanted.groupBy("list", F.pmod(F.xxhash64("qid"), F.lit(max(1, n // (every * QUERIES)) + 1)).alias("_q")).agg(F.collect_list(F.struct("qid", "v")).alias("asks"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
                     best = np.argpartition(-score, take - 1, axis=1)[:, :take]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + QUERIES], take)), pa.array(cid[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float64))], ["qid", "cid", "near"])
 
-    found = asks.join(blocks, "list").select("list", "asks", "rows").mapInArrow(rank, "qid long, cid long, near double")
+    found = asks.join(blocks, "list").select("list", "asks", "rows").transform(map_batches, rank, "qid long, cid long, near double")
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "cid"))).where(F.col("_r") <= rerank).select("qid", "cid")
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     scored = best.join(entries, "cid").join(entries.select(F.col("cid").alias("qid"), F.col("v").alias("q")), "qid").select("qid", "cid", "ids", product.alias("score"))

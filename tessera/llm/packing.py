@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import cut_lineage
+from tessera.llm._tables import cut_lineage, map_batches
 from tessera.llm.tokens import default_vocabulary, text_encoder
 
 #: Pieces of one length are ranked in as many groups as keep each at about this many.
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
                     at, to = to, to + capacity
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
@@ -158,5 +158,5 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -
     return (
         ranked.join(before, ["length", "_group"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_at"))
-        .mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        .transform(map_batches, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )

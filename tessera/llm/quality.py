@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._tables import map_batches
 from tessera.llm._words import NOT_SPACE, slices, split
 
 TERMS = 2048
@@ -108,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = 1500, axes: int = 64,
                 rows = [x.astype(np.float16).tobytes() for x in term_counts(data, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "quality", "terms"])
 
-    found = _sample(docs, labels, size).select("doc_id", "quality", "text").mapInArrow(count, "doc_id long, quality int, terms binary").collect()
+    found = _sample(docs, labels, size).select("doc_id", "quality", "text").transform(map_batches, count, "doc_id long, quality int, terms binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: (r["doc_id"], r["terms"]))
@@ -131,10 +132,10 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             out = np.full(len(batch), 0.5)
             if model is not None:
-                for a, b, data, bounds in slices(batch.column("text"), 1 << 20):
+                for a, b, data, bounds in slices(batch.column("text")):
                     out[a:b] = model.score(term_counts(data, bounds))
             out = np.clip(out, 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").transform(map_batches, score, "doc_id long, held_out boolean, score double, predicted int")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm._tables import cut_lineage
+from tessera.llm._tables import cut_lineage, map_batches
 from tessera.llm._words import LOWER
 from tessera.llm.components import connected_components
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             texts = batch.column("text").fill_null("").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(compute, "doc_id long, key long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").transform(map_batches, compute, "doc_id long, key long, fp long")
 
 
 class BKTree:
@@ -135,16 +135,18 @@ def near_links(classes: DataFrame, radius: int, count: int, spanning=_spanning,
     for kept in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << bounds[i + 1]) - 1) ^ ((1 << bounds[i]) - 1) for i in kept)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = classes.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("_table", "_key"))
-    sizes = keyed.groupBy("_table", "_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    dealt = keyed.join(sizes, ["_table", "_key"]).withColumn("_shards", F.ceil(F.col("_n") / shard).cast("int"))
+    # one number names table and block values; should two blocks share it, their bucket only grows
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
+    keyed = classes.select("fp", "id", F.explode(keys).alias("_key"))
+    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    dealt = keyed.join(sizes, "_key").withColumn("_shards", F.ceil(F.col("_n") / shard).cast("int"))
     dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("fp"), F.col("_shards")).cast("int"))
-    shards = dealt.groupBy("_table", "_key", "_shards", "_shard").agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("_rows"))
+    shards = dealt.groupBy("_key", "_shards", "_shard").agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("_rows"))
     within = shards.select("_rows", F.lit(None).cast(shards.schema["_rows"].dataType).alias("_more"))
     many = shards.where("_shards > 1")
     across = (
-        many.select("_table", "_key", F.col("_shard").alias("_i"), "_rows")
-        .join(many.select("_table", "_key", F.col("_shard").alias("_j"), F.col("_rows").alias("_more")), ["_table", "_key"])
+        many.select("_key", F.col("_shard").alias("_i"), "_rows")
+        .join(many.select("_key", F.col("_shard").alias("_j"), F.col("_rows").alias("_more")), "_key")
         .where("_i < _j")
         .select("_rows", "_more")
     )
@@ -160,7 +162,7 @@ def near_links(classes: DataFrame, radius: int, count: int, spanning=_spanning,
                 out_b.append(ids[b])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
 
-    return within.where(F.size("_rows") > 1).union(across).mapInArrow(link, "a long, b long")
+    return within.where(F.size("_rows") > 1).union(across).transform(map_batches, link, "a long, b long")
 
 
 def _members(docs: DataFrame, radius: int, shingle: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import cut_lineage
+from tessera.llm._tables import cut_lineage, map_batches
 from tessera.llm._words import NOT_SPACE, Words, _power, grams, mix, slices, split, window_minimum
 
 _SALTS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
@@ -73,7 +73,7 @@ def arcs(rows: DataFrame, window: int, k: int) -> DataFrame:
                 out = [kmer.view(np.int64), *spans, ids[a + row], keys[a + row], (first - words.first[row]).astype(np.int32), count.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kmer", "a", "b", "_id", "_text", "start", "n"])
 
-    return rows.where(F.col("_id") != _NO_ID).select("_id", "_text", "text").mapInArrow(scan, _ARC)
+    return rows.where(F.col("_id") != _NO_ID).select("_id", "_text", "text").transform(map_batches, scan, _ARC)
 
 
 def _open(rows: DataFrame, window: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _open(rows: DataFrame, window: int) -> DataFrame:
                     same = [pa.repeat(batch.column(c)[i], len(at)) for c in ("_id", "_text")]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, named), *same, pa.array(at.astype(np.int32))], ["a", "b", "_id", "_text", "start"])
 
-    return rows.select("_id", "_text", "text", "spans").mapInArrow(scan, "a long, b long, _id long, _text long, start int")
+    return rows.select("_id", "_text", "text", "spans").transform(map_batches, scan, "a long, b long, _id long, _text long, start int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -142,9 +142,9 @@ def _marked(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, one space between them) of every row."""
-    return _marked(docs, window, k).mapInArrow(lambda x: _cut(x, window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return _marked(docs, window, k).transform(map_batches, lambda x: _cut(x, window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def repeat_digests(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
     """As remove_repeats, with the SHA-256 of the kept text in its place."""
-    return _marked(docs, window, k).mapInArrow(lambda x: _digest(x, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _marked(docs, window, k).transform(map_batches, lambda x: _digest(x, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._tables import map_batches
+
 MEMO_ENTRIES = 400_000
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: White space before a space: only there may a split before the space differ from the pre-tokeniser's.
@@ -273,7 +275,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, vocabulary: str | None = No
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_chars"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -286,4 +288,4 @@ def prefix_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for i, text in enumerate(_texts(batch)):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([counter.counts(text)], pa.list_(pa.int32()))], ["doc_id", "prefix_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tables, "doc_id long, prefix_tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, tables, "doc_id long, prefix_tokens array<int>")
