@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dice, facts, rules, scoring, similarity, text, tracks
-from tessera.operators import builds, merge, places, segment, vocabulary
+from tessera.functions import dice, facts, names, rules, scoring, similarity, text, tracks
+from tessera.operators import builds, levels, merge, places, segment, vocabulary
 from tessera.streaming.insanity import _step, final_insanity
 
 
@@ -227,3 +227,48 @@ def test_stream(spark, tmp_path):
         want[k] = _step(want.get(k, 0), n)
     assert got == {k: (v, 6) for k, v in want.items()}
     assert windowed_counts(spark.read.parquet(f"{tmp_path}/in"), "ts", "k").count() == 12
+
+
+@pytest.mark.parametrize(
+    "figures, sentence",
+    [
+        ((2, 1, 0, 1, 0, "attack"), "Adds 2 green dice + 1 black dice"),
+        ((0, 0, 999, 2, 1, "run"), "Counts any elder signs as 2 successes each. Adds 1 free run per turn"),
+        ((0, 0, 3, 1, 2, "move"), "Counts 3 elder sign(s) as success(es). Adds 2 free moves per turn"),
+        ((0, 0, 0, 1, 0, "attack"), names.NO_EFFECT),
+    ],
+)
+def test_effect_sentence(spark, figures, sentence):
+    columns = [F.lit(x) for x in figures]
+    assert spark.range(1).select(names.effect_sentence(*columns)).first()[0] == sentence
+
+
+@pytest.mark.parametrize("name, key, plain", [("Lord Adam Benchley (7)", "adam", "adam benchley 7"), ("Adam", "adam", "adam"), ("Prof. O'Hara", "prof.", "ohara"), ("", "", ""), (None, None, None)])
+def test_names(spark, name, key, plain):
+    assert one(spark, names.name_key, name) == key
+    assert one(spark, names.plain_name, name) == plain
+
+
+def test_references(spark):
+    found = one(spark, names.references, "Al Capone (20), nobody, Lord Adam Benchley (7)")
+    assert [tuple(r) for r in found] == [("Al Capone", 20), ("Lord Adam Benchley", 7)]
+    assert one(spark, names.references, "") == []
+    assert one(spark, names.references, None) is None
+
+
+@pytest.mark.parametrize("motto, cleaned", [("-| Shoot first ~ ask never |", "Shoot first ask never"), ("Life is is certain ab", "Life is certain"), ('"4 never ask"', '"I never ask"'), ("Instead. Make peace", "Instead, I make peace"), ("", ""), (None, None)])
+def test_motto(spark, motto, cleaned):
+    assert one(spark, names.clean_motto, motto) == cleaned
+
+
+def test_specs(spark):
+    specs = spark.createDataFrame([("a:1",), ("a:9",), ("b:1",), ("a",), ("a:x",), (None,), ("a:1:2",)], "spec string")
+    known = spark.createDataFrame([("a", 1), ("a", 2), ("a", 1)], "name string, level int")
+    found = {r["spec"]: r["status"] for r in levels.resolve(specs, "spec", known).collect()}
+    assert found == {"a:1": "found", "a:9": "unknown level", "b:1": "unknown name", "a": "malformed", "a:x": "no level", None: "malformed", "a:1:2": "no level"}
+
+
+def test_best_extraction(spark):
+    rows = spark.createDataFrame([("p", 1, 1, "long text one"), ("p", 1, 2, "long text two"), ("p", 2, 3, "x"), ("p", 3, 4, None)], "power string, level int, seq int, t string")
+    best = levels.best_extraction(rows, "power", F.col("level"), "t", ["seq"], names.valid_extraction(F.col("t")))
+    assert sorted(map(tuple, best.collect())) == [("p", 1, "long text one"), ("p", 2, "Not found"), ("p", 3, "Not found"), ("p", 4, "Not found")]

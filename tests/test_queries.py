@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import card_queries, catalog  # noqa: F401  card_queries adds its queries to the catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
