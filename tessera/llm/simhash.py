@@ -178,15 +178,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return _members(docs, radius, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs``, one of each group: of the smallest id and, of rows with that id, the smallest hash of the text.
-
-    Rows without an id stay only if no row with an id is in their group; then one of each fingerprint does.
-    """
+def smallest_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of each group of ``members`` (doc_id, key, fp, component_id): see ``one_of_each``."""
     no_id = F.lit(-(1 << 63))
-    members = _members(docs, radius, shingle).where("component_id is null or doc_id = component_id")
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    members = members.where("component_id is null or doc_id = component_id")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.hex("fp")))
     kept = members.groupBy(group.alias("_group")).agg(F.coalesce(F.min("doc_id"), no_id).alias("__id"), F.min("key").alias("__key")).drop("_group")
     # a row without an id and a row with the smallest long would meet here; no such id is handed out
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__key": F.xxhash64("text")})
     return keyed.join(kept.hint("shuffle_hash"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each group: of the smallest id and, of rows with that id, the smallest hash of the text.
+
+    Rows without an id stay only if no row with an id is in their group; then one of each fingerprint does.
+    """
+    return smallest_rows(docs, _members(docs, radius, shingle))
