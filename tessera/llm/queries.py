@@ -36,7 +36,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), radius=None, report=True)
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), least_words=1, radius=None, report=True)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,4 +42,14 @@ def test_edit_similarity_alone_links(spark, tmp_path):
     rows = near_lines()
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op7_fuzzy_line_dedup(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got if r.n_removed == 0} == brute_kept(rows, 5)
+    assert {r.doc_id for r in got if r.n_removed == 0} == brute_kept(rows, 1)
+
+
+def test_short_repeats_go(spark, tmp_path):
+    from tessera.llm import queries
+
+    text = "All rights reserved.\n\nMenu\n \nhome"
+    rows = [(1, text, "en", "s", 0), (2, text + "\nALL  rights reserved.\nAll rights reserved!", "en", "s", 0)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op7_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 0), 2: (7, 5)}
