@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
@@ -133,8 +133,8 @@ def _nominations(classes: DataFrame) -> DataFrame:
 
 def _units(keyed: DataFrame) -> DataFrame:
     """(id, group): the groups that sketches form in each bucket of ``_nominations``; a bucket of over 2 * SHARD is one group."""
-    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    met = keyed.join(sizes, "_key")
+    # counted in a window, which keeps rows where one shuffle has put them
+    met = keyed.withColumn("_n", F.count("*").over(Window.partitionBy("_key"))).where("_n > 1")
     small = met.where(F.col("_n") <= 2 * SHARD).groupBy("_key").agg(F.collect_list(F.struct("id", "fp")).alias("_rows"))
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
