@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BATCH_ROWS = 1000
+#: Rows of a side that may be broadcast, once counted; a larger side is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,24 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one where none is named, in local mode only."""
+    """The folder that the session names in spark.checkpoint.dir; a temporary one where none is named, in one-machine mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None and not spark.sparkContext.master.startswith("local"):
+    if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow in batches of at most ``BATCH_ROWS`` rows, so that texts of some MB do not add up to the memory of a worker."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """mapInArrow. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch) as well as by rows, so long texts do not add up."""
     return df.mapInArrow(function, schema)
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, lengthened until none is that of a column."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files."""
+    """Write ``df`` to the checkpoint folder and go on from the files.
+
+    Spark deletes them when nothing refers to them any more if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, which is read again and therefore should be cheap, marked for broadcast if it has few enough rows."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,22 +1,25 @@
 """Vectorised word splitting and hashing over Arrow text, shared by the operators that compare word sequences.
 
 Texts are handled a few MB at a time straight from Arrow's buffers, so a task's memory does not
-follow its number of rows. Hashes only ever nominate candidates or name sequences by 64 or 128 bits;
-callers say which of the two they rely on.
+follow its number of rows. 64-bit hashes only ever nominate candidates; where equality is decided without the words side by
+side, it is by BLAKE2b digests of the words' bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 512 << 10
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Longest word that is hashed in numpy, eight bytes a round.
+_LONG = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: True where a byte belongs to a word. Bytes over 0x7F always do, so UTF-8 characters stay whole.
 NOT_SPACE = np.ones(256, bool)
@@ -35,13 +38,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n + max(n // 4, SLICE_BYTES // 2), base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word: its length and its bytes, eight at a time, each round mixed over the whole number."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(0x243F6A8885A308D3))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    own, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(own):
+        chunk = np.ascontiguousarray(eights[start[own] + at]).view("<u8")[:, 0] & _MASKS[np.minimum(size[own] - at, 8)]
+        out[own] = mix((out[own] ^ chunk) * _STEP)
+        at += 8
+        own = own[size[own] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the BLAKE2b digests, of 128 bits, of some stretches of bytes: equal bytes, and no others, have equal digests."""
+    raw = memoryview(np.ascontiguousarray(data))
+    both = b"".join([blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    halves = np.frombuffer(both, "<i8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 @dataclass
@@ -123,16 +141,27 @@ def split(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, lower: bool
     if len(cuts):
         marks = np.sort(np.concatenate([marks, cuts, cuts]))
     start, end = marks[0::2], marks[1::2]
-    power, inverse = _power(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start])
+    hashes = word_hashes(data, start, end)
     row = np.searchsorted(bounds, start, "right") - 1
     first = np.searchsorted(start, bounds, "left")
     return Words(data, start, end, hashes, row, first)
 
 
+def spaced(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of some runs of words, with one space behind each word, and each run's start and end (without that space) in them."""
+    n = last - first
+    if not n.sum():
+        return np.zeros(0, np.uint8), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    index = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    size = words.end[index] - words.start[index] + 1
+    to = np.cumsum(size)
+    source = np.arange(to[-1]) + np.repeat(words.start[index] - (to - size), size)
+    out = words.data[np.minimum(source, len(words.data) - 1)]
+    out[to - 1] = 0x20
+    ends = np.append(0, to)[np.cumsum(n)]
+    return out, np.append(0, ends[:-1]), np.maximum(ends - 1, np.append(0, ends[:-1]))
+
+
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` consecutive values."""
     out, have = values, 1

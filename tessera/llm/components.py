@@ -2,7 +2,7 @@
 
 Each round lets every node point its neighbours to the smallest of them, first the larger neighbours, then the
 smaller; the links become stars around each component's smallest node in a logarithmic number of rounds. A
-round only groups and joins; joins on a popular node are dealt out by adaptive execution's skew handling.
+round only groups, with partial sums before each shuffle, and joins. The links of a node with many are dealt into parts for the joins.
 """
 
 from __future__ import annotations
@@ -12,11 +12,25 @@ from pyspark.sql import functions as F
 
 from tessera.llm._tables import cut_lineage
 
+#: Links of a node that stay together in a join, at least; a node with more is dealt into parts.
+PART = 500
+
+
+def _with_least(pairs: DataFrame, least: DataFrame, part: int | None) -> DataFrame:
+    """``pairs`` (u, v) with what ``least`` (u, m, n) says of u; with a ``part``, the pairs of a u with more of them meet it in several tasks."""
+    if part is None:
+        return pairs.join(least, "u").select("u", "v", "m")
+    large = least.where(F.col("n") > part).select("u", F.ceil(F.col("n") / part).cast("int").alias("_parts"))
+    # at most twice the links over ``part`` rows, which the caller keeps below some hundred thousand
+    dealt = pairs.join(F.broadcast(large), "u", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("_parts")), F.lit(0)).cast("int"))
+    copies = least.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n"), F.lit(1)) / part).cast("int") - 1)))
+    return dealt.join(copies, ["u", "_part"]).select("u", "v", "m")
+
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node reachable.
 
-    ``links`` has two columns of one orderable type. Loops and rows with a null are ignored; no links give no rows.
+    ``links`` has two columns of one orderable type. Loops, repeated links and rows with a null change nothing; no links give no rows.
     """
     a, b = links.columns
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
@@ -24,15 +38,18 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = cut_lineage(edges)
         both = edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
         ends = both.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(both.select("v", F.lit(0), F.lit(1)))
+        nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
         # stars are left when every node is either a centre or hangs on one centre alone
-        loose = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.max("down").alias("down")).where("ups > 1 or (ups > 0 and down > 0)")
-        if loose.isEmpty():
+        loose, count, most = nodes.agg(F.count_if(F.expr("up > 1 or (up > 0 and down > 0)")), F.sum("up"), F.max(F.col("up") + F.col("down"))).first()
+        if not loose:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select("low", "low").distinct())
+        part = max(PART, count // 100_000)
+        part = part if most > part else None
         both = both.union(both.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, part).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every smaller neighbour, and the node itself, now goes to the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("high"), F.col("m").alias("low")).union(least.select("u", "m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, part).where("v > m").select(F.col("v").alias("high"), F.col("m").alias("low")).union(least.select("u", "m"))
         edges = small.distinct()
     raise RuntimeError(f"components did not settle in {rounds} rounds")

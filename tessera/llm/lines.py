@@ -1,19 +1,20 @@
 """Fuzzy line deduplication (op7).
 
-Lines are normalised (ASCII lower case, white space to single spaces); those of at least ``least_words`` words take part.
-Equal normalised lines are one class. Classes get a SimHash of their words, weighted by length, and meet on pigeonhole blocks: fingerprints
-of at most ``radius`` differing bits agree on a block. Those candidates form groups; within a group the lines'
-texts are compared, in shards of bounded size, and two lines link if their fingerprints are that near and
-their edit similarity, 1 - Levenshtein distance / longer length, is ``similarity`` or more. Of each connected group the
-first occurrence (smallest doc_id, then line number) stays and all others go, in the same document too.
-
-A radius of 4 is far tighter than an edit similarity of 0.8. With ``radius`` None the edit similarity alone decides: lines meet where one of ``BANDS``
-bands of ``ROWS`` MinHash values of their character n-grams agrees (of 3 bytes in short lines, of 5 in long ones) and a sketch of 64 bits differs in at
-most ``SKETCH`` bits, and within the groups that this forms in each bucket every two lines are compared. Lines of a Jaccard similarity s of n-grams meet with
-1 - (1 - s ** ROWS) ** BANDS: 0.92 at 0.5, 0.996 at 0.6.
-
-Defined results: null text stays null and has no lines; a line of fewer words always stays; a row with a null id
-keeps its lines and takes none away; rows equal in id and text are one document and lose the same lines.
+Lines are normalised (ASCII lower case, white space to single spaces); those of at least ``least_words`` words take part. Equal normalised
+lines, told by BLAKE2b digests of their bytes, are one class. Classes nominate each other, the nominated form candidate groups, and within a group the lines'
+texts are compared: two link if their edit similarity, 1 - Levenshtein distance / longer length in characters, is ``similarity`` or more. Of
+each connected group the first occurrence (smallest doc_id, then line number) stays and all others go, in the same document too.
+
+With a ``radius``, classes are nominated as the method named for this operator has it: SimHash of a line's words, weighted by length, joined on pigeonhole
+blocks, which fingerprints of at most ``radius`` differing bits agree on. But a radius that blocks can serve is far tighter
+than an edit similarity of 0.8. So by default (``radius`` None) fingerprints of 64 bits are taken of character n-grams (of 2 bytes in very short lines, 3 in
+short ones, 5 in others) and lines meet where one of ``BANDS`` blocks, each of ``ROWS`` MinHash values of the same n-grams,
+agrees and the fingerprints differ in at most ``SKETCH`` bits: lines of a Jaccard similarity s of n-grams do with about 1 - (1 - s ** ROWS) ** BANDS.
+Block keys are counted first, with partial sums, and only keys that several classes have are read again with their lines.
+
+Defined results: null text stays null and has no lines; empty lines and lines of fewer words always stay; a row with a null id
+keeps its lines and takes none away; rows equal in id and text are one document and lose the same lines; an empty table gives an empty one.
+A very long line is one line like any other and compared whole. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,26 +24,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from tessera.llm._tables import cut_lineage, map_batches
-from tessera.llm._words import NOT_SPACE, Words, mix, slices, split
+from tessera.llm._groups import Sets, group_links
+from tessera.llm._tables import BROADCAST_ROWS, cut_lineage, fresh, map_batches, small_side
+from tessera.llm._words import NOT_SPACE, Words, digests, mix, slices, spaced, split
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import near_links
-from tessera.llm.substrings import _span_hashes
+from tessera.llm.simhash import bucketed
 
 _NO_ID = -(1 << 63)
 _SIGN = np.uint64(1 << 63)
 #: Most lines in a shard in which texts are compared.
 SHARD = 1024
-#: MinHash values in a band, bands, and bits in which the sketches of candidates may differ.
-ROWS, BANDS, SKETCH = 4, 40, 24
-#: Bytes of an n-gram, and of the lines from which it is taken; lines in both ranges nominate twice, so that every two alike share one.
-GRAMS = ((3, 0, 40), (5, 24, 1 << 40))
-#: Document ids that may be broadcast to find the texts of candidates; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: MinHash values in a block, blocks, and bits in which the fingerprints of candidates may differ.
+ROWS, BANDS, SKETCH = 4, 12, 18
+#: Bytes of an n-gram, and of the lines from which it is taken. Lines near a limit nominate with both, so that every two alike share one.
+GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 1 << 40))
+#: Keys of lines that a task remembers, to nominate a repeated line once.
+REMEMBERED = 1 << 20
+_SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def _simhashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -70,25 +72,8 @@ def _simhashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def _joined(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the normalised lines, each with a space behind it, and each line's start and end in them."""
-    n = last - first
-    if not n.sum():
-        return np.zeros(0, np.uint8), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    index = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-    size = words.end[index] - words.start[index] + 1
-    to = np.cumsum(size)
-    source = np.arange(to[-1]) + np.repeat(words.start[index] - (to - size), size)
-    out = words.data[np.minimum(source, len(words.data) - 1)]
-    out[to - 1] = 0x20
-    ends = to[np.cumsum(n) - 1]
-    return out, np.append(0, ends[:-1]), ends - 1
-
-
-def _marks(words: Words, first: np.ndarray, last: np.ndarray) -> list[bytes]:
-    """Of each line, for each n-gram size it takes: 64 bits of sketch and a number of 32 bits for each band."""
-    data, start, end = _joined(words, first, last)
-    out = [b""] * len(first)
+def _blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, fingerprints, keys of their blocks) of the lines from start to end, for each n-gram size that they take."""
     wide = data.astype(np.uint64)
     for n, low, high in GRAMS:
         own = np.flatnonzero((end - start >= max(n, low)) & (end - start <= high))
@@ -97,45 +82,50 @@ def _marks(words: Words, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         grams = np.zeros(len(data) - n + 1, np.uint64)
         for i in range(n):
             grams |= wide[i : len(data) - n + 1 + i] << np.uint64(8 * i)
-        hashes = (mix(grams) >> np.uint64(32)).astype(np.uint32)
+        hashes = np.append((mix(grams) >> np.uint64(32)).astype(np.uint32), np.zeros(n, np.uint32))
         bounds = np.stack([start[own], end[own] - n + 1], 1).ravel()
-        hashes = np.append(hashes, np.zeros(n, np.uint32))
-        record = np.zeros(len(own), [("fp", np.uint64), ("bands", np.uint32, BANDS)])
-        band = np.zeros(len(own), np.uint64)
-        for k in range(ROWS * BANDS):
-            seed = np.uint32(int(mix(np.array([k + 1], np.uint64))[0]) & 0xFFFFFFFF | 1)
+        prints, keys = np.zeros(len(own), np.uint64), np.zeros((len(own), BANDS), np.uint64)
+        for k, seed in enumerate(_SEEDS):
             least = mix(np.minimum.reduceat(hashes * seed, bounds)[::2].astype(np.uint64) + np.uint64(k << 32))
             if k < 64:
-                record["fp"] |= (least >> np.uint64(63)) << np.uint64(k)
-            band = mix(band * np.uint64(0xD6E8FEB86659FD93) + least)
-            if k % ROWS == ROWS - 1:
-                record["bands"][:, k // ROWS] = (band ^ np.uint64(n)) & np.uint64(0xFFFFFFFF)
-                band = np.zeros(len(own), np.uint64)
-        size, raw = record.itemsize, record.tobytes()
-        for i, line in enumerate(own.tolist()):
-            out[line] += raw[i * size : (i + 1) * size]
-    return out
+                prints |= (least >> np.uint64(63)) << np.uint64(k)
+            keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least)
+        yield own, prints, mix(keys + np.arange(BANDS, dtype=np.uint64) + np.uint64(n << 16))
 
 
-def _nominations(classes: DataFrame) -> DataFrame:
-    """(fp, id, _key): the sketch, name and bucket of each band of each class (a, marks)."""
+def nominations(rows: DataFrame, least_words: int, full: bool) -> DataFrame:
+    """_key of each block of each line of ``rows``; with ``full``, also the line's name and fingerprint (_key, id, fp)."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            marks = batch.column("marks").to_pylist()
-            record = np.frombuffer(b"".join(marks), [("fp", np.int64), ("bands", np.uint32, BANDS)])
-            names = np.repeat(np.asarray(batch.column("a")), [len(m) // record.itemsize for m in marks])
-            keys = mix(record["bands"].astype(np.uint64) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(32))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(record["fp"], BANDS)), pa.array(np.repeat(names, BANDS)), pa.array(keys.ravel())], ["fp", "id", "_key"])
-
-    return classes.select("a", "marks").transform(map_batches, unpack, "fp long, id long, _key long")
-
-
-def _units(keyed: DataFrame) -> DataFrame:
-    """(id, group): the groups that sketches form in each bucket of ``_nominations``; a bucket of over 2 * SHARD is one group."""
-    # counted in a window, which keeps rows where one shuffle has put them
-    met = keyed.withColumn("_n", F.count("*").over(Window.partitionBy("_key"))).where("_n > 1")
-    small = met.where(F.col("_n") <= 2 * SHARD).groupBy("_key").agg(F.collect_list(F.struct("id", "fp")).alias("_rows"))
+            for _, _, data, bounds in slices(batch.column("text")):
+                words, first, last, _, _ = _lines(data, bounds, least_words)
+                joined, start, end = spaced(words, first, last)
+                names, _ = digests(joined, start, end)
+                fresh_lines = []
+                for i, name in enumerate(names.tolist()):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh_lines.append(i)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                own = np.array(fresh_lines, np.int64)
+                for at, prints, keys in _blocks(joined, start[own], end[own]):
+                    out = [pa.array(keys.ravel().view(np.int64))]
+                    if full:
+                        out += [pa.array(np.repeat(names[own[at]], BANDS)), pa.array(np.repeat(prints.view(np.int64), BANDS))]
+                    yield pa.RecordBatch.from_arrays(out, ["_key", "id", "fp"][: len(out)])
+
+    schema = "_key long, id long, fp long" if full else "_key long"
+    return rows.where(F.col("_id") != _NO_ID).select("text").transform(map_batches, scan, schema)
+
+
+def _units(rows: DataFrame, least_words: int) -> DataFrame:
+    """(id, group): groups of lines, by name, that nominate each other; those of fingerprints that are near in a bucket, or all of a bucket of over 2 * SHARD."""
+    shared = cut_lineage(nominations(rows, least_words, False).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    met = cut_lineage(nominations(rows, least_words, True).join(small_side(shared), "_key"))
+    small = met.where(F.col("_n") <= 2 * SHARD).groupBy("_key").agg(F.collect_set(F.struct("id", "fp")).alias("_rows")).where(F.size("_rows") > 1)
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,27 +161,24 @@ def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[Word
     return words, first, last, words.row[first], number[first]
 
 
-def occurrences(rows: DataFrame, least_words: int, marked: bool = False) -> DataFrame:
-    """(a, b, fp, id): hashes of each line, its fingerprint, and its place as bytes in order: document, line, text's hash.
-
-    With ``marked``, its ``_marks`` (marks) instead of the fingerprint.
-    """
-    name, kind = ("marks", "binary") if marked else ("fp", "long")
+def occurrences(rows: DataFrame, least_words: int, prints: bool) -> DataFrame:
+    """(a, b, fp, id): digest of each line, its SimHash if asked for, and its place as bytes in order: document, line, text's hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_key"))
             for at, _, data, bounds in slices(batch.column("text")):
                 words, first, last, row, number = _lines(data, bounds, least_words)
-                a, b = _span_hashes(words, first, last)
+                a, b = digests(*spaced(words, first, last))
                 doc = ids[at + row]
                 place = np.zeros(len(row), [("doc", ">u8"), ("line", ">u4"), ("key", ">u8")])
                 place["doc"], place["line"], place["key"] = doc.view(np.uint64) ^ _SIGN, number, keys[at + row].view(np.uint64) ^ _SIGN
                 raw = pa.Array.from_buffers(pa.binary(20), len(place), [None, pa.py_buffer(place.tobytes())]).cast(pa.binary())
-                nominate = pa.array(_marks(words, first, last), pa.binary()) if marked else pa.array(_simhashes(words, first, last).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), nominate, raw], ["a", "b", name, "id"])
+                out = [pa.array(a), pa.array(b), raw] + ([pa.array(_simhashes(words, first, last).view(np.int64))] if prints else [])
+                yield pa.RecordBatch.from_arrays(out, ["a", "b", "id", "fp"][: len(out)])
 
-    return rows.where(F.col("_id") != _NO_ID).select("_id", "_key", "text").transform(map_batches, scan, f"a long, b long, {name} {kind}, id binary")
+    schema = "a long, b long, id binary" + (", fp long" if prints else "")
+    return rows.where(F.col("_id") != _NO_ID).select("_id", "_key", "text").transform(map_batches, scan, schema)
 
 
 def _part(at: int, size: int) -> Column:
@@ -286,45 +273,25 @@ def _trigrams(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _verified(rows: list[dict], others: list[dict] | None, radius: int | None, least: float) -> Iterator[tuple[bytes, bytes]]:
-    """Links (id, id) between lines that are near in both ways: a forest in one shard, or joining groups of two."""
-    every = rows + (others or [])
-    root = list(range(len(every)))
-    fps = np.array([r["fp"] for r in every], np.int64).view(np.uint64)
-    if radius is None:
-        counts, sizes = _trigrams([r["line"] for r in every]), np.array([len(r["line"]) for r in every])
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def within(i: int, right: range) -> np.ndarray:
-        """Lines of ``right`` that may link with line i; without a radius, all that lengths and trigrams do not rule out."""
+def _compare(members: pa.StructArray, left: int | None, radius: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of lines that link; see ``group_links``."""
+    lines = members.field("line").to_pylist()
+    fps = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+    counts, sizes = (_trigrams(lines), np.array([len(x) for x in lines])) if radius is None else (None, None)
+    sets = Sets(len(lines))
+    for i in range(len(lines) if left is None else left):
+        near = sets.apart(i, np.arange(i + 1 if left is None else left, len(lines)))
         if radius is not None:
-            return np.flatnonzero(np.bitwise_count(fps[right.start : right.stop] ^ fps[i]) <= radius) + right.start
-        at = max(right.start, i + 1)
-        allowed = np.maximum(sizes[at : right.stop], sizes[i]) * (1 - least) + 1e-9
-        near = np.flatnonzero(np.abs(sizes[at : right.stop] - sizes[i]) <= allowed)
-        return near[np.abs(counts[near + at] - counts[i]).sum(1) <= 6 * allowed[near]] + at
-
-    def compare(left: range, right: range) -> Iterator[tuple[int, int]]:
-        for i in left:
-            near = within(i, right)
-            for j in near.tolist():
-                if j != i and top(i) != top(j) and similar(every[i]["line"], every[j]["line"], least):
-                    x, y = sorted((top(i), top(j)))
-                    root[y] = x
-                    yield x, y
-
-    n = len(rows)
-    found = list(compare(range(n), range(n)))
-    if others is not None:
-        list(compare(range(n, len(every)), range(n, len(every))))
-        found = list(compare(range(n), range(n, len(every))))
-    for x, y in found:
-        yield every[x]["id"], every[y]["id"]
+            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
+        else:  # all that lengths and trigrams do not rule out
+            allowed = np.maximum(sizes[near], sizes[i]) * (1 - least) + 1e-9
+            fit = np.abs(sizes[near] - sizes[i]) <= allowed
+            near, allowed = near[fit], allowed[fit]
+            near = near[np.abs(counts[near] - counts[i]).sum(1) <= 6 * allowed]
+        for j in near.tolist():
+            if sets.label[i] != sets.label[j] and (lines[i] == lines[j] or similar(lines[i], lines[j], least)):
+                sets.join(i, j)
+    return sets.pairs()
 
 
 def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
@@ -353,63 +320,40 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
     return rows.join(lists.hint("shuffle_hash"), ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string").dropDuplicates(["id", "group"])
 
 
-def _links(lines: DataFrame, radius: int | None, similarity: float) -> DataFrame:
-    """(a, b): ids of lines of one candidate group that link, as spanning forests."""
-    sizes = lines.groupBy("group").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("_shards"), F.count("*").alias("_n")).where("_n > 1")
-    dealt = lines.join(sizes, "group").withColumn("_shard", F.pmod(F.xxhash64("id"), F.col("_shards")).cast("int"))
-    shards = dealt.groupBy("group", "_shards", "_shard").agg(F.sort_array(F.collect_list(F.struct("id", "fp", "line"))).alias("_rows"))
-    many = shards.where("_shards > 1")
-    within = shards.select("_rows", F.lit(None).cast(shards.schema["_rows"].dataType).alias("_more"))
-    across = many.select("group", F.col("_shard").alias("_i"), "_rows").join(many.select("group", F.col("_shard").alias("_j"), F.col("_rows").alias("_more")), "group")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(len(batch)):
-                out += _verified(batch.column("_rows")[i].as_py(), batch.column("_more")[i].as_py(), radius, similarity)
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return within.union(across.where("_i < _j").select("_rows", "_more")).transform(map_batches, verify, "a binary, b binary")
-
-
 def _removals(rows: DataFrame, least_words: int, radius: int | None, similarity: float) -> DataFrame:
-    """(_id, _key, __gone): numbers of the lines that each document loses."""
-    mark = "marks" if radius is None else "fp"
-    found = cut_lineage(occurrences(rows, least_words, radius is None))
-    classes = found.groupBy("a", "b").agg(F.first(mark).alias(mark), F.min("id").alias("own"), F.count("*").alias("n"))
-    classes = cut_lineage(classes)
+    """(_id, _key, _gone): numbers of the lines that each document loses."""
+    found = cut_lineage(occurrences(rows, least_words, radius is not None))
+    print_of = [F.first("fp").alias("fp")] if radius is not None else []
+    classes = cut_lineage(found.groupBy("a", "b").agg(F.min("id").alias("own"), F.count("*").alias("n"), *print_of))
     if radius is None:
-        groups = _units(_nominations(classes)).withColumnRenamed("id", "a")
+        groups = _units(rows, least_words).withColumnRenamed("id", "a")
         wanted = classes.select("a", F.lit(0).cast("long").alias("fp"), F.col("own").alias("id")).join(groups, "a").drop("a")
     else:
-        nodes = classes.groupBy("fp").agg(F.count("*").alias("_lines"))
-        prints = nodes.select("fp", F.col("fp").alias("id"))
-        groups = connected_components(near_links(prints, radius, prints.count(), _dense, bucket=512, shard=2048))
-        # lines of one fingerprint are candidates too
-        grouped = nodes.join(groups, F.col("fp") == F.col("node"), "left").where("_lines > 1 or component is not null").select("fp", F.coalesce("component", "fp").alias("group"))
-        wanted = classes.select("fp", F.col("own").alias("id")).join(grouped, "fp")
-    links = _links(_candidate_texts(rows, wanted, least_words), radius, similarity)
+        met = bucketed(classes.select("fp", F.col("own").alias("id")), radius, classes.count(), bucket=512)
+        wanted = met.select("id", "fp", "group")
+    lines = cut_lineage(_candidate_texts(rows, wanted, least_words))
+    links = group_links(lines, lambda members, left: _compare(members, left, radius, similarity), SHARD, weight="line")
     kept = connected_components(links)
     keep = classes.join(kept, F.col("own") == F.col("node"), "left").where("n > 1 or component is not null").select("a", "b", F.coalesce("component", "own").alias("keep"))
     gone = found.join(keep, ["a", "b"]).where("id <> keep")
-    return gone.groupBy(_part(1, 8).alias("_id"), _part(13, 8).alias("_key")).agg(F.collect_set(_part(9, 4)).alias("__gone"))
+    return gone.groupBy(_part(1, 8).alias("_id"), _part(13, 8).alias("_key")).agg(F.collect_set(_part(9, 4)).alias("_gone"))
 
 
-def drop_repeated_lines(docs: DataFrame, least_words: int = 5, radius: int | None = 4, similarity: float = 0.8, report: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_words: int = 1, radius: int | None = None, similarity: float = 0.8, report: bool = False) -> DataFrame:
     """``docs`` with the lines taken out of ``text`` that an earlier line repeats, exactly or nearly.
 
     With ``report``, instead doc_id, n_lines, n_removed and kept_sha256 (of the text that stays) of every row.
     """
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__key": F.xxhash64("text")})
-    rows = keyed.select(F.col("__id").alias("_id"), F.col("__key").alias("_key"), "text")
-    gone = _removals(rows, least_words, radius, similarity).withColumnsRenamed({"_id": "__id", "_key": "__key"})
+    own_id, own_key, lost = fresh(docs.columns, "__id", "__key", "__gone")
+    keyed = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), own_key: F.xxhash64("text")})
+    rows = keyed.select(F.col(own_id).alias("_id"), F.col(own_key).alias("_key"), "text").where("text is not null")
+    gone = cut_lineage(_removals(rows, least_words, radius, similarity).withColumnsRenamed({"_id": own_id, "_key": own_key, "_gone": lost}))
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, numbers in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for text, numbers in zip(batch.column("text").to_pylist(), batch.column(lost).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 if numbers:
                     drop = set(numbers)
@@ -419,12 +363,13 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 5, radius: int | Non
             if not report:
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
                 continue
-            n, lost = zip(*counts, strict=True) if counts else ((), ())
-            digests = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
+            n, removed = zip(*counts, strict=True) if counts else ((), ())
+            hashes = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     wanted = ["doc_id", "text"] if report else columns
     if report:
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = StructType().add("doc_id", LongType()).add("n_lines", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType()) if report else docs.schema
-    return keyed.join(gone.hint("shuffle_hash"), ["__id", "__key"], "left").select(*wanted, "__gone").transform(map_batches, cut, schema)
+    few = gone.count() <= BROADCAST_ROWS
+    return keyed.join(gone.hint("broadcast" if few else "shuffle_hash"), [own_id, own_key], "left").select(*wanted, lost).transform(map_batches, cut, schema)

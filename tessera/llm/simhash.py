@@ -3,12 +3,13 @@
 Equal fingerprints are one class before any comparison. Two fingerprints of at most ``radius`` differing bits agree on at
 least ``blocks - radius`` of ``blocks`` bit blocks (pigeonhole), so classes meet in buckets of equal blocks; the number of blocks follows
 the number of classes, which keeps buckets small and changes no result. A bucket of any size is dealt
-into shards of bounded size; a shard's BK-tree (children keyed by their Hamming distance to the
-parent) goes to each query block of its bucket, and a search follows only edges within the
+into shards of bounded size (``_groups``); a shard's BK-tree (children keyed by their Hamming distance to the
+parent) is searched for every member of the shard, and of other shards for those that no pivot settles, and a search follows only edges within the
 radius. What leaves a task is a spanning forest of what it found, never the pairs.
 
-Defined results: null text and text without words have fingerprint zero and link like any other; rows with a null
-id are fingerprinted, but their class takes its component from rows that have one (null if none has); repeated rows stay.
+Defined results: null text and text without words have fingerprint zero and link like any other; very long texts are read whole; rows with a null
+id are fingerprinted, but their class takes its component from rows that have one (null if none has); repeated rows stay; an empty table gives an
+empty result; other columns are ignored, or kept as they are by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm._tables import cut_lineage, map_batches
+from tessera.llm._groups import Sets, group_links
+from tessera.llm._tables import cut_lineage, fresh, map_batches
 from tessera.llm._words import LOWER
 from tessera.llm.components import connected_components
 
@@ -92,40 +94,22 @@ class BKTree:
                     waiting.append((child, on))
 
 
-def _join_labels(labels: np.ndarray, members: np.ndarray) -> None:
-    found = np.unique(labels[members])
-    if len(found) > 1:
-        labels[np.isin(labels, found[1:])] = found[0]
+def _spanning(members: pa.StructArray, left: int | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of fingerprints to link, a forest: of all within the radius, or only of those between the first ``left`` and the others."""
+    values = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+    tree = BKTree(values if left is None else values[:left])
+    asked = values if left is None else values[left:]
+    sets = Sets(len(values))
+    for node, near in tree.search(asked, radius):
+        for j in sets.apart(node, near + (left or 0)).tolist():
+            sets.join(node, j)
+    return sets.pairs()
 
 
-def _labels(tree: BKTree, radius: int) -> np.ndarray:
-    labels = np.arange(len(tree.values))
-    for node, near in tree.search(tree.values, radius):
-        _join_labels(labels, np.append(near, node))
-    return labels
+def bucketed(classes: DataFrame, radius: int, count: int, bucket: int = BUCKET) -> DataFrame:
+    """(group, id, fp): ``classes`` (fp, id) in each bucket of equal blocks that any two within ``radius`` bits share one of.
 
-
-def _spanning(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in left, then right) to link: within one block each node to its group's first, across two blocks only groups."""
-    tree = BKTree(left)
-    own = _labels(tree, radius)
-    if right is None:
-        at = np.flatnonzero(own != np.arange(len(left)))
-        return at, own[at]
-    groups = np.concatenate([own, len(left) + _labels(BKTree(right), radius)])
-    joined = groups.copy()
-    for node, near in tree.search(right, radius):
-        _join_labels(joined, np.append(near + len(left), node))
-    roots = np.unique(groups)
-    roots = roots[joined[roots] != roots]
-    return roots, joined[roots]
-
-
-def near_links(classes: DataFrame, radius: int, count: int, spanning=_spanning, bucket: int = BUCKET, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between ids of fingerprint classes (fp, id) that join every two within ``radius`` bits.
-
-    ``spanning`` finds the links in a shard of about ``shard`` fingerprints, or between two; ``count`` says how many
-    classes there are, and buckets are made to hold about ``bucket`` of them.
+    ``count`` says how many classes there are; buckets are made to hold about ``bucket`` of them.
     """
     blocks = radius + 1
     while count >> (64 * (blocks - radius) // blocks) > bucket and blocks < 2 * radius:
@@ -137,32 +121,12 @@ def near_links(classes: DataFrame, radius: int, count: int, spanning=_spanning,
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     # one number names table and block values; should two blocks share it, their bucket only grows
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
-    keyed = classes.select("fp", "id", F.explode(keys).alias("_key"))
-    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    dealt = keyed.join(sizes, "_key").withColumn("_shards", F.ceil(F.col("_n") / shard).cast("int"))
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("fp"), F.col("_shards")).cast("int"))
-    shards = dealt.groupBy("_key", "_shards", "_shard").agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("_rows"))
-    within = shards.select("_rows", F.lit(None).cast(shards.schema["_rows"].dataType).alias("_more"))
-    many = shards.where("_shards > 1")
-    across = (
-        many.select("_key", F.col("_shard").alias("_i"), "_rows")
-        .join(many.select("_key", F.col("_shard").alias("_j"), F.col("_rows").alias("_more")), "_key")
-        .where("_i < _j")
-        .select("_rows", "_more")
-    )
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            parts = [[(np.asarray(r.field("fp")).view(np.uint64), np.asarray(r.field("id"))) if (r := column[i].values) is not None else None for i in range(len(batch))] for column in (batch.column("_rows"), batch.column("_more"))]
-            for left, right in zip(*parts, strict=True):
-                ids = left[1] if right is None else np.concatenate([left[1], right[1]])
-                a, b = spanning(left[0], right and right[0], radius)
-                out_a.append(ids[a])
-                out_b.append(ids[b])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
+    return classes.select(F.explode(keys).alias("group"), "id", "fp")
+
 
-    return within.where(F.size("_rows") > 1).union(across).transform(map_batches, link, "a long, b long")
+def near_links(classes: DataFrame, radius: int, count: int, bucket: int = BUCKET, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between ids of fingerprint classes (fp, id) that join every two within ``radius`` bits; a shard's tree holds about ``shard``."""
+    return group_links(bucketed(classes, radius, count, bucket), lambda members, left: _spanning(members, left, radius), shard)
 
 
 def _members(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
@@ -181,12 +145,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 def smallest_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     """One row of each group of ``members`` (doc_id, key, fp, component_id): see ``one_of_each``."""
     no_id = F.lit(-(1 << 63))
+    own, text = fresh(docs.columns, "__id", "__key")
     members = members.where("component_id is null or doc_id = component_id")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.hex("fp")))
-    kept = members.groupBy(group.alias("_group")).agg(F.coalesce(F.min("doc_id"), no_id).alias("__id"), F.min("key").alias("__key")).drop("_group")
+    kept = members.groupBy(group.alias("_group")).agg(F.coalesce(F.min("doc_id"), no_id).alias(own), F.min("key").alias(text)).drop("_group")
     # a row without an id and a row with the smallest long would meet here; no such id is handed out
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__key": F.xxhash64("text")})
-    return keyed.join(kept.hint("shuffle_hash"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), no_id), text: F.xxhash64("text")})
+    return keyed.join(kept.hint("shuffle_hash"), [own, text], "left_semi").dropDuplicates([own, text]).drop(own, text)
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:

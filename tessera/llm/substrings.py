@@ -1,15 +1,17 @@
 """Removal of long word sequences that an earlier document has too, by de Bruijn compaction (op5).
 
-Token k-mers are the edges of a de Bruijn graph. Consecutive k-mers are contracted before any shuffle: all windows of
-``window`` words that share their minimal k-mer form one arc, named by that k-mer and by a 128-bit hash of the words it
-spans. Joins on Spark then compact what repeats: an arc whose k-mer leads nowhere else is settled whole by
-the smallest document that has it; only where paths branch (a k-mer with several arcs) are arcs opened and their
-windows compared one by one, once for the smallest document of each. Source coordinates (document and word)
-carry the result back, overlapping spans are merged, and the whole text is read again to drop the words.
+The graph's nodes are word k-mers, its edges lead to the next k-mer of a text. Of all k-mers, five times the input, only those are shuffled that are
+the minimum of some window of ``window`` words: such a k-mer and the windows that have it form one arc, told by the k-mer and
+by a digest of the words it spans, and consecutive windows of a text lead from arc to arc. Arcs whose k-mer only one document has drop out first.
+A k-mer with several arcs branches. Of the others, edges from arc to next arc are counted, in- and out-degrees are
+taken from the counts, and paths on which every occurrence goes the same way are contracted to their first arc in joins that double their
+reach each round. Then each document's text is read at the source coordinates of its paths, and at every window of its branching arcs,
+and BLAKE2b digests of the words found there decide: the smallest document with the same words keeps them. At last
+overlapping spans are merged and the words dropped.
 
 Defined results: null and empty texts have no words; a repeat inside one document stays; rows with one id never
-remove from each other; a row with a null id (as which the smallest long counts) is no source and loses nothing; other
-columns are ignored.
+remove from each other; a row with a null id (as which the smallest long counts) is no source and loses nothing; rows equal in id and text are one
+document; very long texts and words are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,22 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import cut_lineage, map_batches
-from tessera.llm._words import NOT_SPACE, Words, _power, grams, mix, slices, split, window_minimum
+from tessera.llm._tables import cut_lineage, map_batches, small_side
+from tessera.llm._words import NOT_SPACE, Words, digests, slices, spaced, split, window_minimum
 
-_SALTS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 _NO_ID = -(1 << 63)
 _ARC = "kmer long, a long, b long, _id long, _text long, start int, n int"
 
 
-def _span_hashes(words: Words, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of the words from start to end."""
-    power, inverse = _power(len(words.hash) + 1)
-    out = []
-    for salt in _SALTS:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ salt) * power[: len(words.hash)])])
-        out.append(mix(((sums[end] - sums[start]) * inverse[start]) ^ (end - start).astype(np.uint64)).view(np.int64))
-    return out
+def _span_digests(words: Words, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """Digests of the words from each start to the word before each end, one space between them."""
+    joined, at, _ = spaced(words, np.arange(len(words.start)), np.arange(1, len(words.start) + 1))
+    behind = at + (words.end - words.start)
+    return [pa.array(x) for x in digests(joined, at[start], behind[end - 1])]
 
 
 def _arcs(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,30 +67,74 @@ def arcs(rows: DataFrame, window: int, k: int) -> DataFrame:
             for a, _, data, bounds in slices(batch.column("text")):
                 words = split(data, bounds, NOT_SPACE)
                 kmer, first, count, row = _arcs(words, window, k)
-                spans = _span_hashes(words, first, first + count + window - 1)
-                out = [kmer.view(np.int64), *spans, ids[a + row], keys[a + row], (first - words.first[row]).astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kmer", "a", "b", "_id", "_text", "start", "n"])
+                if len(first):
+                    spans = _span_digests(words, first, first + count + window - 1)
+                    place = [ids[a + row], keys[a + row], (first - words.first[row]).astype(np.int32), count.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), *spans, *map(pa.array, place)], ["kmer", "a", "b", "_id", "_text", "start", "n"])
 
     return rows.where(F.col("_id") != _NO_ID).select("_id", "_text", "text").transform(map_batches, scan, _ARC)
 
 
-def _open(rows: DataFrame, window: int) -> DataFrame:
-    """(a, b, _id, _text, start) of every window of the arcs listed in ``spans`` of (_id, _text, text, spans)."""
+def contracted(links: DataFrame) -> DataFrame:
+    """(node, head, offset) of every node with a predecessor: where its path begins, and the windows before it there.
+
+    ``links`` (u, v, n): each u and each v once, without cycles; n are the windows of u. A round sends each node that is not yet at its
+    path's beginning to where the node it has reached is, so that reaches double; such nodes have all reached different ones.
+    """
+    state = links.select(F.col("v").alias("node"), F.col("u").alias("head"), F.col("n").cast("long").alias("offset"))
+    state = cut_lineage(state.join(state.select(F.col("node").alias("head"), F.lit(False).alias("ended")), "head", "left").withColumn("ended", F.coalesce("ended", F.lit(True))).select("node", "head", "offset", "ended"))
+    while not (active := state.where("not ended")).isEmpty():
+        reached = state.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("offset").alias("_offset"), F.col("ended").alias("_ended"))
+        moved = active.join(reached, "head").select("node", F.col("_head").alias("head"), (F.col("offset") + F.col("_offset")).alias("offset"), F.col("_ended").alias("ended"))
+        state = cut_lineage(state.where("ended").union(moved))
+    return state.drop("ended")
+
+
+def _paths(lists: DataFrame) -> DataFrame:
+    """(_id, _text, start, n) of each occurrence of each contracted path; ``lists`` has each document's repeated arcs in order."""
+    whole = F.filter("arcs", lambda x: ~x["branches"])
+    # an arc leads to the one that starts where its windows end; null where the next is branching, elsewhere or none
+    pairs = F.zip_with(whole, F.slice(whole, 2, F.size(whole)), lambda x, y: F.struct(x.alias("x"), F.when(y["start"] == x["start"] + x["n"], y).alias("y")))
+    exploded = lists.where(F.size(whole) > 0).select("_id", "_text", F.explode(pairs).alias("p")).where("p.x is not null")
+    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.a"), F.col(f"{c}.b")))
+    steps = exploded.select("_id", "_text", name("p.x").alias("u"), name("p.y").alias("v"), F.col("p.x.start").alias("start"), F.col("p.x.n").alias("n"))
+    edges = cut_lineage(steps.groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n")))
+    nodes = edges.groupBy("u").agg(F.sum("c").alias("times"), F.count("*").alias("ways"))
+    into = edges.where("v is not null").groupBy("v").agg(F.sum("c").alias("entered"), F.count("*").alias("ways_in"))
+    # every occurrence of u goes on to v, and every occurrence of v comes from u
+    times = nodes.select(F.col("u").alias("v"), F.col("times").alias("times_v"))
+    only = edges.where("v is not null").join(nodes.where("ways = 1").select("u"), "u").join(into.where("ways_in = 1"), "v").join(times, "v")
+    heads = contracted(only.where("entered = times_v").select("u", "v", "n"))
+    placed = steps.join(small_side(cut_lineage(heads)).withColumnRenamed("node", "u"), "u", "left")
+    at = (F.col("start") - F.coalesce("offset", F.lit(0))).cast("int").alias("start")
+    return placed.groupBy("_id", "_text", F.coalesce("head", "u").alias("path"), at).agg(F.sum("n").cast("int").alias("n")).drop("path")
+
+
+def _read(rows: DataFrame, window: int) -> DataFrame:
+    """(a, b, _id, _text, start, n): digests of the words at each of ``paths`` and at each window of ``open``, of rows of (_id, _text, text, paths, open)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, spans in enumerate(batch.column("spans")):
-                if not spans.is_valid:
+            for i in range(len(batch)):
+                starts, counts = [], []
+                for column in ("paths", "open"):
+                    spans = batch.column(column)[i]
+                    if spans.is_valid and len(spans.values):
+                        start, n = (np.asarray(spans.values.field(c)).astype(np.int64) for c in ("start", "n"))
+                        if column == "open":
+                            start = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                            n = np.ones(len(start), np.int64)
+                        starts.append(start)
+                        counts.append(n)
+                if not starts:
                     continue
-                start, n = (np.asarray(spans.values.field(c)).astype(np.int64) for c in ("start", "n"))
-                at = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                at, n = np.concatenate(starts), np.concatenate(counts)
                 for _, _, data, bounds in slices(batch.column("text").slice(i, 1)):
-                    words = split(data, bounds, NOT_SPACE)
-                    named = [grams(mix(words.hash ^ s), words.row, window)[at].view(np.int64) for s in _SALTS]
+                    named = _span_digests(split(data, bounds, NOT_SPACE), at, at + n + window - 1)
                     same = [pa.repeat(batch.column(c)[i], len(at)) for c in ("_id", "_text")]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, named), *same, pa.array(at.astype(np.int32))], ["a", "b", "_id", "_text", "start"])
+                    yield pa.RecordBatch.from_arrays([*named, *same, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "_id", "_text", "start", "n"])
 
-    return rows.select("_id", "_text", "text", "spans").transform(map_batches, scan, "a long, b long, _id long, _text long, start int")
+    return rows.transform(map_batches, scan, "a long, b long, _id long, _text long, start int, n int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -124,20 +166,26 @@ def _marked(docs: DataFrame, window: int, k: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     found = arcs(rows, window, k)
-    classes = found.groupBy("kmer", "a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last"))
-    kmers = classes.groupBy("kmer").agg(F.count("*").alias("_arcs"), F.min("owner").alias("_low"), F.max("last").alias("_high"))
-    repeated = classes.join(kmers.where("_low < _high"), "kmer").select("kmer", "a", "b", "owner", (F.col("_arcs") > 1).alias("branches"))
-    spans = found.join(repeated, ["kmer", "a", "b"]).where("_id > owner or branches").select("_id", "_text", "start", "n", (F.col("_id") > F.col("owner")).alias("whole"))
-    spans = cut_lineage(spans)
-
-    def listed(part: DataFrame) -> DataFrame:
-        return part.groupBy("_id", "_text").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
-
-    windows = _open(rows.join(listed(spans.where("not whole")), ["_id", "_text"], "left"), window)
-    # both reads of the texts, here and below, are of one exchange, which Spark reuses as long as they stand in one plan
-    earliest = windows.groupBy("a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").drop("last")
-    single = windows.join(earliest, ["a", "b"]).where("_id > owner").select("_id", "_text", "start", F.lit(1).alias("n"))
-    return rows.join(listed(spans.where("whole").select("_id", "_text", "start", "n").union(single)), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
+    classes = found.groupBy("kmer", "a", "b").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
+    kmers = classes.groupBy("kmer").agg(F.count("*").alias("_arcs"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    repeated = classes.join(kmers.where("_low < _high"), "kmer").select("kmer", "a", "b", (F.col("_arcs") > 1).alias("branches"))
+    lists = cut_lineage(found.join(repeated, ["kmer", "a", "b"]).groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", "n", "a", "b", "branches"))).alias("arcs")))
+
+    spans = F.sort_array(F.collect_list(F.struct("start", "n")))
+    paths = _paths(lists).groupBy("_id", "_text").agg(spans.alias("paths"))
+    open_arcs = F.transform(F.filter("arcs", lambda x: x["branches"]), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))
+    wanted = cut_lineage(lists.select("_id", "_text", open_arcs.alias("open")).join(paths, ["_id", "_text"], "left"))
+    texts = rows.join(_sized(wanted), ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+    seen = _read(texts.select("_id", "_text", "text", "paths", "open"), window)
+    earliest = seen.groupBy("a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").drop("last")
+    lost = seen.join(earliest, ["a", "b"]).where("_id > owner").groupBy("_id", "_text").agg(spans.alias("spans"))
+    return rows.join(_sized(cut_lineage(lost)), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
+
+
+def _sized(lists: DataFrame) -> DataFrame:
+    """Lists by document, broadcast if they are few, else hashed where the shuffled texts come by."""
+    few = small_side(lists)
+    return few if few is not lists else lists.hint("shuffle_hash")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:

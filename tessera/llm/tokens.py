@@ -10,8 +10,8 @@ a pre-token, where ``last`` is the only vocabulary entry ending there that the B
 the last token of the shorter prefix. Counts of whole texts, cuts at a budget and counts of any prefix
 are read from these tables; nothing is encoded again.
 
-Defined results: null text counts as empty (0 tokens); empty text has 0 tokens; rows are kept as they are,
-repeated ones too; other columns are ignored.
+Defined results: null text counts as empty (0 tokens); empty text has 0 tokens; a very long text, word or run of white space is counted whole, in time
+that follows its length; rows are kept as they are, repeated ones too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ MEMO_ENTRIES = 400_000
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: White space before a space: only there may a split before the space differ from the pre-tokeniser's.
 _DOUBLE_SPACE = [f"{c} " for c in " \t\n\v\f\r\x85\xa0"]
-_UNSETTLED = re.compile(r"\s\s|'")
 
 
 def default_vocabulary() -> str:
@@ -76,12 +75,17 @@ class Splitter:
         import public_tokenizers
         import regex
 
-        self.findall = regex.compile(public_tokenizers.PATTERN).findall
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        self.findall, self.finditer = pattern.findall, pattern.finditer
         self.special = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> list[str]:
         return self.findall(text)
 
+    def each(self, text: str, at: int = 0) -> Iterator[str]:
+        """The pre-tokens of ``text`` from position ``at`` on, one by one."""
+        return (m[0] for m in self.finditer(text, at))
+
     def settled(self, text: str) -> bool:
         return not any(t in text for t in self.special) and (text.isascii() or not _BEYOND_LATIN.search(text))
 
@@ -111,7 +115,10 @@ class TextEncoder:
 
     def packed(self, text: str) -> bytes:
         if self.settled(text):
-            return self.fast(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            try:
+                return self.fast(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # a run of white space too long for the stack of its pattern matcher
+                pass
         ids = self.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -133,7 +140,11 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.split, self.rank = splitter(path), _ranks(path)
-        self.longest = max(map(len, self.rank))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.rank:
+            lengths.setdefault(token[-2:], set()).add(len(token))
+        #: Lengths that entries with these last two bytes have, longest first.
+        self.lengths = {tail: sorted(found, reverse=True) for tail, found in lengths.items()}
         self.special = re.compile("|".join(map(re.escape, self.split.special))) if self.split.special else None
         self.beside: dict[tuple[bytes, bytes], bool] = {}
         self.solo: dict[bytes, bool] = {}
@@ -174,9 +185,13 @@ class PrefixCounter:
 
     def word(self, word: bytes) -> list[int]:
         """Token counts of the byte prefixes of one pre-token, of lengths 0 to all."""
-        rank, last, count = self.rank, [b""], [0]
+        rank, last, count, none = self.rank, [b""], [0], []
         for i in range(1, len(word) + 1):
-            for j in range(max(0, i - self.longest), i):
+            tail = word[max(0, i - 2) : i]
+            for n in (*self.lengths.get(tail, none), 1) if i > 1 else (1,):
+                j = i - n
+                if j < 0:
+                    continue
                 token = word[j:i]
                 if token in rank and (self._stay(last[j], token) if j else self._alone(token)):
                     last.append(token)
@@ -184,29 +199,32 @@ class PrefixCounter:
                     break
         return count
 
+    def _walk(self, text: str, at: int = 0) -> Iterator[tuple[int, int, list[int]]]:
+        """(start, tokens before it, counts) of stretches of ``text`` without special strings, in order, from position ``at`` on.
+
+        ``counts[j]`` is what the prefix of ``text`` that ends j + 1 characters behind ``start`` adds to ``tokens before it``. A prefix is split as
+        the text is, up to the pre-token in which it ends, with two exceptions: white space that the text leaves to the next
+        pre-token still belongs to the run before it while nothing follows, and a cut contraction is split anew.
+        """
+        base, blank = 0, None  # blank: the run of white space just before, and the tokens before it
+        for w in self.split.each(text, at):
+            raw = w.encode("utf-8", "surrogatepass")
+            if w[0] == "'" and len(w) > 1 and w[1].isalpha():  # three characters at most
+                counts = [sum(self.ends[x] for x in self.split(w[:j])) for j in range(1, len(w) + 1)]
+            else:
+                counts = self.word(raw)
+                counts = counts[1:] if len(raw) == len(w) else [counts[k] for k in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in w)]
+            total = counts[-1]
+            if blank and w[0].isspace():
+                counts = [self.ends[blank[0] + w[0]] + blank[1] - base, *counts[1:]]
+            yield at, base, counts
+            blank = (w, base) if w.isspace() else None
+            base += total
+            at += len(w)
+
     def _plain(self, text: str) -> list[int]:
         """Counts of the character prefixes of a text without special strings."""
-        out, base, at = [0], 0, 0
-        words = self.split(text)
-        if "'" not in text and not re.search(r"\s\s", text):
-            for w in words:
-                raw = w.encode("utf-8", "surrogatepass")
-                counts = self.word(raw)
-                if len(raw) == len(w):
-                    out += [base + c for c in counts[1:]]
-                else:
-                    out += [base + counts[k] for k in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in w)]
-                base += counts[-1]
-            return out
-        # a prefix may be split otherwise than the text around its end: split each anew, from the last safe break on
-        done = memo = 0
-        for end in range(1, len(text) + 1):
-            while at + 1 < len(words) and done + len(words[at]) + 4 < end and not re.search(r"[\s']", text[done + len(words[at]) - 2 : done + len(words[at]) + 3]):
-                memo += self.word(words[at].encode("utf-8", "surrogatepass"))[-1]
-                done += len(words[at])
-                at += 1
-            out.append(memo + sum(self.word(w.encode("utf-8", "surrogatepass"))[-1] for w in self.split(text[done:end])))
-        return out
+        return [0] + [base + c for _, base, counts in self._walk(text) for c in counts]
 
     def counts(self, text: str) -> list[int]:
         """Exact token count of every character prefix of ``text``, of lengths 0 to all."""
@@ -230,17 +248,19 @@ class PrefixCounter:
         return sum(map(self.ends.__getitem__, self.split(first))) + sum(map(self.spaced.__getitem__, rest))
 
     def cut(self, text: str, budget: int) -> int:
-        """Length in characters of the longest prefix of at most ``budget`` tokens."""
-        if not self.split.settled(text) or _UNSETTLED.search(text):
+        """Length in characters of the longest prefix of at most ``budget`` tokens; the walk ends soon behind it."""
+        if self.special and self.special.search(text):
             return max(i for i, c in enumerate(self.counts(text)) if c <= budget)
-        used = at = 0
-        for w in self.split(text):
-            n = self.ends[w]
-            if used + n > budget:
-                return at + max(i for i, c in enumerate(self._plain(w)) if used + c <= budget)
-            used += n
-            at += len(w)
-        return at
+        best, run = 0, 0  # run: tokens before the stretch before, which no later prefix can undo
+        for start, base, counts in self._walk(text):
+            if run > budget:
+                break
+            for j in range(len(counts) - 1, -1, -1):
+                if base + counts[j] <= budget:
+                    best = start + j + 1
+                    break
+            run = base
+        return best
 
 
 @lru_cache(2)

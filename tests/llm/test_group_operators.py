@@ -78,8 +78,7 @@ def test_near_duplicates(spark, sf_dir):
 
 
 @pytest.mark.parametrize("bucket, shard, count", [(64, 1024, 0), (1, 7, 10**9), (4, 40, 0)])
-@pytest.mark.parametrize("spanning", [simhash._spanning, lines._dense])
-def test_near_links(spark, bucket, shard, count, spanning):
+def test_near_links(spark, bucket, shard, count):
     r = np.random.default_rng(1)
     values = set()
     for base in r.integers(0, 1 << 62, 40).tolist():
@@ -91,7 +90,7 @@ def test_near_links(spark, bucket, shard, count, spanning):
         for j in range(i):
             if (v ^ values[j]).bit_count() <= 4:
                 want.join(i, j)
-    links = simhash.near_links(spark.createDataFrame(list(zip(values, range(len(values)))), "fp long, id long"), 4, count or len(values), spanning, bucket, shard)
+    links = simhash.near_links(spark.createDataFrame(list(zip(values, range(len(values)))), "fp long, id long"), 4, count or len(values), bucket, shard)
     got = dict(plain(components.connected_components(links)))
     assert [got.get(i, i) for i in range(len(values))] == [want.top(i) for i in range(len(values))]
 
@@ -200,7 +199,7 @@ def test_lines(spark, monkeypatch, shard):
         lost = gone.get((d, t), set())
         kept = "\n".join(x for i, x in enumerate(every) if i not in lost)
         want.append((d, len(every), len(lost), hashlib.sha256(kept.encode()).hexdigest()))
-    assert plain(lines.drop_repeated_lines(documents(spark, rows, clash=True), report=True)) == sorted(want, key=str)
+    assert plain(lines.drop_repeated_lines(documents(spark, rows, clash=True), least_words=5, radius=4, report=True)) == sorted(want, key=str)
     assert sum(w[2] for w in want) > 100
 
 

@@ -127,6 +127,32 @@ def test_every_prefix(spark):
         assert r.prefix_tokens == [len(library(texts[r.doc_id][:i])) for i in range(len(texts[r.doc_id]) + 1)]
 
 
+def long_runs():
+    return ["x" + " " * 1_000_000 + "y", "\n" * 1_000_000, "a" * 1_000_000, "ab" + "\t" * 5000 + " it's"]
+
+
+def test_long_runs_are_counted_and_packed(spark):
+    rows = [(i, t, None, None, 0) for i, t in enumerate(long_runs())]
+    want = {i: len(library(t)) for i, t, *_ in rows}
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(documents(spark, rows)).collect()} == want
+    sums = {}
+    for r in packing.pack(documents(spark, rows)).collect():
+        sums[r.doc_id] = sums.get(r.doc_id, 0) + r.length
+    assert sums == {i: n + 1 for i, n in want.items()}
+
+
+def test_cut_is_linear_in_english():
+    import time
+
+    counter = tokens.PrefixCounter(tokens.default_vocabulary())
+    text = "it's the dog and cat,  don't you see?\n\nYes we're 12 " * 2400
+    began = time.perf_counter()
+    cut = counter.cut(text, 1024)
+    assert time.perf_counter() - began < 1 and len(text) > 120_000
+    assert len(library(text[:cut])) <= 1024 < len(library(text[: cut + 1]))
+    assert counter.cut(text[:700], 90) == max(i for i in range(701) if len(library(text[:i])) <= 90)
+
+
 def test_ids_equal_the_library(spark, sf_dir):
     encoder, counter = tokens.text_encoder(tokens.default_vocabulary()), tokens.prefix_counter(tokens.default_vocabulary())
     for (t,) in corpus(spark, sf_dir).select("text").collect():
@@ -165,6 +191,42 @@ def test_repeats_in_corpus(spark, sf_dir, empty):
     assert substrings.repeat_digests(empty).collect() == []
 
 
+def thue_morse(flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+
+
+def test_words_decide_not_their_hashes(spark):
+    head = " ".join(f"w{i}" for i in range(49))
+    rows = [(i, f"{head} {thue_morse(i)}", None, None, 0) for i in (0, 1)]
+    rows += [(2 + i, head + " " + " ".join(thue_morse(i) * 2), None, None, 0) for i in (0, 1)]
+    df = documents(spark, rows)
+    assert plain(substrings.repeat_digests(df)) == repeats(rows, 50)
+    assert {r.doc_id: r.n_removed for r in substrings.repeat_digests(df).collect() if r.doc_id < 2} == {0: 0, 1: 0}
+    from tessera.llm import lines
+
+    assert {r.n_removed for r in lines.drop_repeated_lines(df, report=True, similarity=1.0).collect()} == {0}
+
+
+def test_paths_contract(spark):
+    links = [(i, i + 1, 10) for i in range(40)] + [(100, 101, 3), (200, 201, 1), (201, 202, 2)]
+    got = plain(substrings.contracted(spark.createDataFrame(links, "u long, v long, n int")))
+    assert got == sorted([(i, 0, 10 * i) for i in range(1, 41)] + [(101, 100, 3), (201, 200, 1), (202, 200, 3)], key=str)
+
+
+def test_repeated_paths(spark):
+    import random
+
+    r = random.Random(3)
+    passages = [" ".join(f"p{r.randrange(500)}" for _ in range(r.choice((60, 90, 400)))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [r.choice(passages) for _ in range(r.randint(0, 3))] + [" ".join(f"q{r.randrange(900)}" for _ in range(30))]
+        r.shuffle(parts)
+        rows.append((i, "  ".join(parts + parts[:1] * (i % 7 == 0)), None, None, 0))
+    rows += [(70, "x y " * 200, None, None, 0), (71, "x y " * 150, None, None, 0), (3, rows[5][1], None, None, 0)]
+    assert plain(substrings.repeat_digests(documents(spark, rows))) == repeats(rows, 50)
+
+
 # ---- op6
 
 
