@@ -8,7 +8,9 @@ Training counts n-grams over every labelled row on the executors; the driver onl
 language and n-gram bucket. Bits' weights are smoothed log odds of those counts.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0 and is ambiguous; so does every text if nothing could be
-learned; with a single learned language every text with a letter gets that one.
+learned; with a single learned language every text with a letter gets that one; of equally near languages the first in alphabetical order is taken. Very long
+texts are read whole; repeated rows each get their result; an empty table gives an empty result. Other columns are kept; see ``identify`` on clashing names. The
+driver gets ``BUCKETS`` counts for each language, so the number of languages, not of texts, bounds it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from tessera.llm._tables import map_batches
 from tessera.llm._words import slices
@@ -28,6 +31,8 @@ from tessera.llm._words import slices
 BUCKETS = 1 << 13
 GRAMS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Loss by which the nearest codeword has to lead, for each bit of the code in which two languages differ; below, a text is ambiguous.
+MARGIN = 1.5
 #: Lower-case letters as they are, everything else in ASCII a blank.
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -123,10 +128,11 @@ class Model:
         order = np.argsort(loss, 1, kind="stable")
         first, second = (np.take_along_axis(loss, order[:, i : i + 1], 1)[:, 0] for i in (0, 1))
         share = np.exp(first[:, None] - loss).sum(1)
-        return order[:, 0], 1 / share, second - first < self.margin
+        apart = (self.code[order[:, 0]] != self.code[order[:, 1]]).sum(1)
+        return order[:, 0], 1 / share, second - first < self.margin * apart
 
 
-def train(rows: DataFrame, margin: float = 0.02) -> Model | None:
+def train(rows: DataFrame, margin: float = MARGIN) -> Model | None:
     """Model of the languages of ``rows`` (text, lang; a null in either is left out), or None if there are none."""
     found = gram_counts(rows.where("lang is not null and text is not null")).collect()  # one row per language and bucket at most
     languages = sorted({r["lang"] for r in found})
@@ -156,26 +162,39 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _predicted(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, and whether it is ambiguous, of each text."""
+    letters = _has_letter(texts) & (model is not None)
+    lang, score, ambiguous = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+    if model is not None:
+        best, sure, close = model.decode(model.bits(texts))
+        lang[letters] = np.array(model.languages, object)[best[letters]]
+        score[letters], ambiguous[letters] = sure[letters], close[letters]
+    return lang, score, ambiguous
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` that are wanted by name, and lang_pred, score, ambiguous: here doc_id is kept."""
+    """``docs`` with the columns lang_pred, score and ambiguous, which take the place of columns of these names."""
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            letters = _has_letter(texts) & (model is not None)
-            lang, score, ambiguous = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.ones(len(texts), bool)
-            if model is not None:
-                best, sure, close = model.decode(model.bits(texts))
-                lang[letters] = np.array(model.languages, object)[best[letters]]
-                score[letters], ambiguous[letters] = sure[letters], close[letters]
+            lang, score, ambiguous = _predicted(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)], [*kept, "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select([F.col(c) for c in dict.fromkeys([*docs.columns])])
-    kept = [c for c in rows.columns if c not in ("lang_pred", "score", "ambiguous")]
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+    schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
+    return docs.select(kept).transform(map_batches, predict, schema)
+
+
+def determined(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` whose language is determined and not ambiguous, with all their columns as they are."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _, ambiguous = _predicted(batch.column("text"), model)
+            yield batch.filter(pa.array((lang != UNDETERMINED) & ~ambiguous))
 
-    schema = StructType([rows.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
-    return rows.select(kept).transform(map_batches, predict, schema)
+    return docs.transform(map_batches, keep, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2):

@@ -7,15 +7,17 @@ length are dealt into blocks, queries of a list likewise; blocks meet in a join
 distance tables (query against codebook) rank a block's codes. The best candidates of each query are scored again
 on the original vectors in double precision.
 
-Nearness is the inner product. Defined results: vectors that are null, zero, of another length than most, or that hold a null or a
-number that is not finite take no part, nor do rows without an id; a query with fewer candidates than ``k`` gets all of them;
-ties go to the smaller id; a repeated id counts once per row.
+Nearness is the inner product. Defined results: vectors that are null, zero, or that hold a null or a
+number that is not finite take no part, nor do rows without an id; vectors of different lengths are searched apart; a query with fewer candidates than ``k`` gets all
+of them; ties go to the smaller id; a repeated id counts once per row, and each of its rows asks and is found by the others; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from tessera.llm._tables import cut_lineage, map_batches
 BLOCK, QUERIES = 4096, 256
 #: Dimensions per codebook, and entries in each.
 STEP, CODES = 2, 256
+#: Most lists, and vectors of the sample for each. Lists grow with the square root of the entries up to there, and the sample with them.
+LISTS, PER_LIST = 16_384, 16
 
 
 @dataclass
@@ -73,10 +77,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
+def lists_for(entries: int) -> int:
+    return int(np.clip(np.sqrt(entries) / 2, 1, LISTS))
+
+
 def fit(sample: np.ndarray, entries: int, k: int, recall: float, seed: int = 11) -> Index:
     """Index from a sample of the distinct vectors; ``entries`` is how many there are in all."""
     rng = np.random.default_rng(seed)
-    lists = int(np.clip(np.sqrt(entries) / 2, 1, min(1024, max(1, len(sample) // 8))))
+    lists = min(lists_for(entries), max(1, len(sample) // 8))
     centroids = _kmeans(sample, lists, 12, rng)
     own = _nearest(sample, centroids)
     parts = -(-sample.shape[1] // STEP)
@@ -108,23 +116,33 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
     fine = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
     # adding zero turns -0.0 into 0.0, so that equal vectors are equal everywhere
-    size = fine.groupBy(F.size("v").alias("_size")).count().orderBy(F.desc("count"), F.desc("_size")).limit(1)
-    return fine.join(F.broadcast(size), F.size("v") == F.col("_size")).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0).cast("float")).alias("v"))
+    return fine.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0).cast("float")).alias("v"))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_000, recall: float = 0.98, per_block: int = 100, rerank: int = 250) -> DataFrame:
-    """The ``k`` nearest found of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
+    """The ``k`` nearest found of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
+
+    An index is fitted on up to ``sample`` vectors, or ``PER_LIST`` for each list if that is more. A query takes ``per_block`` candidates from each block of up to
+    ``BLOCK`` codes that it reads, and scores the ``rerank`` best of them exactly; both bound the search, and recall is measured with them.
+    """
     rows = cut_lineage(valid_vectors(vectors))
+    sizes = sorted(r["_size"] for r in rows.select(F.size("v").alias("_size")).distinct().collect())  # lengths of vectors, not vectors
+    parts = [_search(rows.where(F.size("v") == size), every, k, sample, recall, per_block, rerank) for size in sizes]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, every: int, k: int, sample: int, recall: float, per_block: int, rerank: int) -> DataFrame:
+    """``search`` among vectors of one length."""
     shown = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
-    entries = cut_lineage(shown.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]))
+    entries = cut_lineage(shown.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id()))
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = cut_lineage(queries.join(entries, "v").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")))
     n = entries.count()
-    share = min(1.0, sample / max(n, 1))
-    taken = entries.where(F.pmod(F.xxhash64("cid"), F.lit(1_000_003)) < share * 1_000_003).orderBy("cid").select("v").toPandas()["v"]
+    share = min(1.0, max(sample, PER_LIST * lists_for(n)) / max(n, 1))
+    taken = entries.where(F.pmod(F.xxhash64("v"), F.lit(1_000_003)) < share * 1_000_003).orderBy("ids", "v").select("v").toPandas()["v"]
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(taken):
-        taken = entries.orderBy("cid").limit(1000).select("v").toPandas()["v"]  # by chance no entry of a tiny table was taken
+        taken = entries.orderBy("ids", "v").limit(1000).select("v").toPandas()["v"]  # by chance no entry of a tiny table was taken
     if not len(taken):
         return empty
     index = fit(np.stack(taken.to_list()).astype(np.float32), n, k, recall)
@@ -179,9 +197,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "cid"))).where(F.col("_r") <= rerank).select("qid", "cid")
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     scored = best.join(entries, "cid").join(entries.select(F.col("cid").alias("qid"), F.col("v").alias("q")), "qid").select("qid", "cid", "ids", product.alias("score"))
-    top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("_r") <= k + 1)
-    members = top.select("qid", "score", F.explode("ids").alias("vec_id"))
+    top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("_r") <= k + 1)
+    members = top.select("qid", "cid", "score", F.explode("ids").alias("vec_id"))
     members = members.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k + 1)
-    lists = members.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("_r", "vec_id", "score"))).alias("_found"))
-    mine = asked.join(lists, "qid").select("query_id", F.expr(f"slice(filter(_found, x -> x.vec_id <> query_id), 1, {k})").alias("_found"))
+    lists = members.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("_r", "vec_id", "score", (F.col("cid") == F.col("qid")).alias("_same")))).alias("_found"))
+    # the query's own row is one of those with its id and its vector; others that share only the id are candidates
+    own = "array_position(transform(_found, x -> x._same and x.vec_id = query_id), true)"
+    mine = asked.join(lists, "qid").select("query_id", F.expr(f"slice(filter(_found, (x, i) -> i + 1 <> {own}), 1, {k})").alias("_found"))
     return mine.select("query_id", F.posexplode("_found").alias("_at", "_hit")).select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_hit.vec_id").alias("vec_id"), F.col("_hit.score").alias("score"))

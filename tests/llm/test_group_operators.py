@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
+from pyspark.sql import functions as F
+
 import tessera.llm.lines as lines_module
 from tests.llm.helpers import documents, edge_documents, plain
 from tessera.llm import components, lines, neighbours, simhash
@@ -236,6 +238,14 @@ def test_neighbours(spark):
     assert found / (30 * 20) > 0.9
 
 
+def test_repeated_ids_and_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.5]), (20, [1.0, 0.0]), (3, [2.0, 0.0]), (40, [1.0, 0.0, 0.0]), (41, [1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 rank", "2 cid", "'x' v", "3 list")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df).collect())
+    one = [(20, 1, 3, 2.0), (20, 2, 20, 1.0), (20, 3, 20, 0.5)]
+    assert got == sorted([*one, *one, (20, 1, 3, 1.0), (20, 2, 20, 0.5), (20, 3, 20, 0.5), (40, 1, 41, 1.0)])
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.5, 0.5]), (20, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df).collect())
@@ -261,6 +271,42 @@ def test_pipeline(spark, sf_dir):
     assert {d for d, *_ in plain(pipeline.run(spark, sf_dir))} == {d for d, _ in rows}
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    names = {"score": "double", "ambiguous": "boolean", "lang_pred": "string", "__id": "int", "__key": "int", "__gone": "int", "hits": "int", "spans": "int", "items": "int"}
+    docs = documents(spark).select("*", *[F.lit("1").cast(kind).alias(name) for name, kind in names.items()])
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+        assert set(names) < set(docs.columns) and docs.count() > 3
+        assert docs.where(" or ".join(f"cast({name} as string) not in ('1', '1.0', 'true') or {name} is null" for name in names)).count() == 0
+
+
+@pytest.mark.parametrize("shard", [5, 64])
+def test_groups_of_many_shards(spark, shard):
+    from tessera.llm._groups import group_links
+
+    r = random.Random(shard)
+    values = [r.choice((0, 1000)) + r.randrange(40) for _ in range(90)] + list(range(5000, 5400, 40))
+    rows = [(i % 2, i, v) for i, v in enumerate(values)]
+
+    def compare(members, left):
+        own, out = members.field("v").to_pylist(), []
+        for i in range(len(own) if left is None else left):
+            out += [(i, j) for j in range(i + 1 if left is None else left, len(own)) if abs(own[i] - own[j]) <= 3]
+        a, b = zip(*out) if out else ((), ())
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    want = Groups(range(len(values)))
+    for i, v in enumerate(values):
+        for j in range(i):
+            if (i - j) % 2 == 0 and abs(v - values[j]) <= 3:
+                want.join(i, j)
+    links = group_links(spark.createDataFrame(rows, "group int, id long, v int"), compare, shard)
+    got = dict(plain(components.connected_components(links)))
+    assert [got.get(i, i) for i in range(len(values))] == [want.top(i) for i in range(len(values))]
+
+
 def test_pipeline_stages_on_edges(spark, sf_dir):
     import corpus_pipeline as pipeline
 

@@ -243,6 +243,21 @@ def test_quality(spark, sf_dir, docs, empty):
     assert quality.classify(empty, model).collect() == []
 
 
+def test_votes_of_neighbours():
+    r = np.random.default_rng(4)
+    counts = r.poisson(1.0, (40, 30)).astype(np.float32)
+    vectors = r.normal(size=(25, 6)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    good, weight = (np.arange(25) % 2).astype(float), r.uniform(0.5, 2, 25)
+    model = quality.Model(r.uniform(1, 2, 30).astype(np.float32), r.normal(size=(30, 6)).astype(np.float32), vectors, good, weight, 7)
+    for row, got in zip(counts, model.score(counts), strict=True):
+        z = (row * model.idf) @ model.axes
+        cosine = [float(np.dot(z, v) / np.linalg.norm(z)) for v in vectors]
+        near = sorted(range(25), key=lambda i: -cosine[i])[:7]
+        say = [np.exp(12 * (cosine[i] - 1)) * weight[i] for i in near]
+        assert abs(got - sum(x * good[i] for x, i in zip(say, near)) / sum(say)) < 1e-4
+
+
 # ---- op9
 
 
@@ -266,9 +281,12 @@ def contamination(rows, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [2 << 20, 200])
-def test_contamination(spark, docs, empty, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits, few", [(1 << 24, 500_000), (1 << 13, 0)])
+def test_contamination(spark, docs, empty, bits, few, monkeypatch):
+    from tessera.llm import _tables
+
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
+    monkeypatch.setattr(_tables, "BROADCAST_ROWS", few)
     rows = edge_documents()
     items = [(1, rows[0][1][300:500]), (10, "über STRASSE straße"), (2, "word word"), (3, ""), (4, None), (5, rows[3][1]), (None, "a"), (6, rows[0][1][300:500]), (7, "日本語")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -279,6 +297,15 @@ def test_contamination(spark, docs, empty, block, monkeypatch):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+def test_contamination_of_items_without_end(spark):
+    items = [(i, " ".join(f"k{(i * 7 + j) % 4000}" for j in range(30))) for i in range(800)] + [(i, "the same ten words stand in every one of these items here") for i in range(900, 1100)]
+    rows = [(1, items[5][1] + " x " + items[950][1], None, None, 0), (2, "nothing of it", None, None, 0)]
+    df, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string").repartition(40)
+    found = decontaminate.contamination(df, bench)
+    assert plain(found) == contamination(rows, items)
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") <= 2
+
+
 def test_contamination_in_corpus(spark, sf_dir):
     df, bench = corpus(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert plain(decontaminate.contamination(df, bench)) == contamination(df.select("doc_id", "text").collect(), [tuple(r) for r in bench.select("item_id", "text").collect()])
@@ -302,6 +329,32 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, alone).collect()} == {"xx", "und"}
 
 
+def test_decoding_takes_the_nearest_codeword():
+    r = np.random.default_rng(6)
+    for classes in (2, 4, 9):
+        code = langid.codewords(classes)
+        model = langid.Model([f"l{i}" for i in range(classes)], code, np.zeros((1, code.shape[1]), np.float32), langid.MARGIN)
+        bits = r.normal(size=(50, code.shape[1])) / 4
+        best, score, close = model.decode(bits)
+        for row, own, p, near in zip(bits, best, score, close, strict=True):
+            loss = [sum(np.log1p(np.exp(-8 * b * c)) for b, c in zip(row, word, strict=True)) for word in code]
+            order = sorted(range(classes), key=lambda i: loss[i])
+            assert own == order[0] and abs(p - 1 / sum(np.exp(loss[own] - x) for x in loss)) < 1e-9
+            assert near == (loss[order[1]] - loss[own] < langid.MARGIN * sum(code[own] != code[order[1]]))
+
+
+def test_ambiguous_texts_are_flagged(spark):
+    import random
+
+    r = random.Random(2)
+    df = corpus(spark, "/root/testdata/sf0.01")
+    model = langid.train_on(df)
+    noise = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(300)), None, None, 0) for i in range(60)]
+    assert sum(x.ambiguous for x in langid.identify(documents(spark, noise), model).collect()) > 40
+    lost = df.where("lang is not null").join(langid.determined(df, model).select("doc_id"), "doc_id", "left_anti").select("text").collect()
+    assert all(not any(c.isalpha() for c in x.text or "") for x in lost)
+
+
 @pytest.mark.parametrize("classes", [1, 2, 4, 5, 9, 40])
 def test_codewords(classes):
     code = langid.codewords(classes)
