@@ -59,20 +59,20 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = new
 
 
-def group_links(rows: DataFrame, compare: Compare, shard: int, shard_bytes: int = 8 << 20, weight: str | None = None) -> DataFrame:
+def group_links(rows: DataFrame, compare: Compare, shard: int, shard_bytes: int = 8 << 20, sizes: DataFrame | None = None) -> DataFrame:
     """(a, b): ids that link within the groups of ``rows`` (group, id, and what ``compare`` reads), forests that join what is linked.
 
-    ``rows`` are read several times. A row's size is taken from its column ``weight``.
+    ``rows`` are read once, and twice more if there are groups of several shards. ``sizes``, if given, has a row (group, size in bytes) for each of them.
     """
     id_type = rows.schema["id"].dataType
     fields = [c for c in rows.columns if c != "group"]
-    shards = F.ceil(F.count("*") / shard) if weight is None else F.ceil(F.greatest(F.count("*") / shard, F.sum(F.octet_length(weight)) / shard_bytes))
-    large = cut_lineage(rows.groupBy("group").agg(shards.cast("int").alias("_shards")).where("_shards > 1"))
+    shards = F.ceil(F.count("*") / shard) if sizes is None else F.ceil(F.greatest(F.count("*") / shard, F.sum("size") / shard_bytes))
+    large = cut_lineage((rows if sizes is None else sizes).groupBy("group").agg(shards.cast("int").alias("_shards")).where("_shards > 1"))
     few = small_side(large)
     dealt = rows.join(few, "group", "left").withColumn("_shards", F.coalesce("_shards", F.lit(1)))
     dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("id"), F.col("_shards")).cast("int"))
     # dealt by group and shard, so that no task gets a whole group
-    packed = dealt.repartition("group", "_shard").groupBy("group", "_shard").agg(F.first("_shards").alias("_shards"), F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))
+    packed = dealt.repartition("group", "_shard").groupBy("group", "_shard").agg(F.first("_shards").alias("_shards"), F.sort_array(F.collect_set(F.struct(*fields))).alias("_rows"))
     member = packed.schema["_rows"].dataType.elementType
     to_all = F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard")
     pivots = packed.where("_shards > 1 and _shard = 0").select("group", F.slice("_rows", 1, PIVOTS).alias("_pivots"), to_all)

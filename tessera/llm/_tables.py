@@ -60,6 +60,12 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def sized_lists(lists: DataFrame) -> DataFrame:
+    """Lists by document, broadcast if they are few, else hashed in memory where the shuffled texts come by."""
+    few = small_side(lists)
+    return few if few is not lists else lists.hint("shuffle_hash")
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it is."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,6 @@ blocks, which fingerprints of at most ``radius`` differing bits agree on. But a
 than an edit similarity of 0.8. So by default (``radius`` None) fingerprints of 64 bits are taken of character n-grams (of 2 bytes in very short lines, 3 in
 short ones, 5 in others) and lines meet where one of ``BANDS`` blocks, each of ``ROWS`` MinHash values of the same n-grams,
 agrees and the fingerprints differ in at most ``SKETCH`` bits: lines of a Jaccard similarity s of n-grams do with about 1 - (1 - s ** ROWS) ** BANDS.
-Block keys are counted first, with partial sums, and only keys that several classes have are read again with their lines.
 
 Defined results: null text stays null and has no lines; empty lines and lines of fewer words always stay; a row with a null id
 keeps its lines and takes none away; rows equal in id and text are one document and lose the same lines; an empty table gives an empty one.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from tessera.llm._groups import Sets, group_links
-from tessera.llm._tables import BROADCAST_ROWS, cut_lineage, fresh, map_batches, small_side
+from tessera.llm._tables import cut_lineage, fresh, map_batches, sized_lists
 from tessera.llm._words import NOT_SPACE, Words, digests, mix, slices, spaced, split
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bucketed
@@ -39,11 +38,15 @@ _SIGN = np.uint64(1 << 63)
 #: Most lines in a shard in which texts are compared.
 SHARD = 1024
 #: MinHash values in a block, blocks, and bits in which the fingerprints of candidates may differ.
-ROWS, BANDS, SKETCH = 4, 12, 18
+ROWS, BANDS, SKETCH = 4, 10, 15
 #: Bytes of an n-gram, and of the lines from which it is taken. Lines near a limit nominate with both, so that every two alike share one.
-GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 1 << 40))
+GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 120))
+#: Longer lines hash each n-gram once, and the least hash in each of ROWS * BANDS parts stands for a permutation's minimum.
+LONG = (8, 96)
 #: Keys of lines that a task remembers, to nominate a repeated line once.
 REMEMBERED = 1 << 20
+#: One line in so many is looked at first, to find keys that very many lines share.
+SAMPLED = 64
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
@@ -72,29 +75,66 @@ def _simhashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
+def _taken(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes from each start to each end one behind the other, and where they start and end now."""
+    n = end - start
+    to = np.cumsum(n)
+    return data[np.arange(n.sum()) + np.repeat(start - (to - n), n)], to - n, to
+
+
+def _gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """32 bits of the n bytes from each byte on."""
+    x = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)[: len(data)]).view("<u8")[:, 0]
+    x &= np.uint64((1 << 8 * n) - 1)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lines x (ROWS * BANDS): the least of the hashes from start to end under each of as many permutations."""
+    bounds = np.stack([start, end], 1).ravel()  # an end is at most the last place, since an n-gram starts before its line ends
+    return np.stack([np.minimum.reduceat(hashes * seed, bounds)[::2] for seed in _SEEDS], 1)
+
+
+def _part_minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As ``_minima``, from one permutation whose values are dealt into parts; an empty part takes what another, fixed by its number, has."""
+    parts, n = len(_SEEDS), end - start
+    line = np.repeat(np.arange(len(n)), n)
+    own = hashes[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)]
+    out = np.full(len(n) * parts, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(out, line * parts + (own >> np.uint32(8)) % np.uint32(parts), own * np.uint32(0x9E3779B1))
+    out = out.reshape(-1, parts)
+    given, empty = out.copy(), out == 0xFFFFFFFF
+    for turn in range(1, 400):
+        if not empty.any():
+            break
+        other = (mix(np.arange(parts, dtype=np.uint64) + np.uint64(turn << 20)) % np.uint64(parts)).astype(np.int64)
+        given = np.where(empty, out[:, other], given)
+        empty &= out[:, other] == 0xFFFFFFFF
+    return given
+
+
 def _blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(positions, fingerprints, keys of their blocks) of the lines from start to end, for each n-gram size that they take."""
-    wide = data.astype(np.uint64)
-    for n, low, high in GRAMS:
+    for n, low, high in (*GRAMS, (*LONG, 1 << 40)):
         own = np.flatnonzero((end - start >= max(n, low)) & (end - start <= high))
         if not len(own):
             continue
-        grams = np.zeros(len(data) - n + 1, np.uint64)
-        for i in range(n):
-            grams |= wide[i : len(data) - n + 1 + i] << np.uint64(8 * i)
-        hashes = np.append((mix(grams) >> np.uint64(32)).astype(np.uint32), np.zeros(n, np.uint32))
-        bounds = np.stack([start[own], end[own] - n + 1], 1).ravel()
+        part, first, last = _taken(data, start[own], end[own])
+        minima = (_part_minima if low == LONG[1] else _minima)(_gram_hashes(part, n), first, last - n + 1)
         prints, keys = np.zeros(len(own), np.uint64), np.zeros((len(own), BANDS), np.uint64)
-        for k, seed in enumerate(_SEEDS):
-            least = mix(np.minimum.reduceat(hashes * seed, bounds)[::2].astype(np.uint64) + np.uint64(k << 32))
+        for k in range(len(_SEEDS)):
+            least = mix(minima[:, k].astype(np.uint64) + np.uint64(k << 32))
             if k < 64:
                 prints |= (least >> np.uint64(63)) << np.uint64(k)
             keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least)
         yield own, prints, mix(keys + np.arange(BANDS, dtype=np.uint64) + np.uint64(n << 16))
 
 
-def nominations(rows: DataFrame, least_words: int, full: bool) -> DataFrame:
-    """_key of each block of each line of ``rows``; with ``full``, also the line's name and fingerprint (_key, id, fp)."""
+def nominations(rows: DataFrame, least_words: int, one_in: int = 1) -> DataFrame:
+    """(_key, id, fp): each block of each line of ``rows``, with the line's name and fingerprint; with ``one_in``, of about one line in so many."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -103,29 +143,30 @@ def nominations(rows: DataFrame, least_words: int, full: bool) -> DataFrame:
                 words, first, last, _, _ = _lines(data, bounds, least_words)
                 joined, start, end = spaced(words, first, last)
                 names, _ = digests(joined, start, end)
-                fresh_lines = []
+                own = []
                 for i, name in enumerate(names.tolist()):
-                    if name not in seen:
+                    if name not in seen and name % one_in == 0:
                         seen.add(name)
-                        fresh_lines.append(i)
+                        own.append(i)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                own = np.array(fresh_lines, np.int64)
+                own = np.array(own, np.int64)
                 for at, prints, keys in _blocks(joined, start[own], end[own]):
-                    out = [pa.array(keys.ravel().view(np.int64))]
-                    if full:
-                        out += [pa.array(np.repeat(names[own[at]], BANDS)), pa.array(np.repeat(prints.view(np.int64), BANDS))]
-                    yield pa.RecordBatch.from_arrays(out, ["_key", "id", "fp"][: len(out)])
+                    out = [keys.ravel().view(np.int64), np.repeat(names[own[at]], BANDS), np.repeat(prints.view(np.int64), BANDS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["_key", "id", "fp"])
 
-    schema = "_key long, id long, fp long" if full else "_key long"
-    return rows.where(F.col("_id") != _NO_ID).select("text").transform(map_batches, scan, schema)
+    return rows.where(F.col("_id") != _NO_ID).select("text").transform(map_batches, scan, "_key long, id long, fp long")
 
 
 def _units(rows: DataFrame, least_words: int) -> DataFrame:
-    """(id, group): groups of lines, by name, that nominate each other; those of fingerprints that are near in a bucket, or all of a bucket of over 2 * SHARD."""
-    shared = cut_lineage(nominations(rows, least_words, False).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"))
-    met = cut_lineage(nominations(rows, least_words, True).join(small_side(shared), "_key"))
-    small = met.where(F.col("_n") <= 2 * SHARD).groupBy("_key").agg(F.collect_set(F.struct("id", "fp")).alias("_rows")).where(F.size("_rows") > 1)
+    """(id, group): groups of lines, by name, that nominate each other.
+
+    Lines whose fingerprints are near in a bucket form a group, called after the smallest, so that the buckets of alike lines call it alike. A key that a
+    sample shows to have very many lines is a group as it is, so that no task ever holds its lines.
+    """
+    popular = nominations(rows, least_words, SAMPLED).groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SHARD // SAMPLED).select("_key", F.lit(True).alias("_popular"))
+    met = nominations(rows, least_words).join(F.broadcast(cut_lineage(popular)), "_key", "left")  # at most a few in 100,000 of all keys
+    small = met.where("_popular is null").groupBy("_key").agg(F.collect_set(F.struct("id", "fp")).alias("_rows")).where(F.size("_rows") > 1)
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,12 +179,12 @@ def _units(rows: DataFrame, least_words: int) -> DataFrame:
                 labels[moved] = to
                 for label in np.unique(to):
                     part = own[labels == label]
-                    ids.append(part)  # named by its members, so that buckets of the same lines name it alike
-                    names.append(np.full(len(part), mix(np.bitwise_xor.reduce(mix(part.view(np.uint64)), keepdims=True)).view(np.int64)))
+                    ids.append(part)
+                    names.append(np.full(len(part), part.min()))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, names)], ["id", "group"])
 
     formed = small.select("_rows").transform(map_batches, form, "id long, group long")
-    return formed.union(met.where(F.col("_n") > 2 * SHARD).select("id", "_key")).distinct()
+    return formed.union(met.where("_popular").select("id", "_key")).distinct()
 
 
 def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,22 +203,23 @@ def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[Word
 
 
 def occurrences(rows: DataFrame, least_words: int, prints: bool) -> DataFrame:
-    """(a, b, fp, id): digest of each line, its SimHash if asked for, and its place as bytes in order: document, line, text's hash."""
+    """(a, b, id, size, fp): digest of each line, its place as bytes in order (document, line, text's hash), its bytes, and its SimHash if asked for."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_key"))
             for at, _, data, bounds in slices(batch.column("text")):
                 words, first, last, row, number = _lines(data, bounds, least_words)
-                a, b = digests(*spaced(words, first, last))
+                joined, start, end = spaced(words, first, last)
+                a, b = digests(joined, start, end)
                 doc = ids[at + row]
                 place = np.zeros(len(row), [("doc", ">u8"), ("line", ">u4"), ("key", ">u8")])
                 place["doc"], place["line"], place["key"] = doc.view(np.uint64) ^ _SIGN, number, keys[at + row].view(np.uint64) ^ _SIGN
                 raw = pa.Array.from_buffers(pa.binary(20), len(place), [None, pa.py_buffer(place.tobytes())]).cast(pa.binary())
-                out = [pa.array(a), pa.array(b), raw] + ([pa.array(_simhashes(words, first, last).view(np.int64))] if prints else [])
-                yield pa.RecordBatch.from_arrays(out, ["a", "b", "id", "fp"][: len(out)])
+                out = [pa.array(a), pa.array(b), raw, pa.array((end - start).astype(np.int32))] + ([pa.array(_simhashes(words, first, last).view(np.int64))] if prints else [])
+                yield pa.RecordBatch.from_arrays(out, ["a", "b", "id", "size", "fp"][: len(out)])
 
-    schema = "a long, b long, id binary" + (", fp long" if prints else "")
+    schema = "a long, b long, id binary, size int" + (", fp long" if prints else "")
     return rows.where(F.col("_id") != _NO_ID).select("_id", "_key", "text").transform(map_batches, scan, schema)
 
 
@@ -297,9 +339,7 @@ def _compare(members: pa.StructArray, left: int | None, radius: int | None, leas
 def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """(id, fp, group, line) of the lines ``wanted`` (id, fp, group), with their normalised text."""
     lists = wanted.groupBy(_part(1, 8).alias("_id"), _part(13, 8).alias("_key")).agg(F.collect_list(F.struct("id", "fp", "group")).alias("wanted"))
-    lists = cut_lineage(lists)
-    if lists.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(lists.select("_id", "_key")), ["_id", "_key"], "left_semi")
+    lists = sized_lists(cut_lineage(lists))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,22 +357,22 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
             cells = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "fp", "group", "line"])
 
-    return rows.join(lists.hint("shuffle_hash"), ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string").dropDuplicates(["id", "group"])
+    return rows.join(lists, ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string")
 
 
 def _removals(rows: DataFrame, least_words: int, radius: int | None, similarity: float) -> DataFrame:
     """(_id, _key, _gone): numbers of the lines that each document loses."""
     found = cut_lineage(occurrences(rows, least_words, radius is not None))
     print_of = [F.first("fp").alias("fp")] if radius is not None else []
-    classes = cut_lineage(found.groupBy("a", "b").agg(F.min("id").alias("own"), F.count("*").alias("n"), *print_of))
+    classes = cut_lineage(found.groupBy("a", "b").agg(F.min("id").alias("own"), F.count("*").alias("n"), F.first("size").alias("size"), *print_of))
     if radius is None:
         groups = _units(rows, least_words).withColumnRenamed("id", "a")
-        wanted = classes.select("a", F.lit(0).cast("long").alias("fp"), F.col("own").alias("id")).join(groups, "a").drop("a")
+        wanted = classes.select("a", "size", F.lit(0).cast("long").alias("fp"), F.col("own").alias("id")).join(groups, "a").drop("a")
     else:
-        met = bucketed(classes.select("fp", F.col("own").alias("id")), radius, classes.count(), bucket=512)
-        wanted = met.select("id", "fp", "group")
-    lines = cut_lineage(_candidate_texts(rows, wanted, least_words))
-    links = group_links(lines, lambda members, left: _compare(members, left, radius, similarity), SHARD, weight="line")
+        wanted = bucketed(classes.select("fp", F.col("own").alias("id")), radius, classes.count(), bucket=512).join(classes.select(F.col("own").alias("id"), "size"), "id")
+    wanted = cut_lineage(wanted)
+    lines = _candidate_texts(rows, wanted, least_words)
+    links = group_links(lines, lambda members, left: _compare(members, left, radius, similarity), SHARD, sizes=wanted.select("group", "size"))
     kept = connected_components(links)
     keep = classes.join(kept, F.col("own") == F.col("node"), "left").where("n > 1 or component is not null").select("a", "b", F.coalesce("component", "own").alias("keep"))
     gone = found.join(keep, ["a", "b"]).where("id <> keep")
@@ -371,5 +411,4 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 1, radius: int | Non
     if report:
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = StructType().add("doc_id", LongType()).add("n_lines", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType()) if report else docs.schema
-    few = gone.count() <= BROADCAST_ROWS
-    return keyed.join(gone.hint("broadcast" if few else "shuffle_hash"), [own_id, own_key], "left").select(*wanted, lost).transform(map_batches, cut, schema)
+    return keyed.join(sized_lists(gone), [own_id, own_key], "left").select(*wanted, lost).transform(map_batches, cut, schema)
