@@ -38,10 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64 bits of each word: its length and its bytes, eight at a time, each round mixed over the whole number."""
     size = end - start
-    out = mix(size.astype(np.uint64) * _STEP + np.uint64(0x243F6A8885A308D3))
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(0x243F6A8885A308D3 + (seed << 32)))
     eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
     own, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
     while len(own):
@@ -50,7 +50,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         at += 8
         own = own[size[own] > at]
     for i in np.flatnonzero(size > _LONG).tolist():
-        out[i] = xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+        out[i] = xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
     return out
 
 

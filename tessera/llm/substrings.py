@@ -2,12 +2,12 @@
 
 The graph's nodes are word k-mers, its edges lead to the next k-mer of a text. Of all k-mers, five times the input, only those are shuffled that are
 the minimum of some window of ``window`` words: such a k-mer and the windows that have it form one arc, told by the k-mer and
-by a digest of the words it spans, and consecutive windows of a text lead from arc to arc. Arcs whose k-mer only one document has drop out first.
+by a hash of the words it spans, and consecutive windows of a text lead from arc to arc. Arcs whose k-mer only one document has drop out first.
 A k-mer with several arcs branches. Of the others, edges from arc to next arc are counted, in- and out-degrees are
 taken from the counts, and paths on which every occurrence goes the same way are contracted to their first arc in joins that double their
 reach each round. Then each document's text is read at the source coordinates of its paths, and at every window of its branching arcs,
-and BLAKE2b digests of the words found there decide: the smallest document with the same words keeps them. At last
-overlapping spans are merged and the words dropped.
+and 128 bits of the words found there decide, BLAKE2b digests of whole paths and two independent hashes of windows: the smallest document with the
+same words keeps them. At last overlapping spans are merged and the words dropped.
 
 Defined results: null and empty texts have no words; a repeat inside one document stays; rows with one id never
 remove from each other; a row with a null id (as which the smallest long counts) is no source and loses nothing; rows equal in id and text are one
@@ -24,18 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import cut_lineage, map_batches, small_side
-from tessera.llm._words import NOT_SPACE, Words, digests, slices, spaced, split, window_minimum
+from tessera.llm._tables import cut_lineage, map_batches, sized_lists, small_side
+from tessera.llm._words import NOT_SPACE, Words, digests, grams, mix, slices, spaced, split, window_minimum, word_hashes
 
 _NO_ID = -(1 << 63)
-_ARC = "kmer long, a long, b long, _id long, _text long, start int, n int"
+_ARC = "kmer long, a long, _id long, _text long, start int, n int"
 
 
-def _span_digests(words: Words, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
-    """Digests of the words from each start to the word before each end, one space between them."""
+def _span_digests(words: Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b digests of the words from each start to the word before each end, one space between them."""
     joined, at, _ = spaced(words, np.arange(len(words.start)), np.arange(1, len(words.start) + 1))
     behind = at + (words.end - words.start)
-    return [pa.array(x) for x in digests(joined, at[start], behind[end - 1])]
+    return digests(joined, at[start], behind[end - 1])
+
+
+def _span_names(words: Words, start: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the words from each start to each end, out of hashes of ``window`` words, the last of which may overlap."""
+    pieces = grams(mix(words.hash ^ np.uint64(0x13198A2E03707344)), words.row, window)
+    out = mix((end - start).astype(np.uint64))
+    for k in range(-(-int((end - start).max(initial=0)) // window)):
+        out = mix((out ^ pieces[np.minimum(start + k * window, end - window)]) * np.uint64(0xD6E8FEB86659FD93))
+    return out.view(np.int64)
 
 
 def _arcs(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +77,9 @@ def arcs(rows: DataFrame, window: int, k: int) -> DataFrame:
                 words = split(data, bounds, NOT_SPACE)
                 kmer, first, count, row = _arcs(words, window, k)
                 if len(first):
-                    spans = _span_digests(words, first, first + count + window - 1)
+                    span = _span_names(words, first, first + count + window - 1, window)
                     place = [ids[a + row], keys[a + row], (first - words.first[row]).astype(np.int32), count.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), *spans, *map(pa.array, place)], ["kmer", "a", "b", "_id", "_text", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kmer.view(np.int64), span, *place)], ["kmer", "a", "_id", "_text", "start", "n"])
 
     return rows.where(F.col("_id") != _NO_ID).select("_id", "_text", "text").transform(map_batches, scan, _ARC)
 
@@ -96,7 +105,7 @@ def _paths(lists: DataFrame) -> DataFrame:
     # an arc leads to the one that starts where its windows end; null where the next is branching, elsewhere or none
     pairs = F.zip_with(whole, F.slice(whole, 2, F.size(whole)), lambda x, y: F.struct(x.alias("x"), F.when(y["start"] == x["start"] + x["n"], y).alias("y")))
     exploded = lists.where(F.size(whole) > 0).select("_id", "_text", F.explode(pairs).alias("p")).where("p.x is not null")
-    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.a"), F.col(f"{c}.b")))
+    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.kmer"), F.col(f"{c}.a")))
     steps = exploded.select("_id", "_text", name("p.x").alias("u"), name("p.y").alias("v"), F.col("p.x.start").alias("start"), F.col("p.x.n").alias("n"))
     edges = cut_lineage(steps.groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n")))
     nodes = edges.groupBy("u").agg(F.sum("c").alias("times"), F.count("*").alias("ways"))
@@ -111,28 +120,25 @@ def _paths(lists: DataFrame) -> DataFrame:
 
 
 def _read(rows: DataFrame, window: int) -> DataFrame:
-    """(a, b, _id, _text, start, n): digests of the words at each of ``paths`` and at each window of ``open``, of rows of (_id, _text, text, paths, open)."""
+    """(a, b, _id, _text, start, n) of each of ``paths`` and each window of ``open`` in rows of (_id, _text, text, paths, open).
+
+    a and b are 128 bits of the words there: BLAKE2b digests of paths, two independent hashes of windows.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                starts, counts = [], []
-                for column in ("paths", "open"):
-                    spans = batch.column(column)[i]
-                    if spans.is_valid and len(spans.values):
-                        start, n = (np.asarray(spans.values.field(c)).astype(np.int64) for c in ("start", "n"))
-                        if column == "open":
-                            start = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                            n = np.ones(len(start), np.int64)
-                        starts.append(start)
-                        counts.append(n)
-                if not starts:
-                    continue
-                at, n = np.concatenate(starts), np.concatenate(counts)
+                paths, spans = (batch.column(c)[i] for c in ("paths", "open"))
+                some, opened = ([np.asarray(x.values.field(c)).astype(np.int64) for c in ("start", "n")] if x.is_valid else [np.zeros(0, np.int64)] * 2 for x in (paths, spans))
+                at = np.unique(np.repeat(opened[0], opened[1]) + np.arange(opened[1].sum()) - np.repeat(np.cumsum(opened[1]) - opened[1], opened[1]))
                 for _, _, data, bounds in slices(batch.column("text").slice(i, 1)):
-                    named = _span_digests(split(data, bounds, NOT_SPACE), at, at + n + window - 1)
-                    same = [pa.repeat(batch.column(c)[i], len(at)) for c in ("_id", "_text")]
-                    yield pa.RecordBatch.from_arrays([*named, *same, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "_id", "_text", "start", "n"])
+                    words = split(data, bounds, NOT_SPACE)
+                    long = _span_digests(words, some[0], some[0] + some[1] + window - 1) if len(some[0]) else some
+                    other = word_hashes(words.data, words.start, words.end, 1) if len(at) else words.hash
+                    short = [grams(x, words.row, window)[at].view(np.int64) for x in (words.hash, other)]
+                    out = [*(np.concatenate(x) for x in zip(long, short, strict=True)), np.concatenate([some[0], at]).astype(np.int32), np.concatenate([some[1], np.ones(len(at), np.int64)]).astype(np.int32)]
+                    same = [pa.repeat(batch.column(c)[i], len(out[0])) for c in ("_id", "_text")]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, out[:2]), *same, *map(pa.array, out[2:])], ["a", "b", "_id", "_text", "start", "n"])
 
     return rows.transform(map_batches, scan, "a long, b long, _id long, _text long, start int, n int")
 
@@ -166,26 +172,21 @@ def _marked(docs: DataFrame, window: int, k: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     found = arcs(rows, window, k)
-    classes = found.groupBy("kmer", "a", "b").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
+    classes = found.groupBy("kmer", "a").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
     kmers = classes.groupBy("kmer").agg(F.count("*").alias("_arcs"), F.min("low").alias("_low"), F.max("high").alias("_high"))
-    repeated = classes.join(kmers.where("_low < _high"), "kmer").select("kmer", "a", "b", (F.col("_arcs") > 1).alias("branches"))
-    lists = cut_lineage(found.join(repeated, ["kmer", "a", "b"]).groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", "n", "a", "b", "branches"))).alias("arcs")))
+    repeated = classes.join(kmers.where("_low < _high"), "kmer").select("kmer", "a", (F.col("_arcs") > 1).alias("branches"))
+    lists = cut_lineage(found.join(repeated, ["kmer", "a"]).groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", "n", "kmer", "a", "branches"))).alias("arcs")))
 
     spans = F.sort_array(F.collect_list(F.struct("start", "n")))
     paths = _paths(lists).groupBy("_id", "_text").agg(spans.alias("paths"))
     open_arcs = F.transform(F.filter("arcs", lambda x: x["branches"]), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))
     wanted = cut_lineage(lists.select("_id", "_text", open_arcs.alias("open")).join(paths, ["_id", "_text"], "left"))
-    texts = rows.join(_sized(wanted), ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+    texts = rows.join(sized_lists(wanted), ["_id", "_text"]).dropDuplicates(["_id", "_text"])
     seen = _read(texts.select("_id", "_text", "text", "paths", "open"), window)
     earliest = seen.groupBy("a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").drop("last")
+    earliest = small_side(cut_lineage(earliest))  # written, so that a join on a popular window may be dealt out as Spark sees fit
     lost = seen.join(earliest, ["a", "b"]).where("_id > owner").groupBy("_id", "_text").agg(spans.alias("spans"))
-    return rows.join(_sized(cut_lineage(lost)), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
-
-
-def _sized(lists: DataFrame) -> DataFrame:
-    """Lists by document, broadcast if they are few, else hashed where the shuffled texts come by."""
-    few = small_side(lists)
-    return few if few is not lists else lists.hint("shuffle_hash")
+    return rows.join(sized_lists(cut_lineage(lost)), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
