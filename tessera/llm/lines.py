@@ -38,7 +38,7 @@ _SIGN = np.uint64(1 << 63)
 #: Most lines in a shard in which texts are compared.
 SHARD = 1024
 #: MinHash values in a block, blocks, and bits in which the fingerprints of candidates may differ.
-ROWS, BANDS, SKETCH = 4, 10, 15
+ROWS, BANDS, SKETCH = 4, 16, 24
 #: Bytes of an n-gram, and of the lines from which it is taken. Lines near a limit nominate with both, so that every two alike share one.
 GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 120))
 #: Longer lines hash each n-gram once, and the least hash in each of ROWS * BANDS parts stands for a permutation's minimum.
