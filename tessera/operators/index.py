@@ -46,3 +46,18 @@ def both_ways(pairs: DataFrame, left: str, right: str) -> tuple[DataFrame, DataF
     """Number of distinct partners of each left value and of each right value of a link table."""
     links = pairs.select(left, right).distinct()
     return links.groupBy(left).agg(F.count("*").alias("n")), links.groupBy(right).agg(F.count("*").alias("n"))
+
+
+def lists(pairs: DataFrame, left: str, right: str, least: int = 1) -> DataFrame:
+    """(left, partners, n): the sorted distinct partners of each left value that has ``least`` of them; call it with the sides exchanged for the other way.
+
+    A list is one row. For values that very many rows share, keep the link table itself, ``postings``.
+    """
+    links = pairs.select(left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    return links.groupBy(left).agg(F.array_sort(F.collect_set(right)).alias("partners")).withColumn("n", F.size("partners").cast("long")).where(F.col("n") >= least)
+
+
+def partners_of(pairs: DataFrame, wanted: DataFrame, left: str, right: str) -> DataFrame:
+    """(left, partners) of each wanted left value; an empty list where it has none."""
+    empty = F.array().cast(f"array<{pairs.schema[right].dataType.simpleString()}>")
+    return wanted.select(left).join(lists(pairs, left, right), left, "left").select(left, F.coalesce("partners", empty).alias("partners"))

@@ -501,7 +501,7 @@ def adjacent_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as pos from documents),
 s as (select *, sum((len(line) < 80)::int) over (partition by doc_id order by pos) as section from l)
 select doc_id, section::bigint as section, count(*) as lines, sum(len(line))::bigint as chars from s group by all""")
-def level_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segment.sections(segment.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.length("line") < 80)
     return rows.groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
 
