@@ -125,20 +125,28 @@ def _read(rows: DataFrame, window: int) -> DataFrame:
     a and b are 128 bits of the words there: BLAKE2b digests of paths, two independent hashes of windows.
     """
 
+    def flat(lists: pa.Array, words: Words) -> list[np.ndarray]:
+        """Row, first word and windows of each span in a column of lists."""
+        values = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        return [row, np.asarray(values.field("start")).astype(np.int64) + words.first[row], np.asarray(values.field("n")).astype(np.int64)]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                paths, spans = (batch.column(c)[i] for c in ("paths", "open"))
-                some, opened = ([np.asarray(x.values.field(c)).astype(np.int64) for c in ("start", "n")] if x.is_valid else [np.zeros(0, np.int64)] * 2 for x in (paths, spans))
-                at = np.unique(np.repeat(opened[0], opened[1]) + np.arange(opened[1].sum()) - np.repeat(np.cumsum(opened[1]) - opened[1], opened[1]))
-                for _, _, data, bounds in slices(batch.column("text").slice(i, 1)):
-                    words = split(data, bounds, NOT_SPACE)
-                    long = _span_digests(words, some[0], some[0] + some[1] + window - 1) if len(some[0]) else some
-                    other = word_hashes(words.data, words.start, words.end, 1) if len(at) else words.hash
-                    short = [grams(x, words.row, window)[at].view(np.int64) for x in (words.hash, other)]
-                    out = [*(np.concatenate(x) for x in zip(long, short, strict=True)), np.concatenate([some[0], at]).astype(np.int32), np.concatenate([some[1], np.ones(len(at), np.int64)]).astype(np.int32)]
-                    same = [pa.repeat(batch.column(c)[i], len(out[0])) for c in ("_id", "_text")]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, out[:2]), *same, *map(pa.array, out[2:])], ["a", "b", "_id", "_text", "start", "n"])
+            for first, last, data, bounds in slices(batch.column("text")):
+                words = split(data, bounds, NOT_SPACE)
+                paths, opened = (flat(batch.column(c).slice(first, last - first), words) for c in ("paths", "open"))
+                n = opened[2]
+                at = np.unique(np.repeat(opened[1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                long = _span_digests(words, paths[1], paths[1] + paths[2] + window - 1) if len(paths[1]) else paths[1:]
+                other = word_hashes(words.data, words.start, words.end, 1) if len(at) else words.hash
+                short = [grams(x, words.row, window)[at].view(np.int64) for x in (words.hash, other)]
+                row = np.concatenate([paths[0], words.row[at]])
+                start = np.concatenate([paths[1], at]) - words.first[row]
+                same = [batch.column(c).take(pa.array(first + row)) for c in ("_id", "_text")]
+                size = np.concatenate([paths[2], np.ones(len(at), np.int64)])
+                cells = [*(np.concatenate(x) for x in zip(long, short, strict=True)), start.astype(np.int32), size.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cells[:2]), *same, *map(pa.array, cells[2:])], ["a", "b", "_id", "_text", "start", "n"])
 
     return rows.transform(map_batches, scan, "a long, b long, _id long, _text long, start int, n int")
 
