@@ -1,14 +1,14 @@
-"""Licence scans: every line and every whole text against licence templates, by Dice over word bigrams (op1).
+"""Licence scans: every line, paragraph and whole text against licence templates, by Dice over word bigrams (op1).
 
-Only DataFrame functions: texts are normalised (lower case, anything but a-z, 0-9 to one space), cut into units (each line, and the whole
-text if it has several lines) and into sets of word bigrams. A unit of n bigrams can only reach a coefficient t with templates of
-n * t / (2 - t) to n * (2 - t) / t bigrams, so templates are listed by the unit sizes that they allow and joined on the size; what is
-broadcast is that list, which the templates alone bound. Each unit keeps its best template; nothing is shuffled.
+Only DataFrame functions: texts are normalised (lower case, anything but a-z, 0-9 to one space), cut into units (each line, each paragraph of several
+lines where blank lines part the text, so that a wrapped notice inside a longer text is one unit, and the whole text if it has several lines) and into sets of word bigrams. A unit of n bigrams can only reach a coefficient t with templates of
+n * t / (2 - t) to n * (2 - t) / t bigrams, so templates are listed by the unit sizes that they allow and joined on the size. That list grows with the
+square of a template's length; it is broadcast while it holds at most ``BROADCAST_BIGRAMS``, and then nothing is shuffled. Each unit keeps its best template.
 A match shares at least t / (2 - t) of its template's bigrams, so a text can be passed over if it holds none of a few
 ``anchors``, words that stand in more of each template's bigrams than a match can do without.
 
 Defined results: null and empty texts, and units of fewer than two words, match nothing; of equally good templates the first in
-the table wins; repeated rows each give their rows; other columns are ignored.
+the table wins; very long texts and lines are read whole; repeated rows each give their rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +54,12 @@ TEMPLATES = [
 ]
 
 
+#: What parts paragraphs of normalised text.
+BREAK = "\n( ?\n)+"
+#: Bigrams in the list of templates by size up to which it is broadcast.
+BROADCAST_BIGRAMS = 4_000_000
+
+
 def _normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " ")
 
@@ -96,8 +102,13 @@ def _by_size(docs: DataFrame, templates: list[tuple[str, str]], least: float) ->
     return allowed.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("place", "licence", "bigrams"))).alias("candidates"))
 
 
+def _listed_bigrams(templates: list[tuple[str, str]], least: float) -> float:
+    """At most so many bigrams are in the list of templates by size."""
+    return sum(n * n * ((2 - least) / least - least / (2 - least)) + n for n in (len(text.split()) for _, text in templates))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, line (from 0; -1 for the whole text), licence and dice of every unit whose best template reaches ``least``."""
+    """doc_id, line (from 0; -1 for the whole text, -2 - n for paragraph n, from 0), licence and dice of every unit whose best template reaches ``least``."""
     templates = TEMPLATES if templates is None else templates
     if not math.isfinite(least) or not 0 < least <= 1:
         raise ValueError("least is over 0 and at most 1")
@@ -105,11 +116,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     some = reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in anchors(templates, least)], F.lit(False))
     text = low.where(some).select("doc_id", _normalised(F.col("text")).alias("text"))
     whole = F.when(F.contains("text", F.lit("\n")), F.array(F.regexp_replace("text", " ?\n[ \n]*", " "))).otherwise(F.array())
-    # the whole text comes first, as line -1, where there is one
-    units = text.select("doc_id", F.size(whole).alias("more"), F.posexplode(F.concat(whole, F.split("text", "\n"))).alias("at", "unit"))
-    words = units.select("doc_id", (F.col("at") - F.col("more")).alias("line"), F.split(F.trim("unit"), " ").alias("words"))
+    parts = F.split("text", BREAK)
+    # a lone paragraph is the whole text
+    several = F.when(F.size(parts) > 1, F.transform(parts, lambda p, i: F.struct((-2 - i).alias("at"), F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, " ?\n ?", " ")).alias("unit"))))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("unit")))
+    wholes = F.transform(whole, lambda x, i: F.struct((i - 1).alias("at"), x.alias("unit")))
+    none = F.array().cast("array<struct<at:int,unit:string>>")
+    units = text.select("doc_id", F.inline(F.concat(wholes, F.coalesce(several, none), lines)).alias("line", "unit")).where("unit is not null")
+    words = units.select("doc_id", "line", F.split(F.trim("unit"), " ").alias("words"))
     sized = words.select("doc_id", "line", _pairs(F.col("words")).alias("bigrams"))
-    met = sized.join(F.broadcast(_by_size(docs, templates, least)), F.size("bigrams") == F.col("size"))
+    known = _by_size(docs, templates, least)
+    known = F.broadcast(known) if _listed_bigrams(templates, least) <= BROADCAST_BIGRAMS else known
+    met = sized.join(known, F.size("bigrams") == F.col("size"))
     dice = F.transform("candidates", lambda c: F.struct((F.lit(2.0) * F.size(F.array_intersect(c["bigrams"], F.col("bigrams"))) / (F.size(c["bigrams"]) + F.col("size"))).alias("dice"), (-c["place"]).alias("order"), c["licence"].alias("licence")))
     best = met.select("doc_id", "line", F.array_max(dice).alias("best"))
     return best.where(F.col("best.dice") >= least).select("doc_id", F.col("line").cast("int"), F.col("best.licence").alias("licence"), F.col("best.dice").alias("dice"))
@@ -125,6 +143,7 @@ with templates(place, licence, text) as (values {rows}),
 t as (select place, licence, {pairs} as b from (select place, licence, string_split(trim({clean.format('text')}), ' ') as w from templates)),
 d as (select doc_id, {clean.format('text')} as text from documents where text is not null),
 u as (select doc_id, -1 as line, regexp_replace(text, ' ?\\n[ \\n]*', ' ', 'g') as unit from d where contains(text, chr(10))
+      union all select doc_id, (-1 - i)::int, regexp_replace(p, ' ?\\n ?', ' ', 'g') from (select doc_id, unnest(string_split_regex(text, '\\n( ?\\n)+')) as p, generate_subscripts(string_split_regex(text, '\\n( ?\\n)+'), 1) as i from d where regexp_matches(text, '\\n ?\\n')) where contains(p, chr(10))
       union all select doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int, unnest(string_split(text, chr(10))) from d),
 s as (select doc_id, line, {pairs} as b from (select doc_id, line, string_split(trim(unit), ' ') as w from u)),
 m as (select doc_id, line, licence, place, 2.0::double * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) as dice

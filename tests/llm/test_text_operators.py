@@ -40,6 +40,25 @@ def test_licences_edges(spark, docs, empty):
     assert got[-1][3] == 1.0
 
 
+def test_wrapped_notice_in_a_longer_text(spark, tmp_path, monkeypatch):
+    import textwrap
+
+    import duckdb
+
+    notice = "\n".join(textwrap.wrap(licences.TEMPLATES[2][1], 60))
+    prose = "".join(f"Line {i} of a manual\ngoes on w{i} x{i} y{i}\n" for i in range(90))
+    rows = [(1, f"{prose}\n \n{notice}\n\n\n{prose}", None, None, 0), (2, notice, None, None, 0), (3, f"\n\n{notice}\n\n", None, None, 0)]
+    df = documents(spark, rows)
+    got = plain(licences.scan(df))
+    assert [r[:3] for r in got] == [(1, -3, "MIT"), (2, -1, "MIT"), (3, -1, "MIT"), (3, -3, "MIT")] and {r[3] for r in got} == {1.0}
+    df.write.parquet(f"{tmp_path}/documents")
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    assert sorted(connection.sql(licences.oracle()).fetchall(), key=str) == got
+    monkeypatch.setattr(licences, "BROADCAST_BIGRAMS", 0)
+    assert plain(licences.scan(df)) == got
+
+
 def test_licence_anchors_lose_nothing(spark, sf_dir):
     def pairs(s):
         w = re.sub("[^a-z0-9\n]+", " ", s.lower()).replace("\n", " ").split()
