@@ -6,8 +6,8 @@ with the longest pieces that fit, then replaces the bin's smallest piece with tw
 the widened gap more tightly, and repeats that bin as often as the histogram allows. Each such layout says
 which ranks within a length go to which bins; pieces find their places by their rank, on the executors.
 
-Defined results: null and empty texts are one piece, the end mark alone; equal documents are packed each for themselves; an empty table
-gives an empty result; other columns are ignored.
+Defined results: null and empty texts are one piece, the end mark alone; very long texts, and runs of white space or letters in them, are encoded whole; equal
+documents are packed each for themselves; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

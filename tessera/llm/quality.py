@@ -8,7 +8,8 @@ exact cosine products, and its nearest neighbours vote with weights that grow wi
 
 The two classes are weighted to even sides, so a rare class is heard. Defined results: null and empty texts have the same,
 word-free trait vector and are scored like any other; without a label all scores are 0.5; rows of ``labels`` with a null are
-left out; a document that has several labels is learned once, at their mean rounded up.
+left out; a document that has several labels is learned once, at their mean rounded up; of neighbours that are equally near any may vote; very long texts are
+read whole; repeated rows each get their score; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
