@@ -251,15 +251,22 @@ class PrefixCounter:
         """Length in characters of the longest prefix of at most ``budget`` tokens; the walk ends soon behind it."""
         if self.special and self.special.search(text):
             return max(i for i, c in enumerate(self.counts(text)) if c <= budget)
-        best, run = 0, 0  # run: tokens before the stretch before, which no later prefix can undo
-        for start, base, counts in self._walk(text):
+        best = run = base = at = 0  # run: tokens before the stretch before, which no later prefix can undo
+        before = ""
+        for w in self.split.each(text):
             if run > budget:
                 break
-            for j in range(len(counts) - 1, -1, -1):
-                if base + counts[j] <= budget:
-                    best = start + j + 1
-                    break
-            run = base
+            total = self.ends[w]
+            if base + total <= budget:
+                best = at + len(w)
+            else:
+                back = len(before) if before.isspace() else 0
+                for start, tokens, counts in self._walk(text[at - back : at + len(w)] if back else w):
+                    fits = [j for j, c in enumerate(counts) if run * (back > 0) + base * (back == 0) + tokens + c <= budget]
+                    best = max(best, at - back + start + fits[-1] + 1) if fits else best
+            run, before = base, w
+            base += total
+            at += len(w)
         return best
 
 
