@@ -133,8 +133,8 @@ def _blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tu
         yield own, prints, mix(keys + np.arange(BANDS, dtype=np.uint64) + np.uint64(n << 16))
 
 
-def nominations(rows: DataFrame, least_words: int, one_in: int = 1) -> DataFrame:
-    """(_key, id, fp): each block of each line of ``rows``, with the line's name and fingerprint; with ``one_in``, of about one line in so many."""
+def nominations(rows: DataFrame, least_words: int) -> DataFrame:
+    """(_key, id, fp): each block of each line of ``rows``, with the line's name and fingerprint."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,7 +145,7 @@ def nominations(rows: DataFrame, least_words: int, one_in: int = 1) -> DataFrame
                 names, _ = digests(joined, start, end)
                 own = []
                 for i, name in enumerate(names.tolist()):
-                    if name not in seen and name % one_in == 0:
+                    if name not in seen:
                         seen.add(name)
                         own.append(i)
                 if len(seen) > REMEMBERED:
@@ -164,29 +164,45 @@ def _units(rows: DataFrame, least_words: int) -> DataFrame:
     Lines whose fingerprints are near in a bucket form a group, called after the smallest, so that the buckets of alike lines call it alike. A key that a
     sample shows to have very many lines is a group as it is, so that no task ever holds its lines.
     """
-    popular = nominations(rows, least_words, SAMPLED).groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SHARD // SAMPLED).select("_key", F.lit(True).alias("_popular"))
+    some = F.filter(F.split("text", "\n", -1), lambda line: F.pmod(F.xxhash64(line), F.lit(SAMPLED)) == 0)
+    sample = nominations(rows.select("_id", F.explode(some).alias("text")), least_words)
+    popular = sample.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SHARD // SAMPLED).select("_key", F.lit(True).alias("_popular"))
     met = nominations(rows, least_words).join(F.broadcast(cut_lineage(popular)), "_key", "left")  # at most a few in 100,000 of all keys
-    small = met.where("_popular is null").groupBy("_key").agg(F.collect_set(F.struct("id", "fp")).alias("_rows")).where(F.size("_rows") > 1)
+    runs = met.where("_popular is null").select("_key", "id", "fp").repartition("_key").sortWithinPartitions("_key", "id")
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            ids, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            rows = batch.column("_rows")
-            for i in range(len(batch)):
-                own, fps = (np.asarray(rows[i].values.field(c)) for c in ("id", "fp"))
-                labels = np.arange(len(own))
-                moved, to = _dense(fps.view(np.uint64), None, SKETCH)
-                labels[moved] = to
-                for label in np.unique(to):
-                    part = own[labels == label]
-                    ids.append(part)
-                    names.append(np.full(len(part), part.min()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, names)], ["id", "group"])
-
-    formed = small.select("_rows").transform(map_batches, form, "id long, group long")
+            held = [np.append(x, batch.column(c).to_numpy()) for x, c in zip(held, ("_key", "id", "fp"), strict=True)]
+            ready = np.searchsorted(held[0], held[0][-1:])[0] if len(held[0]) else 0  # the last key may go on in the next batch
+            yield _buckets(*(x[:ready] for x in held))
+            held = [x[ready:] for x in held]
+        yield _buckets(*held)
+
+    formed = runs.transform(map_batches, form, "id long, group long")
     return formed.union(met.where("_popular").select("id", "_key")).distinct()
 
 
+def _buckets(key: np.ndarray, line: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """(id, group) of the lines of each key, in the order of key and line, that have a near fingerprint in it."""
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line, fp = key[once], line[once], fp[once].view(np.uint64)
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(start, len(key)))
+    two = start[size == 2]
+    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= SKETCH]
+    ids, names = [line[two], line[two + 1]], [line[two], line[two]]
+    for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        moved, to = _dense(fp[s : s + n], None, SKETCH)
+        labels = np.arange(n)
+        labels[moved] = to
+        own = np.union1d(moved, to)
+        ids.append(line[s + own])
+        names.append(line[s + labels[own]])  # in the order of lines the label is the smallest
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, names)], ["id", "group"])
+
+
 def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and of each line of enough words: first word, word after the last, row, line number in its row."""
     words = split(data, bounds, NOT_SPACE, lower=True)
