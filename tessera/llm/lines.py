@@ -43,6 +43,8 @@ ROWS, BANDS, SKETCH = 4, 16, 24
 GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 120))
 #: Longer lines hash each n-gram once, and the least hash in each of ROWS * BANDS parts stands for a permutation's minimum.
 LONG = (8, 96)
+#: More lines than this, of at most so many characters, are compared with a line together, so many at a time.
+TOGETHER = (2, 3000, 128)
 #: Keys of lines that a task remembers, to nominate a repeated line once.
 REMEMBERED = 1 << 20
 #: One line in so many is looked at first, to find keys that very many lines share.
@@ -321,6 +323,34 @@ def similar(a: str, b: str, least: float) -> bool:
     return distance <= allowed
 
 
+def _distances(a: str, others: list[str]) -> np.ndarray:
+    """Levenshtein distance of ``a`` from each of ``others``, whose Myers columns stand one behind the other in one number, a bit apart."""
+    ends = np.cumsum([len(x) + 1 for x in others])
+    starts = np.append(0, ends[:-1])
+    chars = np.frombuffer("\0".join([*others, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    chars[ends - 1] = -1
+
+    def number(bits: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    places = {c: number(chars == ord(c)) for c in set(a)}
+    full = number(chars >= 0)
+    low = np.zeros(len(chars), bool)
+    low[starts] = True
+    ones = number(low & (chars >= 0))
+    plus, minus = full, 0
+    for c in a:
+        equal = places[c]
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | (full ^ (full & (across | plus))), plus & across
+        up, down = (up << 1 & full) | ones, down << 1 & full
+        step = equal | minus
+        plus, minus = down | (full ^ (full & (step | up))), up & step
+    size = (len(chars) + 7) // 8
+    raised, lowered = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=len(chars), bitorder="little").astype(np.int64) for x in (plus, minus))
+    return len(a) + np.add.reduceat(raised - lowered, starts)
+
+
 def _trigrams(lines: list[str]) -> np.ndarray:
     """Counts of each line's character trigrams in 1024 bins; an edit changes at most three trigrams to others."""
     out = np.zeros((len(lines), 1024), np.int32)
@@ -346,6 +376,14 @@ def _compare(members: pa.StructArray, left: int | None, radius: int | None, leas
             fit = np.abs(sizes[near] - sizes[i]) <= allowed
             near, allowed = near[fit], allowed[fit]
             near = near[np.abs(counts[near] - counts[i]).sum(1) <= 6 * allowed]
+        if radius is None and sizes[i] <= TOGETHER[1]:
+            many = near[sizes[near] <= TOGETHER[1]]
+            while len(many) > TOGETHER[0]:  # the more there are, the less a line costs
+                now, many = many[: TOGETHER[2]], many[TOGETHER[2] :]
+                far = _distances(lines[i], [lines[j] for j in now.tolist()])
+                for j in now[far <= (np.maximum(sizes[now], sizes[i]) * (1 - least) + 1e-9).astype(np.int64)].tolist():
+                    sets.join(i, j)
+                near, many = np.setdiff1d(near, now), sets.apart(i, many)
         for j in near.tolist():
             if sets.label[i] != sets.label[j] and (lines[i] == lines[j] or similar(lines[i], lines[j], least)):
                 sets.join(i, j)
