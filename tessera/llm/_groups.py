@@ -29,7 +29,6 @@ class Sets:
 
     def __init__(self, n: int):
         self.label = np.arange(n)
-        self.links: list[tuple[int, int]] = []
 
     def apart(self, i: int, others: np.ndarray) -> np.ndarray:
         return others[self.label[others] != self.label[i]]
@@ -38,11 +37,11 @@ class Sets:
         x, y = self.label[i], self.label[j]
         if x != y:
             self.label[self.label == max(x, y)] = min(x, y)
-            self.links.append((i, j))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        both = np.array(self.links, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        """Each position that is not the first of its set, and the first: stars, which components join in few rounds."""
+        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.label[moved], moved
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

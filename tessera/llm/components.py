@@ -7,7 +7,7 @@ round only groups, with partial sums before each shuffle, and joins. The links o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._tables import cut_lineage
@@ -16,6 +16,11 @@ from tessera.llm._tables import cut_lineage
 PART = 500
 
 
+def _both_ways(rows: DataFrame, u: Column, v: Column, other_u: Column, other_v: Column) -> DataFrame:
+    """(u, v): two pairs of each row, in the partition where it is; a union would read the rows twice, in twice as many tasks."""
+    return rows.select(F.inline(F.array(*(F.struct(a.alias("u"), b.alias("v")) for a, b in ((u, v), (other_u, other_v))))))
+
+
 def _with_least(pairs: DataFrame, least: DataFrame, part: int | None) -> DataFrame:
     """``pairs`` (u, v) with what ``least`` (u, m, n) says of u; with a ``part``, the pairs of a u with more of them meet it in several tasks."""
     if part is None:
@@ -36,20 +41,18 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
     for _ in range(rounds):
         edges = cut_lineage(edges)
-        both = edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
-        ends = both.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(both.select("v", F.lit(0), F.lit(1)))
-        nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        both = _both_ways(edges, F.col("high"), F.col("low"), F.col("low"), F.col("high"))
+        nodes = both.groupBy("u").agg(F.count_if(F.col("u") > F.col("v")).alias("up"), F.count_if(F.col("u") < F.col("v")).alias("down"))
         # stars are left when every node is either a centre or hangs on one centre alone
         loose, count, most = nodes.agg(F.count_if(F.expr("up > 1 or (up > 0 and down > 0)")), F.sum("up"), F.max(F.col("up") + F.col("down"))).first()
         if not loose:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select("low", "low").distinct())
         part = max(PART, count // 100_000)
         part = part if most > part else None
-        both = both.union(both.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = _with_least(both, least, part).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every smaller neighbour, and the node itself, now goes to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, part).where("v > m").select(F.col("v").alias("high"), F.col("m").alias("low")).union(least.select("u", "m"))
-        edges = small.distinct()
+        small = _with_least(large, least, part)
+        edges = _both_ways(small, F.col("v"), F.col("m"), F.col("u"), F.col("m")).where("u > v").select(F.col("u").alias("high"), F.col("v").alias("low")).distinct()
     raise RuntimeError(f"components did not settle in {rounds} rounds")
