@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, licences, lines, neighbours, packing, quality, simhash, substrings, tokens
+from tessera.llm import collocations, decontaminate, divergence, langid, licences, lines, neighbours, packing, quality, secret_scan, simhash, substrings, tokens
 from tessera.llm._tables import table
 
 
@@ -53,6 +53,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, langid.train_on(docs)).drop("text")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, inside=80, top=2000)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -64,7 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_collocations": op12_collocations,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_licence_scan": licences.oracle(0.8),
+    "op12_collocations": collocations.oracle(),
+    "op13_source_divergence": divergence.oracle(),
 }
