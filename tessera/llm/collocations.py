@@ -1,9 +1,9 @@
 """Phrase collocation mining (op12): phrases of two to four words that stand together more often than their parts would.
 
 Texts are cut into pieces at punctuation, and equal pieces of a language are one piece with a multiplicity. N-grams of pieces, weighted by it, are
-added up in tasks and then, by a hash of language and phrase, in DuckDB, which goes to disk when a bucket does not fit its memory. A phrase
-that occurs ``least`` times has parts that do, so longer n-grams are only formed from words, and then from pairs, whose bits are set in a sieve of the
-frequent ones; a bit that is set by chance lets a phrase through to the count, never one away from it. Each candidate then asks for the counts of its parts:
+added up in tasks and then, in the bucket of their hash, in DuckDB, which goes to disk when a bucket does not fit its memory. First only hashes are counted, of words, then of
+pairs of words that may be frequent, then of three and four words: a phrase that occurs ``least`` times has parts that do, and a hash at least the occurrences of its phrase, so
+what these counts rule out is not frequent. The phrases that are left are counted as texts. Each candidate then asks for the counts of its parts:
 requests are shuffled to where those counts are, and the answers back to the candidate.
 
 Arithmetic is exact: products are decimals. A candidate cut after its first k words scores floor(2,000,000 a / (l + r)), the lowest cut counts; a candidate that stands inside a
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from tessera.llm._words import Words, grams, slices, split
 _PIECE = bytes(0x0A if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _WORD = np.ones(256, bool)
 _WORD[0x20] = False
-#: Bytes of different pieces, and n-grams, that a task adds up together before it hands them on.
-HELD_BYTES, HELD_GRAMS = 48 << 20, 1_500_000
+#: Bytes of different pieces, n-grams, and hashes of n-grams, that a task adds up together before it hands them on.
+HELD_BYTES, HELD_GRAMS, HELD_HASHES = 48 << 20, 1_000_000, 4_000_000
 #: Memory of DuckDB in a task; beyond it a bucket's sums go to a scratch folder that the task deletes.
 MEMORY = "384MB"
 #: Bits of a sieve for each frequent phrase, and at most.
@@ -83,16 +84,96 @@ def _passes(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
     return (hashes > 0) & ((sieve[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _sums(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-    total = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("times", "sum")]).rename_columns(["lang", "phrase", "times"])
-    yield from total.cast(pa.schema([("lang", pa.string()), ("phrase", pa.large_binary()), ("times", pa.int64())])).cast(pa.schema([("lang", pa.string()), ("phrase", pa.large_string()), ("times", pa.int64())])).to_batches(max_chunksize=100_000)
+def _fitting(words: Words, seeds: np.ndarray, n: int, parts) -> np.ndarray:
+    """Where an n-gram starts whose every part, that the sieve ``parts`` (words of a part, bits) knows, passes it."""
+    count = len(words.start) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    fit = words.row[:count] == words.row[n - 1 :]
+    if parts:
+        known = _passes(_hashes(words, seeds, parts[0]), parts[1])
+        for k in range(n - parts[0] + 1):
+            fit &= known[k : k + count]
+    return np.flatnonzero(fit)
 
 
-def weighted_grams(found: DataFrame, sizes: tuple[int, ...], sieve=None) -> DataFrame:
-    """(lang, phrase, times): n-grams of pieces, added up in tasks; longer ones only where every part that the sieve knows passes it.
+def _in_duckdb(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: str) -> Iterator[pa.RecordBatch]:
+    """What ``sql`` makes of the table ``parts`` of a bucket's rows, which DuckDB reads as they come and keeps on disk beyond its memory."""
+    import duckdb
 
-    ``sieve`` is (words of the phrases it knows, broadcast bits).
+    with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as bucket:
+        bucket.register("parts", pa.RecordBatchReader.from_batches(schema, batches))
+        yield from bucket.sql(sql).to_arrow_reader(50_000)
+
+
+def likely(found: DataFrame, sizes: tuple[int, ...], least: int, parts=None):
+    """Bits, broadcast, that the hash of every n-gram of ``sizes`` with ``least`` occurrences has; at most 256 MB.
+
+    Only hashes are shuffled, a run of them a row: 32 bits and, of the others, the bucket. Hashes that fall together have their occurrences added, so no frequent n-gram is lost.
     """
+    spark = found.sparkSession
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = np.uint8 if least < 256 else np.int64  # more occurrences than ``least`` say no more
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            seeds, times = _seeds(batch.column("lang").to_pylist()), batch.column("times").to_numpy()
+            for first, last, data, bounds in slices(batch.column("piece")):
+                words = split(data, bounds, _WORD)
+                own = seeds[first:last]
+                for n in sizes:
+                    at = _fitting(words, own, n, parts and (parts[0], parts[1].value))
+                    h = _hashes(words, own, n)[at]
+                    held.append((((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)), np.minimum(times[first + words.row[at]], least)))
+                    rows += len(at)
+                if rows > HELD_HASHES:
+                    yield packed(held)
+                    held, rows = [], 0
+        if rows:
+            yield packed(held)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, times = key[start], np.minimum(np.add.reduceat(times, start), least).astype(kind)
+        bucket = (key >> np.uint64(32)).astype(np.int32)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        runs = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
+        low = key.astype(np.uint32)
+        cells = [[x[s:e].tobytes() for s, e in runs] for x in (low, times)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "low", "times"])
+
+    unpacked = pa.schema([("key", pa.int64()), ("times", pa.int64())])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for bucket, low, times in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "times")), strict=True):
+                    low = np.frombuffer(low, np.uint32).astype(np.int64) | (bucket << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(np.frombuffer(times, kind).astype(np.int64))], schema=unpacked)
+
+        for batch in _in_duckdb(rows(), unpacked, f"select key & 4294967295 as low from parts group by key having sum(times) >= {int(least)}"):
+            yield batch.cast(pa.schema([("low", pa.int64())]))
+
+    hashes = found.select("lang", "piece", "times").transform(map_batches, scan, "bucket int, low binary, times binary")
+    lows = cut_lineage(hashes.repartition("bucket").transform(map_batches, add_up, "low long"))
+    bits = 1 << 16
+    while bits < min(SIEVE_BITS * lows.count(), MOST_BITS):
+        bits *= 2
+    slot = F.col("low") % bits
+    sieve = np.zeros(bits // 8, np.uint8)
+    for row in lows.select(F.shiftright(slot, 16).alias("part"), (slot % 65536).cast("int").alias("bit")).distinct().groupBy("part").agg(F.collect_list("bit").alias("bits")).toLocalIterator():
+        own = np.zeros(1 << 16, bool)  # a row for 65,536 bits at most
+        own[row["bits"]] = True
+        sieve[row["part"] << 13 : (row["part"] + 1) << 13] = np.packbits(own, bitorder="little")
+    return spark.sparkContext.broadcast(sieve)
+
+
+def weighted_grams(found: DataFrame, sieves: dict[int, object]) -> DataFrame:
+    """(lang, phrase, times): n-grams of pieces that pass the sieve for their number of words, added up in tasks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -101,15 +182,8 @@ def weighted_grams(found: DataFrame, sizes: tuple[int, ...], sieve=None) -> Data
             seeds, times = _seeds(langs.to_pylist()), batch.column("times").to_numpy()
             for first, last, data, bounds in slices(batch.column("piece")):
                 words = split(data, bounds, _WORD)
-                known = _passes(_hashes(words, seeds[first:last], sieve[0]), sieve[1].value) if sieve else None
-                for n in sizes:
-                    count = len(words.start) - n + 1
-                    if count <= 0:
-                        continue
-                    fit = words.row[:count] == words.row[n - 1 :]
-                    for k in range(n - sieve[0] + 1 if sieve else 0):
-                        fit &= known[k : k + count]
-                    at = np.flatnonzero(fit)
+                for n, sieve in sieves.items():
+                    at = _fitting(words, seeds[first:last], n, (n, sieve.value))
                     if not len(at):
                         continue
                     # words of a piece have one space between them, so a phrase is a stretch of its bytes
@@ -121,10 +195,15 @@ def weighted_grams(found: DataFrame, sizes: tuple[int, ...], sieve=None) -> Data
                     held.append(pa.table({"lang": langs.take(pa.array(row)), "phrase": phrase, "times": pa.array(times[row])}))
                     rows += len(at)
                 if rows > HELD_GRAMS:
-                    yield from _sums(held)
+                    yield from sums(held)
                     held, rows = [], 0
         if held:
-            yield from _sums(held)
+            yield from sums(held)
+
+    def sums(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        total = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("times", "sum")]).rename_columns(["lang", "phrase", "times"])
+        total = total.set_column(1, "phrase", total.column("phrase").cast(pa.large_string()))
+        yield from total.to_batches(max_chunksize=100_000)
 
     return found.select("lang", "piece", "times").transform(map_batches, scan, "lang string, phrase string, times long")
 
@@ -133,48 +212,14 @@ def frequent(parts: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, f) of the phrases that occur ``least`` times or more; every hash bucket is added up by DuckDB, out of core."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
         first = next(batches, None)
-        if first is None:
-            return
-        with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as bucket:
-
-            def rest() -> Iterator[pa.RecordBatch]:
-                yield first
-                yield from batches
-
-            bucket.register("parts", pa.RecordBatchReader.from_batches(first.schema, rest()))
-            sums = bucket.sql(f"select lang, phrase, sum(times)::bigint as f from parts group by all having f >= {int(least)}")
-            for batch in sums.to_arrow_reader(50_000):
+        if first is not None:
+            for batch in _in_duckdb(chain([first], batches), first.schema, f"select lang, phrase, sum(times)::bigint as f from parts group by all having f >= {int(least)}"):
                 yield batch.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]))
 
     return parts.repartition("lang", "phrase").transform(map_batches, add_up, "lang string, phrase string, f long")
 
 
-def _sieve(phrases: DataFrame, words: int):
-    """(words, bits): a sieve that every one of ``phrases`` passes, put together on the executors and broadcast; at most 256 MB."""
-    bits = 1 << 16
-    while bits < min(SIEVE_BITS * phrases.count(), MOST_BITS):
-        bits *= 2
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seeds = _seeds(batch.column("lang").to_pylist())
-            for first, last, data, bounds in slices(batch.column("phrase")):
-                cut = split(data, bounds, _WORD)
-                slot = _hashes(cut, seeds[first:last], words)[cut.first[:-1]] & np.uint64(bits - 1)
-                yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(16)).astype(np.int64)), pa.array((slot & np.uint64(0xFFFF)).astype(np.int32))], ["part", "bit"])
-
-    found = phrases.select("lang", "phrase").transform(map_batches, slots, "part long, bit int").distinct().groupBy("part").agg(F.collect_list("bit").alias("bits"))
-    sieve = np.zeros(bits // 8, np.uint8)
-    for row in found.toLocalIterator():  # a row for 65,536 bits at most
-        own = np.zeros(1 << 16, bool)
-        own[row["bits"]] = True
-        sieve[row["part"] << 13 : (row["part"] + 1) << 13] = np.packbits(own, bitorder="little")
-    return words, phrases.sparkSession.sparkContext.broadcast(sieve)
-
-
 def _first_words(phrase: Column, k: int) -> Column:
     return F.substring_index(phrase, " ", k)
 
@@ -208,12 +253,12 @@ def collocations(docs: DataFrame, least: int = 30, inside: int = 80, top: int =
     found = cut_lineage(pieces(docs))
     spaces = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit("")))
     totals = found.groupBy("lang").agg(F.sum((spaces + 1) * F.col("times")).cast("long").alias("n"))
-    words = cut_lineage(frequent(weighted_grams(found, (1,)), least))
-    pairs = cut_lineage(frequent(weighted_grams(found, (2,), _sieve(words, 1)), least))
-    longer = cut_lineage(frequent(weighted_grams(found, (3, 4), _sieve(pairs, 2)), least))
-    counts = words.union(pairs).union(longer)
+    words = likely(found, (1,), least)
+    pairs = likely(found, (2,), least, (1, words))
+    longer = likely(found, (3, 4), least, (2, pairs))
+    counts = cut_lineage(frequent(weighted_grams(found, {1: words, 2: pairs, 3: longer, 4: longer}), least))
     size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
-    candidates = pairs.union(longer).select("lang", "phrase", F.col("f").alias("a"), size.alias("words"))
+    candidates = counts.select("lang", "phrase", F.col("f").alias("a"), size.alias("words")).where("words > 1")
     scored = _scored(_independent(candidates, inside), counts).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     for keys in (["lang", "part"], ["lang"]):  # a language's last ranking has at most RANKED * top rows
