@@ -112,7 +112,7 @@ def likely(found: DataFrame, sizes: tuple[int, ...], least: int, parts=None):
     Only hashes are shuffled, a run of them a row: 32 bits and, of the others, the bucket. Hashes that fall together have their occurrences added, so no frequent n-gram is lost.
     """
     spark = found.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task packs a row for each partition, not more
     kind = np.uint8 if least < 256 else np.int64  # more occurrences than ``least`` say no more
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
