@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import index
+from tessera.operators import anchors, index
 from tessera.plans.catalog import _FACET_SQL, _FACETS, _customers, query, table
 from tessera.sources import index_files
 
@@ -57,3 +57,43 @@ def index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every text as a key: what the blocks hold, summed by key after they are unfolded."""
     words = table(spark, sf_dir, "documents").select(F.lit("word").alias("facet"), F.explode(F.split(F.lower("text"), " ", -1)).alias("key"), F.col("doc_id").alias("id"))
     return index_files.ids(_written(spark, words, "word-index").blocks).groupBy("key").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.max("id").alias("highest"))
+
+
+# ---- sections that begin at names
+
+_NAMES = ["token", "the", "in the", "de la", "la", "und der", "und", "el que", "nowhere at all"]
+_SECTIONS = f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
+v as (select doc_id, n, list_filter(string_split(line, ' '), lambda x: x <> '') as ws from l),
+u as (select doc_id, n, unnest(ws) as word, generate_subscripts(ws, 1) as k from v),
+w as (select *, row_number() over (partition by doc_id order by n, k) - 1 as pos from u),
+x as (select *, lower(word) as a, lower(lead(word) over (partition by doc_id order by pos)) as b from w),
+names as (select name, split_part(name, ' ', 1) as a, nullif(split_part(name, ' ', 2), '') as b from (select unnest({_NAMES[:-1]!r}) as name)),
+anchor as (select doc_id, pos, name, case when names.b is null then 1 else 2 end as size from x join names on x.a = names.a and (names.b is null or x.b = names.b)
+    qualify row_number() over (partition by doc_id, pos order by size desc, name desc) = 1),
+kept as (select * from anchor qualify coalesce(max(pos + size) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) <= pos),
+s as (select doc_id, name, pos as s, lead(pos) over (partition by doc_id order by pos) as e, row_number() over (partition by doc_id, name order by pos) as occurrence from kept)
+"""
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n.upper(),) for n in _NAMES], "name string")
+
+
+@query(f"""{_SECTIONS}
+select doc_id, name, s as start, count(*) as n_words, count(distinct n) as n_lines, md5(string_agg(word, ' ' order by pos)) as digest
+from s join x using (doc_id) where occurrence = 1 and pos >= s and (e is null or pos < e) group by doc_id, name, s""")
+def name_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first section of each name in each whole document."""
+    found = anchors.section_texts(table(spark, sf_dir, "documents"), "doc_id", _names(spark))
+    size = F.size(F.split("text", "\n"))
+    return found.select(F.col("id").alias("doc_id"), "name", F.col("start").cast("long"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), size.cast("long").alias("n_lines"), F.md5(F.replace("text", F.lit("\n"), F.lit(" ")).cast("binary")).alias("digest"))
+
+
+@query(f"""{_SECTIONS}
+select doc_id, name, count(distinct occurrence) as n_sections, count(distinct (occurrence, n)) as n_parts, count(*) as n_words
+from s join x using (doc_id) where pos >= s and (e is null or pos < e) group by doc_id, name""")
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the sections of each name reach into."""
+    met = anchors.lines_of_sections(table(spark, sf_dir, "documents"), "doc_id", _names(spark))
+    return met.groupBy(F.col("id").alias("doc_id"), "name").agg(F.countDistinct("occurrence").alias("n_sections"), F.count("*").alias("n_parts"), F.sum("words").cast("long").alias("n_words"))
