@@ -11,19 +11,27 @@ from tessera.plans.catalog import query, table
 from tessera.sources import reference
 
 
-@query("select n_nationkey, n_name from nation where n_regionkey = 1 and n_nationkey = 2")
+@query("select n_nationkey, n_name from nation where (n_regionkey, n_nationkey) in ((2, 7), (1, 2))")
 def detail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.detail(table(spark, sf_dir, "nation"), "n_regionkey", 1, "n_nationkey", 2).select("n_nationkey", "n_name")
+    """An entity in its partition, and one asked for in another, which is not found."""
+    found = [lookup.detail(table(spark, sf_dir, "nation"), "n_regionkey", region, "n_nationkey", nation) for region, nation in ((2, 7), (1, 2))]
+    return found[0].union(found[1]).select("n_nationkey", "n_name")
 
 
-@query("select n_nationkey, n_name from nation where lower(n_name) = 'brazil' order by n_nationkey limit 1")
+@query("select n_nationkey, n_name from nation where lower(n_name) in ('nation_7', 'no such nation')")
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.by_name(table(spark, sf_dir, "nation"), "n_name", "bRaZil", "n_nationkey").select("n_nationkey", "n_name")
+    found = [lookup.by_name(table(spark, sf_dir, "nation"), "n_name", name, "n_nationkey") for name in ("nAtIoN_7", "no such nation")]
+    return found[0].union(found[1]).select("n_nationkey", "n_name")
 
 
-@query("select n_nationkey, n_name from nation where contains(lower(n_name), 'an') order by (lower(n_name) <> 'an')::int, n_nationkey limit 1")
+@query("""
+with wanted as (select unnest(['nation_2', 'tion_1', 'brazil']) as w)
+select w, n_nationkey, n_name from wanted join nation on contains(lower(n_name), w) qualify row_number() over (partition by w order by (lower(n_name) <> w)::int, n_nationkey desc) = 1""")
 def part_of_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.by_part_of_name(table(spark, sf_dir, "nation"), "n_name", "AN", "n_nationkey").select("n_nationkey", "n_name")
+    """A name that equals what is asked for goes before later ones that only contain it; of ties the highest key counts; one is nowhere."""
+    nations = table(spark, sf_dir, "nation").withColumn("_order", -F.col("n_nationkey"))
+    found = [lookup.by_part_of_name(nations, "n_name", w.upper(), "_order").select(F.lit(w).alias("w"), "n_nationkey", "n_name") for w in ("nation_2", "tion_1", "brazil")]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query("select distinct lang, source from documents where lang is not null and source is not null")
@@ -108,11 +116,11 @@ def improvement_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select n_nationkey, coalesce(h.figure, f.figure) as figure from nation left join (values (3, 'by hand'), (4, 'by hand too')) h(id, figure) on n_nationkey = h.id
-  left join (select lower(trim(r_name)) as name, 'region ' || r_regionkey as figure from region union all select 'brazil', 'a name' union all select 'canada', 'another') f on lower(n_name) = f.name and len(n_name) >= 3""")
+  left join (select lower(trim(r_name)) as name, 'region ' || r_regionkey as figure from region union all select 'nation_7', 'a name' union all select 'nation_3', 'not this one' union all select 'canada', 'another') f on lower(n_name) = f.name and len(n_name) >= 3""")
 def known_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     manual = spark.createDataFrame([(3, "by hand"), (4, "by hand too")], "id int, figure string")
     regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("figure"))
-    figures = regions.union(spark.createDataFrame([(" Brazil", "a name"), ("CANADA", "another")], "name string, figure string"))
+    figures = regions.union(spark.createDataFrame([(" Nation_7", "a name"), ("nation_3", "not this one"), ("CANADA", "another")], "name string, figure string"))
     return lookup.known_figure(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", "n_name", manual, figures).select("n_nationkey", "figure")
 
 

@@ -25,8 +25,8 @@ def rows(columns, found):
 def test_query(spark, duck, sf_dir, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert got  # nothing compared with nothing says nothing
     if name not in catalog.ORACLE_SQL:
-        assert got
         return
     want = duck.sql(catalog.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
