@@ -5,9 +5,6 @@ Every window is within one document, so rows of a document meet in a task; docum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,29 +50,24 @@ def levels(rows: DataFrame, identifier: str, most: int = 4, least_words: int = 3
 
     A line that begins with a number and a mark, or holds "instead", closes the level before it and opens one; lines before
     the first belong to none. Levels of under ``least_words`` words and repeats of a text are dropped, and
-    at most ``most`` are kept. A document's own lines are read in order within its row.
+    at most ``most`` are kept. Lines are folded in order inside the JVM.
     """
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                open_level: list[str] | None = None
-                found: list[str] = []
-                for raw in [*(row.text or "").split("\n"), "1. "]:
-                    line = raw.strip()
-                    mark, _, rest = line.partition(" ")
-                    numbered = mark[:-1].isdigit() and mark[-1:] in ".:)"
-                    if numbered or "instead" in line.lower():
-                        if open_level is not None:
-                            text = " ".join(open_level)
-                            if len(text.split()) >= least_words and text not in found:
-                                found.append(text)
-                        open_level = [rest if numbered else line]
-                    elif open_level is not None and line:
-                        open_level.append(line)
-                out += [(row.id, i + 1, t) for i, t in enumerate(found[:most])]
-            yield pd.DataFrame(out, columns=["id", "level", "text"]).astype({"level": "int32"})
-
+    mark = r"^(\d+[.:)])(?: |$)"
+    lines = F.transform(F.split("text", "\n", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    state = "struct<open:string,found:array<string>>"
+    start = F.struct(F.lit(None), F.array()).cast(state)
+
+    def closed(s: Column) -> Column:
+        words = F.size(F.filter(F.split(s["open"], r"\s+"), lambda w: w != ""))
+        new = s["open"].isNotNull() & (words >= least_words) & ~F.array_contains(s["found"], F.coalesce(s["open"], F.lit("")))
+        return F.when(new, F.concat(s["found"], F.array(s["open"]))).otherwise(s["found"])
+
+    def step(s: Column, line: Column) -> Column:
+        opens = line.rlike(mark) | F.contains(F.lower(line), F.lit("instead"))
+        begun = F.struct(F.regexp_replace(line, mark, "").alias("open"), closed(s).alias("found")).cast(state)
+        longer = F.struct(F.concat(s["open"], F.lit(" "), line).alias("open"), s["found"].alias("found")).cast(state)
+        return F.when(opens, begun).when(s["open"].isNotNull() & (line != ""), longer).otherwise(s.cast(state))
+
+    found = F.slice(F.aggregate(lines, start, step, closed), 1, most)
     typed = rows.select(F.col(identifier).cast("long").alias("id"), "text").where("text is not null and id is not null")
-    return typed.mapInPandas(parse, "id long, level int, text string")
+    return typed.select("id", F.posexplode(found).alias("level", "text")).select("id", (F.col("level") + 1).alias("level"), "text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import summaries
-from tessera.operators import index, lookup, segment
+from tessera.operators import backs, index, lookup, segment
 from tessera.plans.catalog import query, table
 from tessera.sources import reference
 
@@ -185,12 +185,23 @@ def numbered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"))
 
 
+#: Names that begin powers in ``back_text_powers``.
+BACK_NAMES = ["token", "the reed", "und sich", "la que", "mente ado"]
+
+
 @query()
 def ability_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels that lines of whole documents open; SQL would need a fold over lines, so the tests recompute them."""
     return segment.levels(numbered_text(spark, sf_dir), "doc_id")
 
 
+@query()
+def back_text_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powers that whole documents, read as backs of cards, have by name; the tests recompute them line by line."""
+    found = backs.back_powers(numbered_text(spark, sf_dir), "doc_id", BACK_NAMES)
+    return found.select(F.col("id").alias("doc_id"), "special", "pos", "name", F.size("levels").alias("n_levels"), F.md5(F.array_join("levels", "|").cast("binary")).alias("digest"))
+
+
 @query("""
 with e as (select p_partkey, p_brand, (p_size % 4)::int as level from part), t as (select p_brand, (p_size % 4)::int as level, min(p_name) as truth from part where p_size > 25 group by all)
 select p_partkey, truth is not null as known from e left join t using (p_brand, level)""")
