@@ -177,6 +177,11 @@ def _step(state: Column, line: Column) -> Column:
 def powers(text: Column, names: Sequence[str]) -> Column:
     """struct<special, powers> of a text: the special power or null, and those of the vocabulary ``names`` in order, each with its levels' texts."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    # bound to a name, so that the lines are not split anew for every line that looks at its neighbours
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(lines), lambda own: _parsed(own, names)), F.lit(0)))
+
+
+def _parsed(lines: Column, names: Sequence[str]) -> Column:
     start = F.struct(F.lit(False), F.lit(None), F.lit(False), F.array(), F.lit(""), F.array(), F.lit(None)).cast(_STATE)
 
     def finish(state: Column) -> Column:
@@ -189,7 +194,7 @@ def powers(text: Column, names: Sequence[str]) -> Column:
 
         return F.struct(found.alias("special"), F.when(state["name"].isNotNull(), F.concat(done, *map(missed, names))).otherwise(done).alias("powers"))
 
-    return F.when(text.isNotNull(), F.aggregate(_described(lines, names), start, _step, finish))
+    return F.aggregate(_described(lines, names), start, _step, finish)
 
 
 def back_powers(rows: DataFrame, identifier: str, names: Sequence[str], text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import cards, dice, facts, rules, scoring, similarity, text, tracks
+from tessera.functions import cards, dice, facts, rule_chain, rules, scoring, similarity, text, tracks
 from tessera.operators import builds, html, index, merge, places, ranking, segment, vocabulary
 from tessera.streaming import insanity
 
@@ -103,6 +103,13 @@ def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned"))
 
 
+@query()
+def power_text_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts after the table of misread powers' texts; the tests run every rule on them."""
+    fixed = rule_chain.apply(F.col("text"), rule_chain.load(rule_chain.POWER_TEXT))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fixed.cast("binary")).alias("fixed"))
+
+
 @query("""
 select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]\\s+'), lambda s: regexp_replace(trim(s), '[.!?]+$', '')), lambda s: trim(s) <> ''))::bigint as sentences from documents""")
 def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
