@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import anchors, index
 from tessera.plans.catalog import _FACET_SQL, _FACETS, _customers, query, table
-from tessera.sources import index_files
+from tessera.sources import index_files, versions
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -97,3 +97,27 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that the sections of each name reach into."""
     met = anchors.lines_of_sections(table(spark, sf_dir, "documents"), "doc_id", _names(spark))
     return met.groupBy(F.col("id").alias("doc_id"), "name").agg(F.countDistinct("occurrence").alias("n_sections"), F.count("*").alias("n_parts"), F.sum("words").cast("long").alias("n_words"))
+
+
+# ---- nested documents
+
+
+@query("""
+with n as (select c_custkey::bigint as id, 'X' || c_mktsegment as segment, c_acctbal as balance, [c_custkey::bigint] as marks from customer where c_acctbal < 0
+  union all select 1000000000 + s_suppkey, s_name, s_acctbal, [] from supplier)
+select coalesce(c_custkey::bigint, n.id) as id, coalesce(c_name, 'supplier') as name, c_nationkey as nation, coalesce(n.segment, c_mktsegment) as segment, n.balance,
+  case when n.id is null then 2 when c_custkey is null then 0 else 1 end as n_marks, coalesce(n.marks[1], c_nationkey::bigint) as mark
+from customer full join n on c_custkey = n.id""")
+def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes to nested documents, merged into a version of a table and read back from the next."""
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nation = F.col("c_nationkey").cast("long")
+    before = customers.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_mktsegment").alias("segment")).alias("market")).alias("place"), F.array(nation, nation).alias("marks"))
+    market = lambda segment, balance: F.struct(F.struct(segment.alias("segment"), F.col(balance).alias("balance")).alias("market")).alias("place")
+    negative = customers.where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("id"), F.lit("").alias("name"), market(F.concat(F.lit("X"), "c_mktsegment"), "c_acctbal"), F.array(F.col("c_custkey").cast("long")).alias("marks"))
+    added = suppliers.select((1_000_000_000 + F.col("s_suppkey")).alias("id"), F.lit("supplier").alias("name"), market(F.col("s_name"), "s_acctbal"), F.array().cast("array<bigint>").alias("marks"))
+    path = scratch(spark, "entities")
+    versions.write(before, path)
+    versions.write_changes(negative.union(added), path, "id")
+    after = versions.read(spark, path)
+    return after.select("id", "name", F.col("place.nation").alias("nation"), F.col("place.market.segment").alias("segment"), F.col("place.market.balance").alias("balance"), F.size("marks").alias("n_marks"), F.get("marks", F.lit(0)).alias("mark"))

@@ -14,19 +14,19 @@ one without keys; a folder without a manifest is no index (``load`` gives None).
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import versions
+
 POSTINGS = "facet string, key string, first long, last long, n int, gaps array<long>, bucket int"
+MANIFEST = "version string, buckets int, block int"
 
 
 def _bucket(facet: Column, key: Column, buckets: int) -> Column:
@@ -52,13 +52,13 @@ def write(entries: DataFrame, path: str, buckets: int = 64, block: int = 4096) -
             yield from _blocks(held, block)
 
     rows = kept.repartitionByRange(*order).sortWithinPartitions(*order).select("facet", "key", "id", "bucket").mapInArrow(runs, POSTINGS)
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = versions.name()
     rows.write.partitionBy("bucket").parquet(f"{path}/postings-{version}")
     spark = entries.sparkSession
     written = spark.read.schema(POSTINGS).parquet(f"{path}/postings-{version}")
     keys = written.groupBy("bucket", "facet", "key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.min("first").alias("first"), F.max("last").alias("last"))
     keys.sortWithinPartitions("facet", "key").write.parquet(f"{path}/keys-{version}")
-    spark.createDataFrame([(version, buckets, block)], "version string, buckets int, block int").coalesce(1).write.mode("append").json(f"{path}/manifest")
+    versions.publish(spark, path, MANIFEST, version, buckets, block)
     return version
 
 
@@ -132,12 +132,7 @@ class Index:
 
 def load(spark: SparkSession, path: str) -> Index | None:
     """The newest finished version at ``path``; None if there is none."""
-    try:
-        newest = spark.read.schema("version string, buckets int, block int").json(f"{path}/manifest").orderBy(F.desc("version")).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    newest = versions.newest(spark, path, MANIFEST)
     return newest and Index(spark, path, newest["version"], newest["buckets"])
 
 
