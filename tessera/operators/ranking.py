@@ -37,3 +37,21 @@ def names_and_rest(names: Column, shown: int = 5) -> Column:
     rest = F.size(names) - shown
     head = F.array_join(F.slice(names, 1, shown), ", ")
     return F.when(rest > 0, F.concat(head, F.lit(" ... +"), rest.cast("string"))).otherwise(head)
+
+
+#: States of a column's sort in turn: ascending, descending, original order.
+STATES = ["asc", "desc", None]
+
+
+def next_state(state: Column) -> Column:
+    """What a click on a column's head makes of its state; any unknown state counts as the original order."""
+    return F.when(state == "asc", "desc").when(state == "desc", F.lit(None).cast("string")).otherwise("asc")
+
+
+def toggled(state: Column, value: Column, original: Column) -> list[Column]:
+    """Sort keys of rows in the order that ``state`` asks for: by value without regard to case, either way, or as they were.
+
+    Nulls count as empty strings; values that compare equal keep their original order both ways.
+    """
+    key = F.collate(F.coalesce(value, F.lit("")), "UNICODE_CI")
+    return [F.when(state == "asc", key).asc(), F.when(state == "desc", key).desc(), original.asc()]

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import card_queries, catalog, index_queries, lookup_queries  # noqa: F401  the others add their queries to the catalogue
+from tessera.plans import card_queries, catalog, index_queries, lookup_queries, record_queries  # noqa: F401  the others add their queries to the catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
