@@ -36,8 +36,8 @@ def test_licences_edges(spark, docs, empty):
     mit = "x y z\n" + licences.TEMPLATES[2][1].replace("free of charge", "without cost")
     rows = [(1, mit, None, None, 0), (1, mit, None, None, 0), (2, "RELEASED under the -- MIT license!!", None, None, 0), (3, None, None, None, 0), (4, "mit", None, None, 0)]
     got = plain(licences.scan(documents(spark, rows)))
-    assert [r[:3] for r in got] == [(1, -1, "MIT"), (1, -1, "MIT"), (1, 1, "MIT"), (1, 1, "MIT"), (2, 0, "MIT")]
-    assert got[-1][3] == 1.0
+    assert [r[:4] for r in got] == [(1, -1, None, "MIT"), (1, -1, None, "MIT"), (1, 1, 1, "MIT"), (1, 1, 1, "MIT"), (2, 0, 0, "MIT")]
+    assert got[-1][4] == 1.0
 
 
 def test_wrapped_notice_in_a_longer_text(spark, tmp_path, monkeypatch):
@@ -50,7 +50,9 @@ def test_wrapped_notice_in_a_longer_text(spark, tmp_path, monkeypatch):
     rows = [(1, f"{prose}\n \n{notice}\n\n\n{prose}", None, None, 0), (2, notice, None, None, 0), (3, f"\n\n{notice}\n\n", None, None, 0)]
     df = documents(spark, rows)
     got = plain(licences.scan(df))
-    assert [r[:3] for r in got] == [(1, -3, "MIT"), (2, -1, "MIT"), (3, -1, "MIT"), (3, -3, "MIT")] and {r[3] for r in got} == {1.0}
+    n = notice.count("\n")
+    whole = [(1, -3, None), (1, 182, 182 + n), (2, -1, None), (2, 0, n), (3, -1, None), (3, -3, None), (3, 2, 2 + n)]
+    assert sorted((r[:3] for r in got), key=str) == sorted(whole, key=str) and {r[3:] for r in got} == {("MIT", 1.0)}
     df.write.parquet(f"{tmp_path}/documents")
     connection = duckdb.connect()
     connection.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
@@ -59,6 +61,83 @@ def test_wrapped_notice_in_a_longer_text(spark, tmp_path, monkeypatch):
     assert plain(licences.scan(df)) == got
 
 
+def plain_runs(text, least):
+    """(first line, last line, licence, dice) of runs of lines, by a loop over the lines for each long template."""
+    split = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).split()
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    known = [(name, split(t)) for name, t in licences.TEMPLATES]
+    lines = [(i, w) for i, w in enumerate(map(split, text.split("\n"))) if w]
+    spans = set()
+    for _, words in known:
+        if len(words) < licences.LONG:
+            continue
+        shape = pairs(words)
+        for way in (False, True):
+            total, begin, best, end = 0, 0, 0, -1
+
+            def close(upto):
+                if end > begin and best >= least * len(shape) / 2 - 1e-9:
+                    spans.add((begin, end))
+                return 0, upto, 0, -1
+
+            for k, (_, w) in enumerate(lines):
+                own = pairs((lines[k - 1][1][-1:] if k else []) + w)
+                if way and tuple(words[:2]) in own:
+                    total, begin, best, end = close(k)
+                total += 2 * len(own & shape) - least * len(own)
+                if total <= 1e-9:
+                    total, begin, best, end = close(k + 1)
+                elif total > best + 1e-9:
+                    best, end = total, k
+            close(0)
+    out = []
+    for a, b in spans:
+        unit = pairs([w for _, ws in lines[a : b + 1] for w in ws])
+        dice, _, name = max((2 * len(unit & pairs(w)) / (len(unit) + len(pairs(w))), -i, name) for i, (name, w) in enumerate(known))
+        if dice >= least:
+            out.append((lines[a][0], lines[b][0], name, dice))
+    return sorted(out)
+
+
+def notices():
+    """Notices as they are pasted: in paragraphs, without a blank line around, in comment marks with code below, edited, twice."""
+    import random
+    import textwrap
+
+    r = random.Random(5)
+    mit, gpl, isc = (licences.TEMPLATES[i][1] for i in (2, 6, 13))
+    a, b, c = re.split(r"(?<=conditions:) |(?<=Software\.) (?=THE)", mit)
+    wrap = lambda t, n, mark="": "\n".join(mark + x for x in textwrap.wrap(t, n))
+    prose = lambda n: "\n".join(" ".join(r.choice(["software", "the", "river", "without", "any", "old", "program", "and"]) for _ in range(9)) for _ in range(n))
+    code = "int main() {\n  return program(1, 2);\n}\n" * 5
+    texts = [
+        f"{prose(20)}\n\nMIT License\n\nCopyright (c) 2020 A. Person\n\n{wrap(a, 75)}\n\n{wrap(b, 75)}\n\n{wrap(c, 75)}\n\n{prose(20)}",
+        f"{prose(15)}\n{wrap(mit, 60)}\n{prose(15)}",
+        f"#!/bin/sh\n{wrap(gpl, 70, '# ')}\n{code}",
+        f"/*\n{wrap(isc, 70, ' * ')}\n */\n{code}{prose(3)}\n{wrap(isc, 50, '// ')}\n{code}",
+        f"{prose(8)}\n{wrap(mit.replace('Software', 'Program', 4), 66)}\n{prose(8)}",
+        f"{wrap(mit, 64)}\n{wrap(mit, 64)}\n{prose(4)}",
+        f"{prose(30)}",
+        wrap(" ".join(w for w in gpl.split() if r.random() < 0.5), 60),
+        "\n \n\t\n",
+    ]
+    return [(i, t, None, None, 0) for i, t in enumerate(texts)] + [(100, None, None, None, 0), (101, "", None, None, 0)]
+
+
+def test_notices_over_runs_of_lines(spark, tmp_path):
+    import duckdb
+
+    df = documents(spark, notices())
+    got = plain(licences.scan(df))
+    runs = sorted((r[0], *r[1:3], r[3], r[4]) for r in got if r[2] is not None and r[2] > r[1])
+    assert runs == sorted((d, *x) for d, t, *_ in notices() for x in plain_runs(t or "", 0.8))
+    assert [(r[0], r[3]) for r in runs] == [(0, "MIT"), (1, "MIT"), (2, "GPL-3.0"), (3, "ISC"), (3, "ISC"), (3, "ISC"), (4, "MIT"), (5, "MIT"), (5, "MIT"), (5, "MIT")]  # of two near copies each, and both together
+    df.write.parquet(f"{tmp_path}/documents")
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    assert sorted(connection.sql(licences.oracle()).fetchall(), key=str) == got
+
+
 def test_licence_anchors_lose_nothing(spark, sf_dir):
     def pairs(s):
         w = re.sub("[^a-z0-9\n]+", " ", s.lower()).replace("\n", " ").split()
@@ -71,7 +150,8 @@ def test_licence_anchors_lose_nothing(spark, sf_dir):
             p = pairs(unit)
             best = max(((2 * len(p & b) / (len(p) + len(b)), -i, name) for i, name, b in known if p), default=(0, 0, ""))
             if best[0] >= 0.8:
-                want.append((d, n, best[2], best[0]))
+                want.append((d, n, None if n < 0 else n, best[2], best[0]))
+        want += [(d, *x) for x in plain_runs(t, 0.8)]
     assert plain(licences.scan(corpus(spark, sf_dir))) == sorted(want, key=str) and want
 
 
