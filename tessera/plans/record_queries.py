@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import cards, facts, rules, strategies, text, variants
+from tessera.functions import cards, facts, rules, statistics, strategies, text, variants
 from tessera.operators import acceptance, paragraphs, ranking
-from tessera.plans.catalog import _TYPES, EFFECT, query, table
+from tessera.plans.catalog import _TYPES, EFFECT, ORACLE_SQL, effects, query, table
 
 # ---- paragraphs
 
@@ -215,3 +215,35 @@ def effect_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SENTENCE).alias("effect"))
     named = {"actions": facts.free_actions(e), "action_kind": facts.action_kind(e), "conditions": F.array_join(facts.conditions(e), ", "), "wounds_healed": facts.wounds_healed(e), "stress_healed": facts.stress_healed(e), "wound_reduction": facts.wound_reduction(e), "sanity_reduction": facts.sanity_reduction(e)}
     return rows.select("o_orderkey", *[c.alias(k) for k, c in {**named, **facts.heal_grammar(e)}.items()])
+
+
+# ---- statistics of levels, powers as structs
+
+
+@query(f"""
+with f as ({ORACLE_SQL['effect_facts']}), i as ({ORACLE_SQL['effect_impact']}),
+c as (select p_partkey, concat_ws(', ', case when regexp_matches(e, 'when attacking|while attacking') then 'when attacking' end, case when contains(e, 'when attacking a target not in your space') then 'when attacking target not in your space' end,
+  case when contains(e, 'when attacking a target in your space') then 'when attacking target in your space' end, case when regexp_matches(e, 'sanity (is )?on red') then 'when sanity is on red sanity marker' end,
+  case when regexp_matches(e, 'when attacked|when rolling for fire') then 'when attacked or rolling for fire' end) as conditions from (select p_partkey, lower({EFFECT}) as e from part))
+select p_partkey, green as green_dice_added, black as black_dice_added, 1.5::double as base_expected_successes, round(enhanced, 3) as enhanced_expected_successes, round(increase, 3) as expected_successes_increase,
+  round(percent, 2) as expected_successes_percent_increase, max_increase as max_successes_increase, round(risk, 3) as tentacle_risk, 1.5::double as base_tentacle_risk, conditions <> '' as is_conditional, conditions,
+  rerolls as rerolls_added, reroll_kind as reroll_type, rerolls > 0 as has_reroll, wounds_healed, stress_healed, wounds_healed > 0 or stress_healed > 0 as has_healing, wound_reduction, sanity_reduction, wound_reduction > 0 or sanity_reduction > 0 as has_defensive,
+  conditions <> '' or rerolls > 0 or wounds_healed > 0 or stress_healed > 0 or wound_reduction > 0 or sanity_reduction > 0 as improves
+from f join i using (p_partkey) join c using (p_partkey)""")
+def level_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = effects(spark, sf_dir).select("p_partkey", statistics.level_statistics(F.col("effect")).alias("s"))
+    return found.select("p_partkey", "s.*", statistics.improves(F.col("s")).alias("improves")).withColumn("conditions", F.array_join("conditions", ", "))
+
+
+@query("""
+with p as (select p_partkey, p_size % 6 as n, p_size % 7 as level, case when p_size % 11 = 0 then null else p_type end as text, p_brand as name from part)
+select p_partkey, (n + (level between 1 and 4 and text is not null)::int)::int as n_levels, n + (level between 1 and 4 and text is not null)::int > 0 as has_levels, n + (level between 1 and 4 and text is not null)::int >= 4 as is_complete,
+  case when level between 1 and 4 and text is not null then text when n > 0 then 'level ' || n end as last, name in ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#3') as has_power from p""")
+def power_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels added to powers, and what is asked of them."""
+    n = F.col("p_size") % 6
+    levels = F.transform(F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: i > 0), lambda i: F.struct(i.alias("level"), F.concat(F.lit("level "), i).alias("description")))
+    words = F.when(F.col("p_size") % 11 != 0, F.concat(F.lit(" \n"), "p_type", F.lit(" ")))
+    grown = table(spark, sf_dir, "part").select("p_partkey", "p_brand", statistics.with_level(levels, F.col("p_size") % 7, words).alias("levels"))
+    listed = F.array(*[F.lit(b) for b in ("Brand#11", "Brand#22", "Brand#33", "Brand#3")])
+    return grown.select("p_partkey", F.size("levels").alias("n_levels"), statistics.has_levels(F.col("levels")).alias("has_levels"), statistics.is_complete(F.col("levels")).alias("is_complete"), F.get("levels", F.size("levels") - 1)["description"].alias("last"), statistics.has_power(listed, F.col("p_brand")).alias("has_power"))

@@ -201,3 +201,17 @@ def test_gate_queries_on_all_parts(spark, sf_dir):
             taken.append((r["name"], r.p_partkey))
     got = record_queries.gated_names(spark, sf_dir).collect()
     assert sorted((r.p_brand, r["name"], r.p_partkey, r["rank"]) for r in got) == sorted((b, n, p, i + 1) for b, found in want.items() for i, (n, p) in enumerate(found))
+
+
+def test_level_statistics(spark):
+    from tessera.functions import statistics
+
+    texts = ["When attacking, gain 2 green dice. Reroll 1 die. Heal 1 wound and 2 stress. Reduce wounds and sanity by 1.", "nothing", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("s", statistics.level_statistics(F.col("t")))
+    got = [r.s for r in df.orderBy("i").collect()]
+    assert tuple(got[0]) == (2, 0, 1.5, 2.5, 1.0, 66.67, 2, 1.5, 1.5, True, ["when attacking"], 1, "standard", True, 1, 2, True, 1, 1, True)
+    assert len(got[0]) == 20 and tuple(got[1]) == tuple(got[2]) == (0, 0, 1.5, 1.5, 0.0, 0.0, 0, 1.5, 1.5, False, [], 0, None, False, 0, 0, False, 0, 0, False)
+    assert got[3] is None
+    none = F.lit(None).cast("array<struct<level:int,description:string>>")
+    row = df.limit(1).select(statistics.with_level(none, F.lit(2), F.lit(" x\n")).alias("a"), statistics.with_level(none, F.lit(5), F.lit("x")).alias("b"), statistics.has_levels(none).alias("c"), statistics.is_complete(none).alias("d"), statistics.has_power(F.lit(None).cast("array<string>"), F.lit("x")).alias("e")).first()
+    assert [tuple(x) for x in row["a"]] == [(2, "x")] and row["b"] == [] and not (row["c"] or row["d"] or row["e"])
