@@ -93,13 +93,22 @@ def test_advance(spark, at, n, after):
     assert spark.range(1).select(tracks.advance(F.lit(at), F.lit(n)).alias("r")).first()["r"] == after == _step(at, n)
 
 
-def test_fold_in_pieces(spark):
+@pytest.mark.parametrize("piece", [1, 3, 4096])
+def test_fold_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr("tessera.streaming.insanity.PIECE", piece)
     rows = [(k, f"2024-01-{1 + i // 40:02d} {i % 24:02d}:00:00", i, (i * 7 + k) % 3) for k in range(3) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, ts string, i int, n int").withColumn("ts", F.col("ts").cast("timestamp"))
     want = {}
     for k, ts, i, n in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         want[k] = _step(want.get(k, 0), n)
-    assert {r.k: r.insanity for r in final_insanity(df, "k", "ts", "i", "n").collect()} == want
+    out = final_insanity(df, "k", "ts", "i", "n")
+    assert {r.k: r.insanity for r in out.collect()} == want
+    hot = [(1, "2024-01-01 05:00:00", i, (i * i) % 2) for i in range(40)]
+    slot = 0
+    for *_, n in hot:
+        slot = _step(slot, n)
+    one_hour = spark.createDataFrame(hot, "k int, ts string, i int, n int").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert final_insanity(one_hour, "k", "ts", "i", "n").first()["insanity"] == slot
 
 
 def test_playstyle(spark):
@@ -256,7 +265,7 @@ def test_references(spark):
     assert one(spark, names.references, None) is None
 
 
-@pytest.mark.parametrize("motto, cleaned", [("-| Shoot first ~ ask never |", "Shoot first ask never"), ("Life is is certain ab", "Life is certain"), ('"4 never ask"', '"I never ask"'), ("Instead. Make peace", "Instead, I make peace"), ("", ""), (None, None)])
+@pytest.mark.parametrize("motto, cleaned", [("-| Shoot first ~ ask never |", "Shoot first ask never"), ("Life is is certain ab", "Life is certain"), ('"4 never ask"', '"I never ask"'), ("Instead. Make peace", "Instead, I make peace"), ("", ""), (None, None), ('id ~ "Trust no one"', '"Trust no one"'), ("xx yy. 'Never ask", "'Never ask"), ("Quite a long piece in front of it: \"Never ask", "Quite a long piece in front of it: \"Never ask"), ("zz 'ab' \"Ask first", '"Ask first')])
 def test_motto(spark, motto, cleaned):
     assert one(spark, names.clean_motto, motto) == cleaned
 
