@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.cards import paragraph_score
+from tessera.functions.scoring import let
 from tessera.operators.ranking import ranked
 
 #: The runner-up is added behind a best paragraph of more than so many points, if less than so much of its words are in it.
@@ -38,8 +39,7 @@ def joined(best: Column, second: Column, score: Column) -> Column:
 
 def split(text: Column) -> Column:
     """Paragraphs between empty lines; the lines themselves where no empty line parts the text. Trimmed, empty ones dropped."""
-    parts = F.split(text, r"\n\s*\n+")
-    parts = F.when(F.size(parts) == 1, F.split(text, "\n")).otherwise(parts)
+    parts = let(F.split(text, r"\n\s*\n+"), lambda q: F.when(F.size(q) == 1, F.split(text, "\n")).otherwise(q))
     return F.filter(F.transform(parts, _stripped), lambda p: p != "")
 
 
@@ -54,10 +54,14 @@ def score(paragraph: Column, *others: Column) -> Column:
 def story(text: Column, *others: Column) -> Column:
     """Struct of the story of a text, its best paragraph's score and how many paragraphs it holds (1 or 2); null without a positive score. First of equals wins."""
     scored = F.transform(split(text), lambda p, i: F.struct((-score(p, *others)).alias("order"), i.alias("i"), p.alias("p")))
-    top = F.slice(F.array_sort(F.filter(scored, lambda x: x["order"] < 0)), 1, 2)
-    best, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
-    whole = joined(best["p"], second["p"], -best["order"])
-    return F.when(F.size(top) > 0, F.struct(whole.alias("story"), (-best["order"]).alias("score"), F.when(F.length(whole) > F.length(best["p"]), 2).otherwise(1).alias("parts")))
+    two = F.slice(F.array_sort(F.filter(scored, lambda x: x["order"] < 0)), 1, 2)
+
+    def told(top: Column) -> Column:
+        best, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
+        whole = let(joined(best["p"], second["p"], -best["order"]), lambda w: F.struct(w.alias("story"), (-best["order"]).alias("score"), F.when(F.length(w) > F.length(best["p"]), 2).otherwise(1).alias("parts")))
+        return F.when(F.size(top) > 0, whole)
+
+    return let(two, told)
 
 
 def best_of_groups(rows: DataFrame, groups: Sequence[str], text: str, sequence: str, points: Column) -> DataFrame:
