@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import cards, facts, rules, statistics, strategies, text, variants
+from tessera.functions import cards, facts, rules, scoring, statistics, strategies, text, variants
 from tessera.operators import acceptance, paragraphs, ranking
 from tessera.plans.catalog import _TYPES, EFFECT, ORACLE_SQL, effects, query, table
 
@@ -97,8 +97,7 @@ f as (select doc_id, lower(word) as name, min(pos)::int as pos from x where lowe
 select doc_id, name, pos, (row_number() over (partition by doc_id order by pos, name))::int as rank from f qualify row_number() over (partition by doc_id order by pos, name) <= 2""")
 def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two distinct listed words of each document that stand behind a word of four letters or more."""
-    words = F.split("text", " ", -1)
-    at = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("name"), i.alias("pos"), F.get(words, i - 1).alias("before")))
+    at = scoring.let(F.split("text", " ", -1), lambda words: F.transform(words, lambda w, i: F.struct(F.lower(w).alias("name"), i.alias("pos"), F.get(words, i - 1).alias("before"))))
     listed = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.filter(at, lambda x: x["name"].isin(_LISTED))))
     return acceptance.first_accepted(listed, ["doc_id"], "name", "pos", F.length("before") > 3)
 
