@@ -48,9 +48,21 @@ def description_issues(text: Column) -> Column:
     )
 
 
+def validity_doubts(text: Column) -> dict[str, Column]:
+    """Each reason to doubt a description by itself, whatever the others say; all are null for a null text. White space is that of ASCII without the vertical tab."""
+    return {
+        "too short": F.length(text) < 5,
+        "long": F.length(text) > 500,
+        "bars": text.rlike("[|]{2,}"),
+        "tildes": text.rlike("[~]{2,}"),
+        "characters": text.rlike(r"[^\w \t\n\f\r.,;:!?\-()\[\]/]{3,}"),
+    }
+
+
 def validity_issues(text: Column) -> Column:
-    """Reasons to doubt a description; a text under five characters has that one reason only."""
-    rest = F.array_compact(F.array(F.when(F.length(text) > 500, "long"), F.when(text.rlike("[|]{2,}"), "bars"), F.when(text.rlike("[~]{2,}"), "tildes"), F.when(text.rlike(r"[^\w\s.,;:!?\-()\[\]/]{3,}"), "characters")))
+    """Reasons to doubt a description; a null text, or one that is under five characters once trimmed, has that one reason only."""
+    doubts = validity_doubts(text)
+    rest = F.array_compact(F.array(*(F.when(doubts[x], x) for x in ("long", "bars", "tildes", "characters"))))
     return F.when(text.isNull() | (F.length(F.trim(text)) < 5), F.array(F.lit("too short"))).otherwise(rest)
 
 
