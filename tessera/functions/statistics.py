@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import dice, facts
+from tessera.functions.scoring import let
 
 #: Fixed value: levels of a whole power.
 LEVELS = 4
@@ -17,12 +18,19 @@ def level_statistics(description: Column) -> Column:
 
     Successes and risks have three places and percents two, rounded to even on ties. A text with no effect leaves the base roll as it is.
     """
-    green, black = facts.green_dice(description), facts.black_dice(description)
-    enhanced, increase, percent, most, risk, _ = dice.impact(green, black, facts.conversion(description), facts.conversion_factor(description))
+    found = F.struct(
+        facts.green_dice(description).alias("green"), facts.black_dice(description).alias("black"), facts.conversion(description).alias("conversion"), facts.conversion_factor(description).alias("factor"),
+        facts.conditions(description).alias("conditions"), facts.rerolls(description).alias("rerolls"), facts.reroll_kind(description).alias("reroll_kind"), facts.wounds_healed(description).alias("wounds"),
+        facts.stress_healed(description).alias("stress"), facts.wound_reduction(description).alias("less_wounds"), facts.sanity_reduction(description).alias("less_sanity"),
+    )
+    # bound to a name, so that a text is searched once for a fact, however many figures follow from it
+    return F.when(description.isNotNull(), let(found, _figures))
+
+
+def _figures(found: Column) -> Column:
+    green, black = found["green"], found["black"]
+    enhanced, increase, percent, most, risk, _ = dice.impact(green, black, found["conversion"], found["factor"])
     base = lambda symbol: F.bround(dice.expected(F.lit(dice.BASE_BLACK), F.lit(dice.BASE_GREEN), symbol), 3)
-    conditions, rerolls = facts.conditions(description), facts.rerolls(description)
-    wounds, stress = facts.wounds_healed(description), facts.stress_healed(description)
-    less_wounds, less_sanity = facts.wound_reduction(description), facts.sanity_reduction(description)
     named = {
         "green_dice_added": green,
         "black_dice_added": black,
@@ -33,19 +41,19 @@ def level_statistics(description: Column) -> Column:
         "max_successes_increase": most.cast("int"),
         "tentacle_risk": F.bround(risk, 3),
         "base_tentacle_risk": base("tentacle"),
-        "is_conditional": F.size(conditions) > 0,
-        "conditions": conditions,
-        "rerolls_added": rerolls,
-        "reroll_type": facts.reroll_kind(description),
-        "has_reroll": rerolls > 0,
-        "wounds_healed": wounds,
-        "stress_healed": stress,
-        "has_healing": (wounds > 0) | (stress > 0),
-        "wound_reduction": less_wounds,
-        "sanity_reduction": less_sanity,
-        "has_defensive": (less_wounds > 0) | (less_sanity > 0),
+        "is_conditional": F.size(found["conditions"]) > 0,
+        "conditions": found["conditions"],
+        "rerolls_added": found["rerolls"],
+        "reroll_type": found["reroll_kind"],
+        "has_reroll": found["rerolls"] > 0,
+        "wounds_healed": found["wounds"],
+        "stress_healed": found["stress"],
+        "has_healing": (found["wounds"] > 0) | (found["stress"] > 0),
+        "wound_reduction": found["less_wounds"],
+        "sanity_reduction": found["less_sanity"],
+        "has_defensive": (found["less_wounds"] > 0) | (found["less_sanity"] > 0),
     }
-    return F.when(description.isNotNull(), F.struct(*[c.alias(k) for k, c in named.items()]))
+    return F.struct(*[c.alias(k) for k, c in named.items()])
 
 
 def improves(statistics: Column) -> Column:

@@ -215,3 +215,11 @@ def test_level_statistics(spark):
     none = F.lit(None).cast("array<struct<level:int,description:string>>")
     row = df.limit(1).select(statistics.with_level(none, F.lit(2), F.lit(" x\n")).alias("a"), statistics.with_level(none, F.lit(5), F.lit("x")).alias("b"), statistics.has_levels(none).alias("c"), statistics.is_complete(none).alias("d"), statistics.has_power(F.lit(None).cast("array<string>"), F.lit("x")).alias("e")).first()
     assert [tuple(x) for x in row["a"]] == [(2, "x")] and row["b"] == [] and not (row["c"] or row["d"] or row["e"])
+
+
+def test_statistics_search_a_text_once(spark, sf_dir):
+    from tessera.plans import record_queries
+
+    plan = record_queries.level_statistics(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in plan
+    assert plan.count(r"gain\s+a\s+green\s+dice") == 1
