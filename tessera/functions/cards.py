@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,7 +42,7 @@ DOMAIN_TERMS = {
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def _capitals(line: Column) -> Column:

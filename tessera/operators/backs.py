@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.cards import rules_line
+from tessera.functions.scoring import let
 
 #: What actions say, and what begins a description.
 ACTIONS = ["when you run", "when attacking", "when you attack", "when attacked", "during a run", "you may", "deal", "wound", "heal", "stress", "move", "additional", "sneak", "free", "reroll"]
@@ -47,7 +50,7 @@ _COUNTED = r"^(?:level\s*)?[1234][:\-]?\s*"
 
 
 def _holds(text: Column, words: Sequence[str]) -> Column:
-    return F.coalesce(text.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
+    return F.coalesce(reduce(or_, (F.contains(text, F.lit(w)) for w in words)), F.lit(False))
 
 
 def _words(text: Column) -> Column:
@@ -60,8 +63,12 @@ def _bounded(upper: Column, name: str) -> Column:
 
 def vocabulary_name(line: Column, names: Sequence[str]) -> Column:
     """The first of ``names`` that stands in the line between word bounds, or anywhere in a line of about its length."""
-    upper = F.upper(line)
-    return F.coalesce(*(F.when(_bounded(upper, n) | (F.contains(upper, F.lit(n.upper())) & (F.length(line) <= len(n) + LONGER)), n) for n in names))
+    return let(F.upper(line), lambda upper: _vocabulary_name(line, upper, names))
+
+
+def _vocabulary_name(line: Column, upper: Column, names: Sequence[str]) -> Column:
+    # few lines hold a name at all, and only those are searched for its bounds
+    return F.coalesce(*(F.when(F.contains(upper, F.lit(n.upper())) & ((F.length(line) <= len(n) + LONGER) | _bounded(upper, n)), n) for n in names))
 
 
 def _capitals(words: Column, allowed: str) -> Column:
@@ -73,67 +80,81 @@ def _capitals(words: Column, allowed: str) -> Column:
     return F.when(start > 0, F.array_join(run, " "))
 
 
-def _certain_name(lines: Column, line: Column, i: Column) -> Column:
-    """The name of a special power whose own words the line has."""
-    low = F.lower(line)
-    fueled = F.when(_holds(low, ["fueled"]) & _holds(low, ["madness"]), _capitals(_words(line), "(?i)^(by|the)$"))
-    prays = lambda x: _holds(F.lower(x), ["healing"]) & _holds(F.lower(x), ["prayer"])
-    at = lambda words, w: F.array_max(F.transform(words, lambda x, k: F.when(_holds(F.lower(x), [w]), k)))
+def _seen(line: Column) -> Column:
+    """A line with what is looked at most: in either case, and its words."""
+    return F.struct(line.alias("line"), F.lower(line).alias("low"), F.upper(line).alias("upper"), _words(line).alias("words"))
+
+
+def _noted(x: Column, upper_names: Sequence[str]) -> Column:
+    """What a line (see ``_seen``) says by itself, for it and for the lines around it."""
+    line, low, words = x["line"], x["low"], x["words"]
+    at = lambda w: F.array_max(F.transform(words, lambda y, k: F.when(_holds(F.lower(y), [w]), k)))
+    healing_prayer = let(F.array(at("healing"), at("prayer")), lambda ends: F.array_join(F.slice(words, F.array_min(ends) + 1, F.array_max(ends) - F.array_min(ends) + 1), " "))
+    names_one = _holds(x["upper"], upper_names)
+    quoted = line.rlike("^[\"']|[\"']$") | _holds(low, MOTTO_MARKS)
+    named = F.size(words).between(1, 4) & line.rlike(r"^\p{Lu}") & ~names_one & ~line.rlike("[.,:]$")
+    return F.struct(
+        line.alias("line"),
+        low.alias("low"),
+        x["upper"].alias("upper"),
+        words.alias("words"),
+        names_one.alias("names_one"),
+        _holds(low, GAIN).alias("gains"),
+        _holds(low, SANITY).alias("sane"),
+        (_holds(low, ACTIONS) | F.coalesce(low.rlike(_COUNTED), F.lit(False))).alias("acts"),
+        F.startswith(low, F.lit("instead")).alias("instead"),
+        F.when(_holds(low, ["healing"]) & _holds(low, ["prayer"]), healing_prayer).alias("prayer"),
+        F.when(named & ~quoted & ~_holds(low, NO_NAMES), line).alias("title"),
+    )
 
-    def between(x: Column) -> Column:
-        a, b = at(_words(x), "healing"), at(_words(x), "prayer")
-        return F.array_join(F.slice(_words(x), F.least(a, b) + 1, F.greatest(a, b) - F.least(a, b) + 1), " ")
 
+def _around(noted: Column, i: Column, steps: Sequence[int], *flags: str) -> Column:
+    """Whether one of the lines at some steps from the i-th has one of the flags."""
+    return reduce(or_, (F.coalesce(F.get(noted, i + k)[f], F.lit(False)) for k in steps for f in flags))
+
+
+def _certain_name(noted: Column, x: Column, i: Column) -> Column:
+    """The name of a special power whose own words the line has."""
+    low = x["low"]
+    fueled = F.when(_holds(low, ["fueled"]) & _holds(low, ["madness"]), _capitals(x["words"], "(?i)^(by|the)$"))
     ends_turn = _holds(low, ["at the end", "atthe end"]) & _holds(low, ["turn"]) & _holds(low, ["heal", "wound"])
-    before = [F.when(prays(F.get(lines, i - k)), between(F.get(lines, i - k))) for k in range(1, 6)]
-    return F.coalesce(fueled, F.when(prays(line) | ends_turn, F.coalesce(*before, F.lit(PRAYER))))
+    before = [F.get(noted, i - k)["prayer"] for k in range(1, 6)]
+    return F.coalesce(fueled, F.when(x["prayer"].isNotNull() | ends_turn, F.coalesce(*before, F.lit(PRAYER))))
 
 
-def _suggested_name(lines: Column, line: Column, i: Column, names: Sequence[str]) -> Column:
+def _suggested_name(noted: Column, x: Column, i: Column) -> Column:
     """The name of a special power that the lines around suggest."""
-    near = lambda words, steps: F.exists(F.array(*(F.lower(F.get(lines, i + k)) for k in steps)), lambda x: _holds(x, words))
-    low = F.lower(line)
-    gains, sane = _holds(low, GAIN), _holds(low, SANITY)
-    madness = (gains & (sane | near(SANITY, range(1, 4)))) | (sane & near(GAIN, range(-3, 0)))
-    acts = lambda x: _holds(x, ACTIONS) | F.coalesce(x.rlike(_COUNTED), F.lit(False))
-    goes_on = F.exists(F.array(*(F.lower(F.get(lines, i + k)) for k in range(1, 4))), lambda x: acts(x) | F.coalesce(F.startswith(x, F.lit("instead")), F.lit(False)))
-
-    def title(x: Column) -> Column:
-        lower = F.lower(x)
-        quoted = x.rlike("^[\"']|[\"']$") | _holds(lower, MOTTO_MARKS)
-        named = F.size(_words(x)).between(1, 4) & x.rlike(r"^\p{Lu}") & ~_holds(F.upper(x), [n.upper() for n in names]) & ~x.rlike("[.,:]$")
-        return F.when(named & ~quoted & ~_holds(lower, NO_NAMES), x)
-
-    start = F.slice(F.split(low, r"\s+"), 1, 5)
+    madness = (x["gains"] & (x["sane"] | _around(noted, i, range(1, 4), "sane"))) | (x["sane"] & _around(noted, i, range(-3, 0), "gains"))
+    start = F.slice(F.split(x["low"], r"\s+"), 1, 5)
     about = F.coalesce(*(F.when(F.arrays_overlap(start, F.array(*map(F.lit, words))), name) for words, name in ABOUT))
     # a capital and more than two characters, among the first three words
-    own = _capitals(F.transform(F.slice(_words(line), 1, 3), lambda w: F.when(F.length(w) > 2, w).otherwise("-")), "^$")
-    given = F.coalesce(*(title(F.get(lines, i - k)) for k in range(1, 6)), about, own, F.lit(OTHERWISE))
-    return F.when(madness, FUELED).when(acts(low) & goes_on, given)
+    own = _capitals(F.transform(F.slice(x["words"], 1, 3), lambda w: F.when(F.length(w) > 2, w).otherwise("-")), "^$")
+    given = F.coalesce(*(F.get(noted, i - k)["title"] for k in range(1, 6)), about, own, F.lit(OTHERWISE))
+    return F.when(madness, FUELED).when(x["acts"] & _around(noted, i, range(1, 4), "acts", "instead"), given)
 
 
-def _described(lines: Column, names: Sequence[str]) -> Column:
-    """What each line says to the automaton."""
+def _described(noted: Column, names: Sequence[str]) -> Column:
+    """What each line says to the automaton, out of what it and the lines around it say by themselves."""
 
-    def one(line: Column, i: Column) -> Column:
-        low, n = F.lower(line), F.size(_words(line))
-        upper_names = [x.upper() for x in names]
-        begins = F.coalesce(*(F.when(F.startswith(low, F.lit(p)), True) for p in DESCRIPTIONS), F.lit(False)) | (line.rlike("^[A-Z]") & (n > WORDS) & ~F.upper(line).isin(upper_names))
+    def one(x: Column, i: Column) -> Column:
+        line, low, n = x["line"], x["low"], F.size(x["words"])
+        upper_names = [name.upper() for name in names]
+        begins = F.coalesce(*(F.when(F.startswith(low, F.lit(p)), True) for p in DESCRIPTIONS), F.lit(False)) | (line.rlike("^[A-Z]") & (n > WORDS) & ~x["upper"].isin(upper_names))
         return F.struct(
             line.alias("line"),
             rules_line(line).alias("rule"),
-            _certain_name(lines, line, i).alias("certain"),
-            _suggested_name(lines, line, i, names).alias("suggested"),
-            vocabulary_name(line, names).alias("common"),
+            _certain_name(noted, x, i).alias("certain"),
+            _suggested_name(noted, x, i).alias("suggested"),
+            F.when(x["names_one"], _vocabulary_name(line, x["upper"], names)).alias("common"),
             F.when(low.rlike(_LEVEL), F.trim(F.regexp_replace(line, f"(?i){_LEVEL}", ""))).alias("mark"),
-            F.when(F.startswith(low, F.lit("instead")), F.trim(F.regexp_replace(line, r"(?i)^instead[,\s]*", ""))).alias("instead"),
-            F.when(low.rlike(r"^[^a-z]*instead[,\s]+"), F.trim(F.regexp_replace(line, r"(?i)^[^a-z]*instead[,\s]+", ""))).alias("later"),
+            F.when(x["instead"], F.trim(F.regexp_replace(line, r"(?i)^instead[,\s]*", ""))).alias("instead"),
+            F.when(F.contains(low, F.lit("instead")) & low.rlike(r"^[^a-z]*instead[,\s]+"), F.trim(F.regexp_replace(line, r"(?i)^[^a-z]*instead[,\s]+", ""))).alias("later"),
             begins.alias("begins"),
-            ((n <= 8) & ~line.rlike(r"^\p{Lu}") & ~_holds(F.upper(line), upper_names)).alias("continues"),
-            _holds(F.upper(F.get(lines, i + 1)), upper_names).alias("before_name"),
+            ((n <= 8) & ~line.rlike(r"^\p{Lu}") & ~x["names_one"]).alias("continues"),
+            F.coalesce(F.get(noted, i + 1)["names_one"], F.lit(False)).alias("before_name"),
         )
 
-    return F.transform(lines, one)
+    return F.transform(noted, one)
 
 
 def _closed(state: Column) -> Column:
@@ -177,24 +198,26 @@ def _step(state: Column, line: Column) -> Column:
 def powers(text: Column, names: Sequence[str]) -> Column:
     """struct<special, powers> of a text: the special power or null, and those of the vocabulary ``names`` in order, each with its levels' texts."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    # bound to a name, so that the lines are not split anew for every line that looks at its neighbours
-    return F.when(text.isNotNull(), F.get(F.transform(F.array(lines), lambda own: _parsed(own, names)), F.lit(0)))
+    upper_names = [n.upper() for n in names]
+    noted = F.transform(F.transform(lines, _seen), lambda x: _noted(x, upper_names))
+    # bound to a name, so that a line is looked at once, however many lines ask what stands around them
+    return F.when(text.isNotNull(), let(noted, lambda own: _parsed(own, names)))
 
 
-def _parsed(lines: Column, names: Sequence[str]) -> Column:
+def _parsed(noted: Column, names: Sequence[str]) -> Column:
     start = F.struct(F.lit(False), F.lit(None), F.lit(False), F.array(), F.lit(""), F.array(), F.lit(None)).cast(_STATE)
 
     def finish(state: Column) -> Column:
         done, found = _saved(state, _closed(state))
-        short = F.filter(lines, lambda x: (F.length(x) <= SWEPT) & ~_holds(F.upper(x), DESCRIBING))
+        short = F.filter(noted, lambda x: x["names_one"] & (F.length(x["line"]) <= SWEPT) & ~_holds(x["upper"], DESCRIBING))
 
         def missed(n: str) -> Column:
-            stands = F.exists(short, lambda x: _bounded(F.upper(x), n) & (F.length(x) <= len(n) + LONGER)) & ~F.exists(done, lambda p: p["name"] == n)
+            stands = F.exists(short, lambda x: (F.length(x["line"]) <= len(n) + LONGER) & _bounded(x["upper"], n)) & ~F.exists(done, lambda p: p["name"] == n)
             return F.when(stands, F.array(F.struct(F.lit(n), F.array()).cast(POWER))).otherwise(F.array().cast(f"array<{POWER}>"))
 
         return F.struct(found.alias("special"), F.when(state["name"].isNotNull(), F.concat(done, *map(missed, names))).otherwise(done).alias("powers"))
 
-    return F.aggregate(_described(lines, names), start, _step, finish)
+    return F.aggregate(_described(noted, names), start, _step, finish)
 
 
 def back_powers(rows: DataFrame, identifier: str, names: Sequence[str], text: str = "text") -> DataFrame:

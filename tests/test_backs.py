@@ -180,3 +180,11 @@ def test_documents_as_backs(spark, sf_dir, monkeypatch):
         want += [(doc, s, i, n, len(x), hashlib.md5("|".join(x).encode()).hexdigest()) for i, (s, n, x) in enumerate(rows)]
     got = sorted(map(tuple, lookup_queries.back_text_powers(spark, sf_dir).collect()))
     assert got == sorted(want) and {x[1] for x in want} == {True, False}
+
+
+def test_a_line_is_searched_once(spark, sf_dir):
+    from tessera.plans import lookup_queries
+
+    plan = lookup_queries.back_text_powers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # a word of actions: what a line says by itself is noted once, and lines around it read the note
+    assert plan.count("during a run") == 1
