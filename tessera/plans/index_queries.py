@@ -54,9 +54,9 @@ _WORDS = "select distinct doc_id as id, unnest(string_split(lower(text), ' ')) a
 
 @query(f"select key, count(*) as n, sum(id)::bigint as id_sum, max(id) as highest from ({_WORDS}) where key <> '' group by key")
 def index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every text as a key: what the blocks hold, summed by key after they are unfolded."""
-    words = table(spark, sf_dir, "documents").select(F.lit("word").alias("facet"), F.explode(F.split(F.lower("text"), " ", -1)).alias("key"), F.col("doc_id").alias("id"))
-    return index_files.ids(_written(spark, words, "word-index").blocks).groupBy("key").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.max("id").alias("highest"))
+    """Every word of every text as a key: what the blocks hold, unfolded and summed by key. A text's repeats of a word stay in its row."""
+    words = table(spark, sf_dir, "documents").select(F.lit("word").alias("facet"), F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("key"), F.col("doc_id").alias("id"))
+    return index_files.totals(_written(spark, words, "word-index").blocks).select("key", "n", "id_sum", "highest")
 
 
 # ---- sections that begin at names

@@ -35,7 +35,7 @@ def _bucket(facet: Column, key: Column, buckets: int) -> Column:
 
 def write(entries: DataFrame, path: str, buckets: int = 64, block: int = 4096) -> str:
     """Write (facet, key, id) as a new version of the index at ``path``, and return the version's name."""
-    kept = entries.select(F.col("facet").cast("string"), F.col("key").cast("string"), F.col("id").cast("long")).where("facet is not null and key <> '' and id is not null").distinct()
+    kept = entries.select(F.col("facet").cast("string"), F.col("key").cast("string"), F.col("id").cast("long")).where("facet is not null and key <> '' and id is not null")
     kept = kept.withColumn("bucket", _bucket(F.col("facet"), F.col("key"), buckets))
     order = ["bucket", "facet", "key", "id"]
 
@@ -43,6 +43,7 @@ def write(entries: DataFrame, path: str, buckets: int = 64, block: int = 4096) -
         held = None  # the last key's rows may go on in the next batch
         for batch in batches:
             held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            held = _once(held)
             cut = _starts(held)
             whole = held.num_rows if held.num_rows >= 8 * block and len(cut) == 1 else int(cut[-1])
             whole -= whole % block if whole == held.num_rows else 0
@@ -62,15 +63,26 @@ def write(entries: DataFrame, path: str, buckets: int = 64, block: int = 4096) -
     return version
 
 
+def _once(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Sorted rows without their repeats; equal rows are in one range, and so side by side in one task."""
+    new = _changes(rows, ("id", "key", "facet"))
+    return rows if new.all() else rows.take(pa.array(np.flatnonzero(new)))
+
+
 def _starts(rows: pa.RecordBatch) -> np.ndarray:
     """Where another facet or key begins; 0 for the first row."""
+    return np.flatnonzero(_changes(rows, ("facet", "key")))
+
+
+def _changes(rows: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    """Whether each row differs from the one before in some of the columns; true for the first."""
     new = np.zeros(rows.num_rows, bool)
     new[:1] = True
-    for c in ("facet", "key"):
+    for c in columns:
         column = rows.column(c)
         if rows.num_rows > 1:
             new[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
+    return new
 
 
 def _blocks(rows: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
@@ -136,21 +148,42 @@ def load(spark: SparkSession, path: str) -> Index | None:
     return newest and Index(spark, path, newest["version"], newest["buckets"])
 
 
+def _unfolded(batch: pa.RecordBatch) -> np.ndarray:
+    """All ids of a batch of blocks, in order."""
+    n = batch.column("n").to_numpy()
+    gaps = batch.column("gaps").flatten().to_numpy()
+    start = np.cumsum(n) - n
+    steps = np.zeros(n.sum(), np.int64)
+    inner = np.ones(len(steps), bool)
+    inner[start] = False
+    steps[inner] = gaps
+    total = np.cumsum(steps)
+    return total - np.repeat(total[start], n) + np.repeat(batch.column("first").to_numpy(), n) if len(n) else total
+
+
 def ids(blocks: DataFrame) -> DataFrame:
     """(facet, key, id) of blocks: the first id and the running sum of the gaps."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n").to_numpy()
-            gaps = batch.column("gaps").flatten().to_numpy()
-            start = np.cumsum(n) - n
-            steps = np.zeros(n.sum(), np.int64)
-            inner = np.ones(len(steps), bool)
-            inner[start] = False
-            steps[inner] = gaps
-            total = np.cumsum(steps)
-            found = total - np.repeat(total[start], n) + np.repeat(batch.column("first").to_numpy(), n) if len(n) else total
+            found = _unfolded(batch)
             at = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([batch.column("facet").take(at), batch.column("key").take(at), pa.array(found)], ["facet", "key", "id"])
 
     return blocks.select("facet", "key", "first", "n", "gaps").mapInArrow(unfold, "facet string, key string, id long")
+
+
+def totals(blocks: DataFrame) -> DataFrame:
+    """(facet, key, n, id_sum, lowest, highest) of every key: each block is unfolded and summed where it is read, and only its totals are grouped."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, first = batch.column("n").to_numpy().astype(np.int64), batch.column("first").to_numpy()
+            found, start = _unfolded(batch), np.cumsum(n) - n
+            sums = np.add.reduceat(found, start) if len(n) else found
+            highest = np.maximum.reduceat(found, start) if len(n) else found
+            yield pa.RecordBatch.from_arrays([batch.column("facet"), batch.column("key"), pa.array(n), pa.array(sums), pa.array(first), pa.array(highest)], ["facet", "key", "n", "id_sum", "lowest", "highest"])
+
+    summed = blocks.select("facet", "key", "first", "n", "gaps").mapInArrow(add, "facet string, key string, n long, id_sum long, lowest long, highest long")
+    return summed.groupBy("facet", "key").agg(F.sum("n").alias("n"), F.sum("id_sum").alias("id_sum"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))

@@ -62,3 +62,20 @@ def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
     assert [r.id for r in index_files.load(spark, str(tmp_path)).search("x").collect()] == [2]
     index_files.write(rows.limit(0), str(tmp_path))
     assert index_files.load(spark, str(tmp_path)).search("x").collect() == []
+
+
+def test_totals_and_repeats(spark, tmp_path):
+    rows = [("f", "a", i) for i in range(100)] * 3 + [("f", "b", -5), ("f", "b", 7), ("f", "b", 7), ("g", "a", 1), (None, "a", 1), ("f", "", 1), ("f", None, 1), ("f", "a", None)]
+    entries = spark.createDataFrame(rows, "facet string, key string, id long").repartition(5)
+    index_files.write(entries, str(tmp_path / "index"), block=8)
+    found = index_files.load(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, index_files.totals(found.blocks).collect())) == [("f", "a", 100, 4950, 0, 99), ("f", "b", 2, 2, -5, 7), ("g", "a", 1, 1, 1, 1)]
+    assert found.blocks.where("n > 8").count() == 0
+    assert sorted((r["facet"], r["key"], r["n"]) for r in found.keys.collect()) == [("f", "a", 100), ("f", "b", 2), ("g", "a", 1)]
+
+
+def test_words_meet_once_on_their_way(spark, sf_dir):
+    from tessera.plans import index_queries
+
+    plan = index_queries.index_words(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "id_sum" in plan.split("MapInArrow")[1]  # blocks are summed where they are read
