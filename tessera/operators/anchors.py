@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scoring import let
 from tessera.operators.intervals import overlap_join
 
-#: Rows of a table of names that may be broadcast.
-FEW_NAMES = 100_000
+#: Rows of a table of names that may be broadcast, and first words of names that may be constants of the plan.
+FEW_NAMES, FEW_FIRST = 100_000, 1_000
 
 
 def _words(text: Column) -> Column:
@@ -20,6 +21,11 @@ def _words(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n", -1), lambda line, i: F.transform(F.filter(F.split(line, " ", -1), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
 
 
+def _plain_words(text: Column) -> Column:
+    """A text's words alone."""
+    return F.filter(F.split(F.translate(text, "\n", " "), " ", -1), lambda w: w != "")
+
+
 def anchors(rows: DataFrame, identifier: str, names: DataFrame) -> DataFrame:
     """(id, pos, size, name) of each place where a name stands: its first word's number in the text, and how many words it has.
 
@@ -30,10 +36,16 @@ def anchors(rows: DataFrame, identifier: str, names: DataFrame) -> DataFrame:
     known = known.select(F.array_join("_parts", " ").alias("name"), "size", F.get("_parts", F.lit(0)).alias("_first"))
     few = known.limit(FEW_NAMES + 1).count() <= FEW_NAMES
     longest = known.agg(F.max("size")).first()[0] or 1
-    words = F.transform(_words(F.col("text")), lambda w: F.lower(w["word"]))
-    listed = rows.where("text is not null").select(F.col(identifier).alias("id"), words.alias("_all"))
-    following = F.transform("_all", lambda w, i: F.struct(w.alias("_first"), F.slice("_all", i + 1, longest).alias("_next")))
-    places = listed.select("id", F.posexplode(following).alias("pos", "_at")).select("id", "pos", "_at._first", "_at._next")
+    firsts = [r["_first"] for r in known.select("_first").distinct().limit(FEW_FIRST + 1).collect()]
+
+    def following(words: Column) -> Column:
+        at = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("_first")))
+        if len(firsts) <= FEW_FIRST:  # only words that begin a name leave the row
+            at = F.filter(at, lambda p: p["_first"].isin(firsts))
+        return F.transform(at, lambda p: F.struct(p["pos"].alias("pos"), p["_first"].alias("_first"), F.slice(words, p["pos"] + 1, longest).alias("_next")))
+
+    listed = rows.where("text is not null").select(F.col(identifier).alias("id"), F.explode(let(_plain_words(F.lower("text")), following)).alias("_at"))
+    places = listed.select("id", "_at.pos", "_at._first", "_at._next")
     met = places.join(F.broadcast(known) if few else known, "_first").where(F.array_join(F.slice("_next", 1, F.col("size")), " ") == F.col("name"))
     best = F.max_by(F.struct("size", "name"), F.struct("size", "name"))
     return met.groupBy("id", "pos").agg(best.alias("_best")).select("id", "pos", "_best.size", "_best.name")
@@ -41,7 +53,7 @@ def anchors(rows: DataFrame, identifier: str, names: DataFrame) -> DataFrame:
 
 def sections(rows: DataFrame, identifier: str, names: DataFrame) -> DataFrame:
     """(id, name, occurrence, start, end): words from each name up to the next name; occurrence counts a name's sections in a document from 1."""
-    sizes = rows.where("text is not null").select(F.col(identifier).alias("id"), F.size(_words(F.col("text"))).alias("_total"))
+    sizes = rows.where("text is not null").select(F.col(identifier).alias("id"), F.size(_plain_words(F.col("text"))).alias("_total"))
     order = Window.partitionBy("id").orderBy("pos")
     # a name within a name, such as the second word of two, begins no section
     found = anchors(rows, identifier, names).withColumn("_before", F.max(F.col("pos") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -53,8 +65,14 @@ def sections(rows: DataFrame, identifier: str, names: DataFrame) -> DataFrame:
 
 def line_ranges(rows: DataFrame, identifier: str) -> DataFrame:
     """(id, line, first, last): the half-open range of words of every line that has some."""
-    words = rows.where("text is not null").select(F.col(identifier).alias("id"), F.posexplode(F.transform(_words(F.col("text")), lambda w: w["line"])).alias("_pos", "line"))
-    return words.groupBy("id", "line").agg(F.min("_pos").alias("first"), (F.max("_pos") + 1).alias("last"))
+    of_word = F.flatten(F.transform(F.split("text", "\n", -1), lambda line, i: F.array_repeat(i, F.size(F.filter(F.split(line, " ", -1), lambda w: w != "")))))
+
+    def ranges(lines: Column) -> Column:
+        starts = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("first"))), lambda s: (s["first"] == 0) | (F.get(lines, s["first"] - 1) != s["line"]))
+        return let(starts, lambda own: F.transform(own, lambda s, i: F.struct(s["line"].alias("line"), s["first"].alias("first"), F.coalesce(F.get(own, i + 1)["first"], F.size(lines)).alias("last"))))
+
+    found = rows.where("text is not null").select(F.col(identifier).alias("id"), F.inline(let(of_word, ranges)))
+    return found.groupBy("id", "line").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def lines_of_sections(rows: DataFrame, identifier: str, names: DataFrame) -> DataFrame:

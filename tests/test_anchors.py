@@ -77,3 +77,14 @@ def test_numbered_levels(spark):
     got = {x.i: x.levels for x in rows.select("i", anchors.numbered_levels(rows.text).alias("levels")).collect()}
     assert got == {i: None if t is None else plain_levels(t) for i, t in enumerate(texts)}
     assert got[302] == {1: "Attack with one more dice.", 2: "Attack with two more dice."}
+
+
+def test_words_stay_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "\n one two\n\ntwo  three\n")], "doc_id long, text string")
+    assert sorted(map(tuple, anchors.line_ranges(docs, "doc_id").collect())) == [(1, 1, 0, 2), (1, 3, 2, 4)]
+    names = spark.createDataFrame([("Two three",), ("two",)], "name string")
+    assert sorted(map(tuple, anchors.anchors(docs, "doc_id", names).collect())) == [(1, 1, 1, "two"), (1, 2, 2, "two three")]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (anchors.line_ranges(docs, "doc_id"), anchors.anchors(docs, "doc_id", names))]
+    # no row for every word: lines come out whole, and only words that begin a name leave the text
+    assert not any("posexplode" in p for p in plans)
+    assert anchors.anchors(docs, "doc_id", names.limit(0)).count() == 0
