@@ -31,7 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    """One document, the one of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles.
+
+    SimHash fingerprints in BK-trees nominate what is compared, and MinHash bands what they miss.
+    """
     return jaccard.one_of_each(docs, shingle=5, least=0.8)
 
 

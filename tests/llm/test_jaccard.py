@@ -56,3 +56,16 @@ def test_near_dedup_stage_leaves_no_near_copy(spark):
     rows = near_rows()
     kept = [r.text for r in dict(pipeline.STAGES)["near_dedup"](spark, documents(spark, rows), "").collect()]
     assert len(kept) == len(set(brute_groups([r[1] for r in rows])))
+
+
+def test_fingerprints_nominate_without_bands(spark, monkeypatch):
+    """Copies that lack the last of 400 words are within the radius; bands, which are switched off here, are not all that finds them."""
+    monkeypatch.setattr(jaccard, "_bands", lambda found: [])
+    r, rows = random.Random(3), []
+    for base in range(8):
+        words = [r.choice(WORDS) + str(r.randrange(40)) for _ in range(400)]
+        rows += [(2 * base, " ".join(words), "en", "s", 0), (2 * base + 1, " ".join(words[:-1]), "en", "s", 0)]
+    got = jaccard.members(documents(spark, rows)).select("doc_id", "component_id").collect()
+    linked = sum(x["doc_id"] != x["component_id"] for x in got)
+    assert len(got) == 16 and linked >= 7
+    assert all(x["component_id"] == x["doc_id"] - x["doc_id"] % 2 for x in got if x["doc_id"] != x["component_id"])
