@@ -6,7 +6,8 @@ candidate with ``BEFORE`` bytes in front and ``BEHIND`` after it, in windows of
 window counts. It is a convolution over ``SPAN`` characters, maximum and mean over the window, and a logistic output, in numpy.
 
 It is trained on labelled findings: (lead, stretch, positive), the stretch of bytes with its surroundings, where the candidate starts in it, and whether it is a secret. ``findings_of``
-takes them from a corpus, candidates inside base findings as positive ones, at most ``SAMPLE`` different ones of each label and of up to ``LEARNED`` bytes, smallest hash first. The surroundings of every second one are
+takes all of them from a corpus, candidates inside base findings as positive ones. In each round of ``train_on`` every task descends from the same weights over all its findings, and the means of
+the tasks' weights begin the next. The surroundings of every second one are
 blanked in training, so that a secret is also known by its own look. A quarter of them (by crc32 of the candidate) is held out: on it the score is
 calibrated (Platt), and the threshold is the highest that finds ``recall`` of the held-out secrets. Candidates that reach it and do not touch a base finding are added as kind ``cnn``.
 
@@ -40,9 +41,9 @@ KINDS = ("assign", "access", "hex", "cnn")
 SHORTEST = 12
 BEFORE, BEHIND, WIDTH, SPAN = 24, 8, 96, 5
 FILTERS, EPOCHS, RATE, BATCH = 24, 12, 4e-3, 128
-SAMPLE, LEAST = 3000, 8
-#: Bytes of the longest candidate that is learned from.
-LEARNED = 4096
+LEAST = 8
+#: Findings that are seen in training, about, counted again in each round; every round sees all of them.
+SEEN, ROUNDS, LARGE_BATCH = 120_000, 3, 256
 
 _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -117,14 +118,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_batches, scan, schema)
 
 
-def findings_of(scans: DataFrame, sample: int = SAMPLE) -> list[tuple[int, int, bytes, bool]]:
-    """Labelled findings (lead, size, stretch, positive) of what ``scanned`` found: at most ``sample`` of each label."""
-    found = scans.select(F.inline("found")).where(F.col("size") <= LEARNED).select("lead", "size", "stretch", "base").distinct()
-    out = []
-    for label in (True, False):
-        rows = found.where(F.col("base") == label).orderBy(F.xxhash64("stretch"), "stretch", "lead", "size").limit(sample)
-        out += [(r["lead"], r["size"], bytes(r["stretch"]), label) for r in rows.collect()]
-    return out
+def findings_of(scans: DataFrame) -> DataFrame:
+    """Every different labelled finding (lead, size, stretch, base) of what ``scanned`` found."""
+    return scans.select(F.inline("found")).select("lead", "size", "stretch", "base").distinct()
 
 
 def windows(lead: int, size: int, stretch: bytes, blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +173,14 @@ class Network:
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
     def chances(self, found: list[tuple[int, int, bytes]], blank: bool = False) -> np.ndarray:
-        """Calibrated chance of each candidate (lead, size, stretch): that of its likeliest window; windows are made and read a few MB at a time."""
+        """Calibrated chance of each candidate (lead, size, stretch): that of its likeliest window."""
+        return self.chance(self.best(found, blank))
+
+    def chance(self, best: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(best * self.slope + self.shift, -50, 50)))
+
+    def best(self, found: list[tuple[int, int, bytes]], blank: bool = False) -> np.ndarray:
+        """The output of each candidate's likeliest window; windows are made and read a few MB at a time."""
         best = np.full(len(found), -np.inf, np.float64)
         held, owner, count = [], [], 0
         for i, (lead, size, stretch) in enumerate(found):
@@ -191,20 +194,36 @@ class Network:
                     held, owner, count = [], [], 0
         if held:
             np.maximum.at(best, np.concatenate(owner), self.raw(np.concatenate(held)))
-        return 1 / (1 + np.exp(-np.clip(best * self.slope + self.shift, -50, 50)))
+        return best
+
+
+def _started(random: np.random.Generator) -> Network:
+    return Network(random.normal(0, 0.15, (SPAN, _INPUTS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), random.normal(0, 0.2, 2 * FILTERS).astype(np.float32), 0.0)
 
 
 def _fitted(codes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Network:
     """Gradient descent (Adam) on the weighted logistic loss, in a fixed order."""
     random = np.random.default_rng(11)
-    net = Network(random.normal(0, 0.15, (SPAN, _INPUTS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), random.normal(0, 0.2, 2 * FILTERS).astype(np.float32), 0.0)
-    moments: dict[str, tuple] = {}
-    reach, turn = codes.shape[1] - SPAN + 1, 0
+    net, descent = _started(random), Descent(random)
     for _ in range(EPOCHS):
-        order = random.permutation(len(codes))
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            turn += 1
+        descent.go(net, codes, labels, weights)
+    return net
+
+
+class Descent:
+    """Adam's moments over any number of passes."""
+
+    def __init__(self, random: np.random.Generator, batch: int = BATCH):
+        self.random, self.batch, self.moments, self.turn = random, batch, {}, 0
+
+    def go(self, net: Network, codes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        """One pass over the windows."""
+        moments, reach = self.moments, codes.shape[1] - SPAN + 1
+        order = self.random.permutation(len(codes))
+        for at in range(0, len(order), self.batch):
+            own = order[at : at + self.batch]
+            self.turn += 1
+            turn = self.turn
             x = _BITS[codes[own]]  # rows x WIDTH x inputs
             hidden, best, pooled = net.pooled(codes[own], np.einsum("ci,kif->kcf", _BITS, net.taps))
             chance = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.offset, -50, 50)))
@@ -221,7 +240,6 @@ def _fitted(codes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Netwo
                 a, b = 0.9 * a + 0.1 * step, 0.999 * b + 0.001 * step * step
                 moments[name] = a, b
                 setattr(net, name, (getattr(net, name) - RATE * (a / (1 - 0.9**turn)) / (np.sqrt(b / (1 - 0.999**turn)) + 1e-8)).astype(np.float32))
-    return net
 
 
 def train(findings: list[tuple[int, int, bytes, bool]], recall: float = 0.98) -> Network | None:
@@ -249,6 +267,80 @@ def train(findings: list[tuple[int, int, bytes, bool]], recall: float = 0.98) ->
     return net
 
 
+def _mixed(learned: DataFrame, net: Network, number: int, share: dict[bool, int]) -> Network:
+    """The mean of the weights to which the tasks descend from those of ``net``, each over all its findings."""
+    total = sum(share.values())
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network(net.taps.copy(), net.bias.copy(), net.out.copy(), net.offset)
+        descent, seen = Descent(np.random.default_rng(11 + number), LARGE_BATCH if total > 20 * LARGE_BATCH else BATCH), 0
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("lead", "size", "stretch", "base", "times")), strict=True))
+            for at in range(0, len(rows), 4096):
+                codes, labels, weights = [], [], []
+                for lead, size, stretch, positive, times in rows[at : at + 4096]:
+                    data, inside = windows(lead, size, stretch)
+                    codes.append(data + 256 * inside.astype(np.int32))
+                    labels.append(np.full(len(data), positive, np.float32))
+                    weights.append(np.full(len(data), times * total / (2 * share[positive]) / len(data), np.float32))
+                    seen += times
+                descent.go(own, np.concatenate(codes), np.concatenate(labels), np.concatenate(weights))
+        if seen:
+            flat = np.concatenate([own.taps.ravel(), own.bias, own.out, [own.offset]]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["seen", "weights"])
+
+    # a task gives one row of some 23 kB, whatever it has seen
+    found = learned.transform(map_batches, fit, "seen long, weights binary").collect()
+    mean = np.average([np.frombuffer(r["weights"], np.float32) for r in found], axis=0, weights=[r["seen"] for r in found]).astype(np.float32)
+    a, b, c = np.cumsum([net.taps.size, net.bias.size, net.out.size])
+    return Network(mean[:a].reshape(net.taps.shape), mean[a:b], mean[b:c], float(mean[c]))
+
+
+def train_on(found: DataFrame, recall: float = 0.98) -> Network | None:
+    """A calibrated network from all findings (lead, size, stretch, base); None if a label has too few in either fold. Findings stay in their tasks."""
+    own = F.expr("substring(stretch, lead + 1, size)")
+    held = F.crc32(own) % 4 == 0
+    blank = ~held & (F.pmod(F.xxhash64("stretch", "lead", "size"), F.lit(2)) == 1)
+    # what is blanked is the same for all findings of a candidate, which are learned from as one of that weight
+    rows = found.select(held.alias("held"), "base", F.when(blank, 0).otherwise(F.col("lead")).alias("lead"), "size", F.when(blank, own).otherwise(F.col("stretch")).alias("stretch"))
+    # in an order that does not hang on which shuffled block came first
+    rows = cut_lineage(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")).sortWithinPartitions(F.xxhash64("stretch"), "stretch", "lead", "size", "base"))
+    counts = {(r["held"], r["base"]): r["n"] for r in rows.groupBy("held", "base").agg(F.sum("times").alias("n")).collect()}
+    if any(counts.get((h, x), 0) < LEAST for h in (True, False) for x in (True, False)):
+        return None
+    share = {x: counts[False, x] for x in (True, False)}
+    net = _started(np.random.default_rng(11))
+    for number in range(max(ROUNDS, min(EPOCHS, -(-SEEN // sum(share.values()))))):
+        net = _mixed(rows.where("not held"), net, number, share)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = net.best(list(zip(*(batch.column(c).to_pylist() for c in ("lead", "size", "stretch")), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column("base")], ["z", "base"])
+
+    judged = cut_lineage(rows.where("held").transform(map_batches, judge, "z double, base boolean"))
+    net.slope, net.shift = _platt_on(judged, counts[True, True], counts[True, False])
+    least = judged.where("base").orderBy("z").offset(int(np.floor(counts[True, True] * (1 - recall)))).limit(1).first()["z"]
+    net.threshold = float(net.chance(np.array([least]))[0])
+    return net
+
+
+def _platt_on(judged: DataFrame, positive: int, negative: int) -> tuple[float, float]:
+    """As ``_platt``, over a table (z, base): each of Newton's steps sums over all of it."""
+    target = F.when(F.col("base"), (positive + 1) / (positive + 2)).otherwise(1 / (negative + 2))
+    x = F.greatest(F.least("z", F.lit(20.7)), F.lit(-20.7))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-(F.lit(a) * x + F.lit(b))))
+        w = F.greatest(p * (1 - p), F.lit(1e-9))
+        gx, g, wxx, wx, ww = judged.agg(F.sum((p - target) * x), F.sum(p - target), F.sum(w * x * x), F.sum(w * x), F.sum(w)).first()
+        step = np.linalg.solve(np.array([[wxx + 1e-6, wx], [wx, ww + 1e-6]]), np.array([gx, g]))
+        a, b = max(1e-3, a - float(np.clip(step[0], -0.5, 0.5))), b - float(np.clip(step[1], -2, 2))
+        if np.abs(step).max() < 1e-6:
+            break
+    return a, b
+
+
 def _platt(x: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic line through held-out outputs, with Platt's softened targets (Newton's steps, the slope kept above 0)."""
     n = truth.sum(), (~truth).sum()
@@ -268,7 +360,7 @@ def secrets(docs: DataFrame, recall: float = 0.98, network: Network | None = Non
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row; the network is trained on the base findings if none is given."""
     scans = cut_lineage(scanned(docs))
     if network is None:
-        network = train(findings_of(scans), recall)
+        network = train_on(findings_of(scans), recall)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -237,3 +237,16 @@ def test_search_goes_on_until_bounds_are_below_the_last_value(spark):
     got = sorted(tuple(r) for r in divergence._standing_out(kept, groups, 10, first_round=1).drop("rank").collect())
     want = sorted((lang, s, item, v) for lang, s, part, item, v, _ in plain_audit(rows, 1, 10) if part == "term")
     assert got == want
+
+
+def test_network_learns_from_all_findings(spark):
+    rows = [(i, f"candidate-of-number-{i} and another-one-of-{i}", "en", "a", 0) for i in range(2000)]
+    found = secret_scan.findings_of(secret_scan.scanned(documents(spark, rows)))
+    assert found.count() == 4000  # no cut by number
+    learned = [(lead, size, stretch, positive) for lead, size, stretch, positive in labelled(4000, 1)]
+    net = secret_scan.train_on(spark.createDataFrame(learned, "lead int, size int, stretch binary, base boolean").repartition(3))
+    found = labelled(400, 2)
+    truth, chances = np.array([f[3] for f in found]), net.chances([f[:3] for f in found])
+    assert (chances[truth] >= net.threshold).mean() >= 0.95 and (chances[~truth] >= net.threshold).mean() <= 0.05
+    few = spark.createDataFrame(labelled(20, 1), "lead int, size int, stretch binary, base boolean")
+    assert secret_scan.train_on(few) is None
