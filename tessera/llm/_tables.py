@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
@@ -9,9 +10,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-#: Rows of a side that may be broadcast, once counted; a larger side is joined by shuffle.
+#: Rows of a side that may be broadcast, once counted, and the elements of their lists; a larger side is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Words of 64 bits that tell which documents may have a list.
+WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +59,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """``df``, which is read again and therefore should be cheap, marked for broadcast if it has few enough rows."""
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df
+    """``df``, which is read again and therefore should be cheap, marked for broadcast if it has few enough rows and elements of lists."""
+    lists = [F.coalesce(F.greatest(F.size(f.name), F.lit(1)), F.lit(1)) for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    weight = functools.reduce(lambda x, y: x + y, lists, F.lit(0 if lists else 1))
+    held = df.select(weight.cast("long").alias("weight")).limit(BROADCAST_ROWS + 1).agg(F.sum("weight")).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df
 
 
-def sized_lists(lists: DataFrame) -> DataFrame:
-    """Lists by document, broadcast if they are few, else hashed in memory where the shuffled texts come by."""
+def with_lists(rows: DataFrame, lists: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with lists by document: broadcast if they are few, else hashed in memory where the shuffled texts come by.
+
+    A table of bits, of bounded size whatever the lists' number, tells most rows that have no list; these are not shuffled, and with ``how``
+    "left" they stay, without one. ``lists`` are read again and therefore should be cheap.
+    """
     few = small_side(lists)
-    return few if few is not lists else lists.hint("shuffle_hash")
+    if few is not lists:
+        return rows.join(few, keys, how)
+    word, bit, bits = fresh([*rows.columns, *lists.columns], "__word", "__bit", "__bits")
+    hashed = F.xxhash64(*keys)
+    places = {word: F.pmod(hashed, F.lit(WORDS)).cast("int"), bit: F.pmod(F.shiftright(hashed, 40), F.lit(64)).cast("int")}
+    taken = lists.withColumns(places).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(bits))
+    marked = rows.withColumns(places).join(F.broadcast(taken), word, "left")
+    may = F.coalesce(F.expr(f"shiftrightunsigned({bits}, {bit}) & 1L"), F.lit(0)) == 1
+    met = marked.where(may).drop(word, bit, bits).join(lists.hint("shuffle_hash"), keys, how)
+    return met if how == "inner" else met.unionByName(marked.where(~may).drop(word, bit, bits), allowMissingColumns=True)
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from tessera.llm._groups import Sets, group_links
-from tessera.llm._tables import cut_lineage, fresh, map_batches, sized_lists
+from tessera.llm._tables import cut_lineage, fresh, map_batches, with_lists
 from tessera.llm._words import NOT_SPACE, Words, digests, mix, slices, spaced, split
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bucketed
@@ -393,7 +393,7 @@ def _compare(members: pa.StructArray, left: int | None, radius: int | None, leas
 def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """(id, fp, group, line) of the lines ``wanted`` (id, fp, group), with their normalised text."""
     lists = wanted.groupBy(_part(1, 8).alias("_id"), _part(13, 8).alias("_key")).agg(F.collect_list(F.struct("id", "fp", "group")).alias("wanted"))
-    lists = sized_lists(cut_lineage(lists))
+    lists = cut_lineage(lists)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,7 +411,7 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
             cells = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "fp", "group", "line"])
 
-    return rows.join(lists, ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string")
+    return with_lists(rows, lists, ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string")
 
 
 def _removals(rows: DataFrame, least_words: int, radius: int | None, similarity: float) -> DataFrame:
@@ -465,4 +465,4 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 1, radius: int | Non
     if report:
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = StructType().add("doc_id", LongType()).add("n_lines", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType()) if report else docs.schema
-    return keyed.join(sized_lists(gone), [own_id, own_key], "left").select(*wanted, lost).transform(map_batches, cut, schema)
+    return with_lists(keyed, gone, [own_id, own_key], "left").select(*wanted, lost).transform(map_batches, cut, schema)

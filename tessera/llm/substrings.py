@@ -3,7 +3,7 @@
 The graph's nodes are word k-mers, its edges lead to the next k-mer of a text. Of all k-mers, five times the input, only those are shuffled that are
 the minimum of some window of ``window`` words: such a k-mer and the windows that have it form one arc, told by the k-mer and
 by a hash of the words it spans, and consecutive windows of a text lead from arc to arc. Arcs whose k-mer only one document has drop out first.
-A k-mer with several arcs branches. Of the others, edges from arc to next arc are counted, in- and out-degrees are
+A k-mer with several arcs, its least and greatest hash unlike, branches. Of the others, edges from arc to next arc are counted, in- and out-degrees are
 taken from the counts, and paths on which every occurrence goes the same way are contracted to their first arc in joins that double their
 reach each round. Then each document's text is read at the source coordinates of its paths, and at every window of its branching arcs,
 and 128 bits of the words found there decide, BLAKE2b digests of whole paths and two independent hashes of windows: the smallest document with the
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import cut_lineage, map_batches, sized_lists, small_side
+from tessera.llm._tables import cut_lineage, map_batches, small_side, with_lists
 from tessera.llm._words import NOT_SPACE, Words, digests, grams, mix, slices, spaced, split, window_minimum, word_hashes
 
 _NO_ID = -(1 << 63)
@@ -105,8 +105,8 @@ def _paths(lists: DataFrame) -> DataFrame:
     # an arc leads to the one that starts where its windows end; null where the next is branching, elsewhere or none
     pairs = F.zip_with(whole, F.slice(whole, 2, F.size(whole)), lambda x, y: F.struct(x.alias("x"), F.when(y["start"] == x["start"] + x["n"], y).alias("y")))
     exploded = lists.where(F.size(whole) > 0).select("_id", "_text", F.explode(pairs).alias("p")).where("p.x is not null")
-    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.kmer"), F.col(f"{c}.a")))
-    steps = exploded.select("_id", "_text", name("p.x").alias("u"), name("p.y").alias("v"), F.col("p.x.start").alias("start"), F.col("p.x.n").alias("n"))
+    # an arc that does not branch is the only one of its k-mer
+    steps = exploded.select("_id", "_text", F.col("p.x.kmer").alias("u"), F.col("p.y.kmer").alias("v"), F.col("p.x.start").alias("start"), F.col("p.x.n").alias("n"))
     edges = cut_lineage(steps.groupBy("u", "v").agg(F.count("*").alias("c"), F.first("n").alias("n")))
     nodes = edges.groupBy("u").agg(F.sum("c").alias("times"), F.count("*").alias("ways"))
     into = edges.where("v is not null").groupBy("v").agg(F.sum("c").alias("entered"), F.count("*").alias("ways_in"))
@@ -180,21 +180,20 @@ def _marked(docs: DataFrame, window: int, k: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     found = arcs(rows, window, k)
-    classes = found.groupBy("kmer", "a").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
-    kmers = classes.groupBy("kmer").agg(F.count("*").alias("_arcs"), F.min("low").alias("_low"), F.max("high").alias("_high"))
-    repeated = classes.join(kmers.where("_low < _high"), "kmer").select("kmer", "a", (F.col("_arcs") > 1).alias("branches"))
-    lists = cut_lineage(found.join(repeated, ["kmer", "a"]).groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", "n", "kmer", "a", "branches"))).alias("arcs")))
+    kmers = found.groupBy("kmer").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), (F.min("a") < F.max("a")).alias("branches"))
+    repeated = kmers.where("low < high").select("kmer", "branches")
+    lists = cut_lineage(found.join(repeated, "kmer").groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", "n", "kmer", "branches"))).alias("arcs")))
 
     spans = F.sort_array(F.collect_list(F.struct("start", "n")))
     paths = _paths(lists).groupBy("_id", "_text").agg(spans.alias("paths"))
     open_arcs = F.transform(F.filter("arcs", lambda x: x["branches"]), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))
     wanted = cut_lineage(lists.select("_id", "_text", open_arcs.alias("open")).join(paths, ["_id", "_text"], "left"))
-    texts = rows.join(sized_lists(wanted), ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+    texts = with_lists(rows, wanted, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
     seen = _read(texts.select("_id", "_text", "text", "paths", "open"), window)
     earliest = seen.groupBy("a", "b").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").drop("last")
     earliest = small_side(cut_lineage(earliest))  # written, so that a join on a popular window may be dealt out as Spark sees fit
     lost = seen.join(earliest, ["a", "b"]).where("_id > owner").groupBy("_id", "_text").agg(spans.alias("spans"))
-    return rows.join(sized_lists(cut_lineage(lost)), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
+    return with_lists(rows, cut_lineage(lost), ["_id", "_text"], "left").select(F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:

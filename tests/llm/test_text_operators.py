@@ -463,3 +463,35 @@ def test_codewords(classes):
 
 def test_schema_of_helpers():
     assert SCHEMA.startswith("doc_id")
+
+
+def test_long_lists_are_not_broadcast(spark, monkeypatch):
+    from tessera.llm import _tables
+
+    monkeypatch.setattr(_tables, "BROADCAST_ROWS", 100)
+    lists = spark.range(10).selectExpr("id", "sequence(1, int(id) * 10) as spans", "cast(null as array<int>) as open")
+    assert _tables.small_side(lists) is lists
+    few = lists.where("id < 3")
+    assert _tables.small_side(few) is not few
+    assert _tables.small_side(lists.drop("spans", "open")) is not lists
+    none = lists.where("id < 0")
+    assert _tables.small_side(none) is not none
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_rows_without_a_list_stay(spark, monkeypatch, few):
+    from tessera.llm import _tables
+
+    monkeypatch.setattr(_tables, "BROADCAST_ROWS", few)
+    rows = spark.range(400).selectExpr("id % 200 as a", "nullif(id % 3, 2) as b", "id as __word")
+    lists = spark.range(20).selectExpr("id * 10 as a", "id % 2 as b", "array(id) as spans")
+    for how in ("left", "inner"):
+        got = _tables.with_lists(rows, lists, ["a", "b"], how)
+        assert plain(got.select("a", "b", "__word", "spans")) == plain(rows.join(lists, ["a", "b"], how).select("a", "b", "__word", "spans"))
+
+
+def test_repeats_by_shuffled_lists(spark, monkeypatch, docs):
+    from tessera.llm import _tables
+
+    monkeypatch.setattr(_tables, "BROADCAST_ROWS", 0)
+    assert plain(substrings.repeat_digests(docs, 12, 3)) == repeats(edge_documents(), 12)
