@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 #: Rows of a side that may be broadcast, once counted, and the elements of their lists; a larger side is joined by shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 #: Words of 64 bits that tell which documents may have a list.
 WORDS = 1 << 18
 
