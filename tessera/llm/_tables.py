@@ -58,21 +58,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df``, which is read again and therefore should be cheap, marked for broadcast if it has few enough rows and elements of lists."""
+def small_side(df: DataFrame, times: int = 1) -> DataFrame:
+    """``df``, which is read again and therefore should be cheap, marked for broadcast if it has few enough rows and elements of lists.
+
+    ``times``: as many more are few where they are small.
+    """
+    most = times * BROADCAST_ROWS
     lists = [F.coalesce(F.greatest(F.size(f.name), F.lit(1)), F.lit(1)) for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
     weight = functools.reduce(lambda x, y: x + y, lists, F.lit(0 if lists else 1))
-    held = df.select(weight.cast("long").alias("weight")).limit(BROADCAST_ROWS + 1).agg(F.sum("weight")).first()[0] or 0
-    return F.broadcast(df) if held <= BROADCAST_ROWS else df
+    held = df.select(weight.cast("long").alias("weight")).limit(most + 1).agg(F.sum("weight")).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
-def with_lists(rows: DataFrame, lists: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def with_lists(rows: DataFrame, lists: DataFrame, keys: list[str], how: str = "inner", times: int = 1) -> DataFrame:
     """``rows`` joined with lists by document: broadcast if they are few, else hashed in memory where the shuffled texts come by.
 
     A table of bits, of bounded size whatever the lists' number, tells most rows that have no list; these are not shuffled, and with ``how``
     "left" they stay, without one. ``lists`` are read again and therefore should be cheap.
     """
-    few = small_side(lists)
+    few = small_side(lists, times)
     if few is not lists:
         return rows.join(few, keys, how)
     word, bit, bits = fresh([*rows.columns, *lists.columns], "__word", "__bit", "__bits")

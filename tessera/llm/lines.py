@@ -397,21 +397,20 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, wants in enumerate(batch.column("wanted").to_pylist()):
-                by_line: dict[int, list[dict]] = {}
-                for w in wants:
-                    by_line.setdefault(int.from_bytes(w["id"][8:12]), []).append(w)
-                for _, _, data, bounds in slices(batch.column("text").slice(i, 1)):
-                    words, first, last, _, number = _lines(data, bounds, least_words)
-                    for f, e, k in zip(first.tolist(), last.tolist(), number.tolist(), strict=True):
-                        if k in by_line:
-                            line = words.joined(f, e).decode()
-                            out += [(w["id"], w["fp"], w["group"], line) for w in by_line[k]]
-            cells = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "fp", "group", "line"])
-
-    return with_lists(rows, lists, ["_id", "_key"]).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string")
+            for at, to, data, bounds in slices(batch.column("text")):
+                words, first, last, row, number = _lines(data, bounds, least_words)
+                lists = batch.column("wanted").slice(at, to - at)
+                wants = lists.flatten()
+                place = np.frombuffer(b"".join(wants.field("id").to_pylist()), [("doc", ">u8"), ("line", ">u4"), ("key", ">u8")])
+                own = np.repeat(np.arange(to - at), lists.value_lengths().to_numpy(zero_copy_only=False))
+                # rows and the numbers in them ascend
+                k = np.searchsorted(row << 32 | number, own << 32 | place["line"].astype(np.int64))
+                joined, start, end = spaced(words, first[k], last[k])
+                raw = joined.tobytes()
+                line = pa.array([raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(wants.field(c) for c in ("id", "fp", "group")), line], ["id", "fp", "group", "line"])
+
+    return with_lists(rows, lists, ["_id", "_key"], times=4).select("text", "wanted").transform(map_batches, read, "id binary, fp long, group long, line string")
 
 
 def _removals(rows: DataFrame, least_words: int, radius: int | None, similarity: float) -> DataFrame:
@@ -465,4 +464,4 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 1, radius: int | Non
     if report:
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = StructType().add("doc_id", LongType()).add("n_lines", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType()) if report else docs.schema
-    return with_lists(keyed, gone, [own_id, own_key], "left").select(*wanted, lost).transform(map_batches, cut, schema)
+    return with_lists(keyed, gone, [own_id, own_key], "left", times=4).select(*wanted, lost).transform(map_batches, cut, schema)

@@ -313,3 +313,13 @@ def test_pipeline_stages_on_edges(spark, sf_dir):
     for rows in (None, []):
         for _, stage in pipeline.STAGES:
             stage(spark, documents(spark, rows), sf_dir).collect()
+
+
+def test_lines_by_shuffled_lists(spark, monkeypatch):
+    from tessera.llm import _tables, lines
+
+    rows = [(i, f"the same first line of all\nline number {i % 7} of this very document here\nonly {i * i * i} this", "en", "s", 0) for i in range(40)]
+    df = documents(spark, rows, clash=True)
+    want = plain(lines.drop_repeated_lines(df, report=True)), plain(lines.drop_repeated_lines(df))
+    monkeypatch.setattr(_tables, "BROADCAST_ROWS", 0)
+    assert (plain(lines.drop_repeated_lines(df, report=True)), plain(lines.drop_repeated_lines(df))) == want
