@@ -20,6 +20,8 @@ from pyspark.sql.types import IntegerType, StructType
 from tessera.llm._tables import cut_lineage, map_batches, small_side
 
 PIVOTS = 4
+#: Members, and bytes of them, from which on groups are compared together, where they are.
+WAVE = (8192, 4 << 20)
 #: (members, None) -> two arrays of positions that link, a forest; with a number n, only of pairs of one of the first n and one of the others
 Compare = Callable[[pa.StructArray, "int | None"], "tuple[np.ndarray, np.ndarray]"]
 
@@ -58,10 +60,34 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = new
 
 
-def group_links(rows: DataFrame, compare: Compare, shard: int, shard_bytes: int = 8 << 20, sizes: DataFrame | None = None) -> DataFrame:
+def _waves(groups: Iterator[tuple[pa.StructArray, int | None]]) -> Iterator[list[tuple[pa.StructArray, int | None]]]:
+    """Groups in lists of bounded members and bytes."""
+    held, rows, size = [], 0, 0
+    for group in groups:
+        held.append(group)
+        rows, size = rows + len(group[0]), size + group[0].nbytes
+        if rows >= WAVE[0] or size >= WAVE[1]:
+            yield held
+            held, rows, size = [], 0, 0
+    if held:
+        yield held
+
+
+def _compared(compare: Compare, together: bool, groups: Iterator[tuple[pa.StructArray, int | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of each group, in their order."""
+    if together:
+        for wave in _waves(groups):
+            yield from compare(wave)
+    else:
+        for held, left in groups:
+            yield compare(held, left)
+
+
+def group_links(rows: DataFrame, compare: Compare, shard: int, shard_bytes: int = 8 << 20, sizes: DataFrame | None = None, together: bool = False) -> DataFrame:
     """(a, b): ids that link within the groups of ``rows`` (group, id, and what ``compare`` reads), forests that join what is linked.
 
     ``rows`` are read once, and twice more if there are groups of several shards. ``sizes``, if given, has a row (group, size in bytes) for each of them.
+    With ``together``, ``compare`` takes a list of groups, (members, None or a number) each, and returns the links of each.
     """
     id_type = rows.schema["id"].dataType
     fields = [c for c in rows.columns if c != "group"]
@@ -80,12 +106,18 @@ def group_links(rows: DataFrame, compare: Compare, shard: int, shard_bytes: int
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                held, pivot = batch.column("_rows")[i].values, batch.column("_pivots")[i].values
+
+            def members(i: int) -> tuple[pa.StructArray, pa.StructArray | None]:
+                return batch.column("_rows")[i].values, batch.column("_pivots")[i].values
+
+            count = sum(batch.column(c).value_lengths().fill_null(0).to_numpy() for c in ("_rows", "_pivots"))
+            several = np.flatnonzero(count > 1).tolist()
+            every = ((held if pivot is None else pa.concat_arrays([held, pivot]), None) for held, pivot in map(members, several))
+            for i, (a, b) in zip(several, _compared(compare, together, every), strict=True):
+                held, pivot = members(i)
                 n = len(held)
                 if pivot is not None:
                     held = pa.concat_arrays([held, pivot])
-                a, b = compare(held, None) if len(held) > 1 else (np.zeros(0, np.int64),) * 2
                 ids = held.field("id")
                 yield _out(ids.take(pa.array(a)), ids.take(pa.array(b)), None, None, None)
                 if pivot is not None:
@@ -114,10 +146,10 @@ def group_links(rows: DataFrame, compare: Compare, shard: int, shard_bytes: int
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                left, right = batch.column("_loose")[i].values, batch.column("_rows")[i].values
+            pairs = [(batch.column("_loose")[i].values, batch.column("_rows")[i].values) for i in range(len(batch))]
+            asked = ((pa.concat_arrays([left, right]), len(left)) for left, right in pairs)
+            for (left, right), (a, b) in zip(pairs, _compared(compare, together, asked), strict=True):
                 both = pa.concat_arrays([left, right])
-                a, b = compare(both, len(left))
                 yield pa.RecordBatch.from_arrays([both.field("id").take(pa.array(x)) for x in (a, b)], ["a", "b"])
 
     more = asked.join(packed.where("_shards > 1"), ["group", "_shard"]).select("_loose", "_rows").transform(map_batches, across, StructType().add("a", id_type).add("b", id_type))

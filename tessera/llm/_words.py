@@ -123,8 +123,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-def split(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, lower: bool = False) -> Words:
-    """Words (maximal runs of ``member`` bytes within a row) of the rows that ``bounds`` marks in ``data``."""
+def split(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
+    """Words (maximal runs of ``member`` bytes within a row) of the rows that ``bounds`` marks in ``data``; without ``hashed``, their hashes are 0."""
     if lower:
         data = LOWER[data]
     n = len(data)
@@ -141,7 +141,7 @@ def split(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, lower: bool
     if len(cuts):
         marks = np.sort(np.concatenate([marks, cuts, cuts]))
     start, end = marks[0::2], marks[1::2]
-    hashes = word_hashes(data, start, end)
+    hashes = word_hashes(data, start, end) if hashed else np.zeros(len(start), np.uint64)
     row = np.searchsorted(bounds, start, "right") - 1
     first = np.searchsorted(start, bounds, "left")
     return Words(data, start, end, hashes, row, first)

@@ -23,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from tessera.llm._edits import chunks, distances
 from tessera.llm._groups import Sets, group_links
-from tessera.llm._tables import cut_lineage, fresh, map_batches, with_lists
+from tessera.llm._tables import cut_lineage, fresh, map_batches, small_side, with_lists
 from tessera.llm._words import NOT_SPACE, Words, digests, mix, slices, spaced, split
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bucketed
@@ -43,12 +45,20 @@ ROWS, BANDS, SKETCH = 4, 16, 24
 GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 120))
 #: Longer lines hash each n-gram once, and the least hash in each of ROWS * BANDS parts stands for a permutation's minimum.
 LONG = (8, 96)
-#: More lines than this, of at most so many characters, are compared with a line together, so many at a time.
-TOGETHER = (2, 3000, 128)
+#: Fewer pairs of about a length than this are compared one by one; most lines that a line is compared with at a time.
+FEW, ASKED = 2, 128
+#: Characters from which on a bound is tried before the distance.
+LONG_PAIR = 200
+#: Distinct lines, about, of a partition in which numpy brings equal keys together.
+PART = 1 << 15
+#: Nominations that a task holds before it sends them on.
+HELD = 1 << 19
 #: Keys of lines that a task remembers, to nominate a repeated line once.
 REMEMBERED = 1 << 20
 #: One line in so many is looked at first, to find keys that very many lines share.
 SAMPLED = 64
+#: A line's place in its order.
+PLACE = [("doc", ">u8"), ("line", ">u4"), ("key", ">u8")]
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
@@ -86,7 +96,12 @@ def _taken(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     """32 bits of the n bytes from each byte on."""
-    x = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)[: len(data)]).view("<u8")[:, 0]
+    eights = -(-len(data) // 8)
+    raw = np.append(data, np.zeros(8 * eights + 8 - len(data), np.uint8))
+    x = np.empty((eights, 8), np.uint64)
+    for k in range(8):
+        x[:, k] = raw[k : k + 8 * eights].view("<u8")
+    x = x.ravel()[: len(data)]
     x &= np.uint64((1 << 8 * n) - 1)
     x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -126,23 +141,26 @@ def _blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tu
             continue
         part, first, last = _taken(data, start[own], end[own])
         minima = (_part_minima if low == LONG[1] else _minima)(_gram_hashes(part, n), first, last - n + 1)
-        prints, keys = np.zeros(len(own), np.uint64), np.zeros((len(own), BANDS), np.uint64)
-        for k in range(len(_SEEDS)):
-            least = mix(minima[:, k].astype(np.uint64) + np.uint64(k << 32))
-            if k < 64:
-                prints |= (least >> np.uint64(63)) << np.uint64(k)
-            keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least)
+        least = mix(minima + (np.arange(len(_SEEDS), dtype=np.uint64) << np.uint64(32)))
+        prints = np.packbits((least[:, :64] >> np.uint64(63)).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+        keys = np.zeros((len(own), BANDS), np.uint64)
+        for row in range(ROWS):
+            keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + least[:, row::ROWS])
         yield own, prints, mix(keys + np.arange(BANDS, dtype=np.uint64) + np.uint64(n << 16))
 
 
-def nominations(rows: DataFrame, least_words: int) -> DataFrame:
-    """(_key, id, fp): each block of each line of ``rows``, with the line's name and fingerprint."""
+def nominations(rows: DataFrame, least_words: int, parts: int, popular: Broadcast) -> DataFrame:
+    """(part, popular, keys, ids, fps): the blocks of each line of ``rows``, with the line's name and fingerprint, many in a row: 64 bits of each in its bytes.
+
+    Equal keys are in one of ``parts`` parts, but those of the ``popular`` ones, sorted keys, which are dealt by line.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, count = [], 0
         for batch in batches:
             for _, _, data, bounds in slices(batch.column("text")):
-                words, first, last, _, _ = _lines(data, bounds, least_words)
+                words, first, last, _, _ = _lines(data, bounds, least_words, False)
                 joined, start, end = spaced(words, first, last)
                 names, _ = digests(joined, start, end)
                 own = []
@@ -154,35 +172,60 @@ def nominations(rows: DataFrame, least_words: int) -> DataFrame:
                     seen.clear()
                 own = np.array(own, np.int64)
                 for at, prints, keys in _blocks(joined, start[own], end[own]):
-                    out = [keys.ravel().view(np.int64), np.repeat(names[own[at]], BANDS), np.repeat(prints.view(np.int64), BANDS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["_key", "id", "fp"])
-
-    return rows.where(F.col("_id") != _NO_ID).select("text").transform(map_batches, scan, "_key long, id long, fp long")
-
-
-def _units(rows: DataFrame, least_words: int) -> DataFrame:
+                    held.append((keys.ravel(), np.repeat(names[own[at]], BANDS), np.repeat(prints, BANDS)))
+                    count += keys.size
+                if count > HELD:
+                    yield _packed(held, parts, popular.value)
+                    held, count = [], 0
+        if held:
+            yield _packed(held, parts, popular.value)
+
+    return rows.where(F.col("_id") != _NO_ID).select("text").transform(map_batches, scan, "part int, popular boolean, keys binary, ids binary, fps binary")
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], parts: int, popular: np.ndarray) -> pa.RecordBatch:
+    """A row for each part, and one more if it has popular keys."""
+    keys, ids, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+    common = np.zeros(len(keys), bool)
+    if len(popular):
+        common = popular[np.minimum(np.searchsorted(popular, keys), len(popular) - 1)] == keys
+    part = (np.where(common, mix(ids.view(np.uint64)), keys) % np.uint64(parts)).astype(np.int64) << 1 | common
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 15 else part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    offsets = pa.py_buffer((np.append(start, len(part)) * 8).astype(np.int32).tobytes())
+    cells = [pa.Array.from_buffers(pa.binary(), len(start), [None, offsets, pa.py_buffer(x[order].tobytes())]) for x in (keys, ids, prints)]
+    return pa.RecordBatch.from_arrays([pa.array((part[start] >> 1).astype(np.int32)), pa.array((part[start] & 1).astype(bool)), *cells], ["part", "popular", "keys", "ids", "fps"])
+
+
+def _units(rows: DataFrame, least_words: int, parts: int, popular: DataFrame) -> DataFrame:
     """(id, group): groups of lines, by name, that nominate each other.
 
     Lines whose fingerprints are near in a bucket form a group, called after the smallest, so that the buckets of alike lines call it alike. A key that a
-    sample shows to have very many lines is a group as it is, so that no task ever holds its lines.
+    sample shows to have very many lines is in ``popular`` and a group as it is, so that no task ever holds its lines.
     """
-    some = F.filter(F.split("text", "\n", -1), lambda line: F.pmod(F.xxhash64(line), F.lit(SAMPLED)) == 0)
-    sample = nominations(rows.select("_id", F.explode(some).alias("text")), least_words)
-    popular = sample.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SHARD // SAMPLED).select("_key", F.lit(True).alias("_popular"))
-    met = nominations(rows, least_words).join(F.broadcast(cut_lineage(popular)), "_key", "left")  # at most a few in 100,000 of all keys
-    runs = met.where("_popular is null").select("_key", "id", "fp").repartition("_key").sortWithinPartitions("_key", "id")
+    common = np.array([row[0] for row in popular.collect()], np.int64).view(np.uint64)  # at most a few in 100,000 of all keys
+    met = nominations(rows, least_words, parts, rows.sparkSession.sparkContext.broadcast(np.sort(common)))
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = []
         for batch in batches:
-            held = [np.append(x, batch.column(c).to_numpy()) for x, c in zip(held, ("_key", "id", "fp"), strict=True)]
-            ready = np.searchsorted(held[0], held[0][-1:])[0] if len(held[0]) else 0  # the last key may go on in the next batch
-            yield _buckets(*(x[:ready] for x in held))
-            held = [x[ready:] for x in held]
-        yield _buckets(*held)
-
-    formed = runs.transform(map_batches, form, "id long, group long")
-    return formed.union(met.where("_popular").select("id", "_key")).distinct()
+            for popular, *cells in zip(*(batch.column(c).to_pylist() for c in ("popular", "keys", "ids", "fps")), strict=True):
+                keys, ids, prints = (np.frombuffer(x, np.int64) for x in cells)
+                if popular:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], ["id", "group"])
+                else:
+                    held.append((keys, ids, prints))
+        if held:
+            keys, ids, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(keys)
+            same = keys[order[1:]] == keys[order[:-1]]
+            order = order[np.append(same, False) | np.append(False, same)]  # most keys are those of one line
+            order = order[np.lexsort((ids[order], keys[order]))]
+            yield _buckets(keys[order], ids[order], prints[order])
+
+    return met.repartitionById(parts, "part").drop("part").transform(map_batches, form, "id long, group long").distinct()
 
 
 def _buckets(key: np.ndarray, line: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -205,9 +248,9 @@ def _buckets(key: np.ndarray, line: np.ndarray, fp: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, names)], ["id", "group"])
 
 
-def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int, hashed: bool = True) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and of each line of enough words: first word, word after the last, row, line number in its row."""
-    words = split(data, bounds, NOT_SPACE, lower=True)
+    words = split(data, bounds, NOT_SPACE, lower=True, hashed=hashed)
     breaks = np.flatnonzero(data == 0x0A)
     before = np.searchsorted(breaks, words.start)
     number = before - np.searchsorted(breaks, bounds)[words.row]
@@ -221,26 +264,73 @@ def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[Word
 
 
 def occurrences(rows: DataFrame, least_words: int, prints: bool) -> DataFrame:
-    """(a, b, id, size, fp): digest of each line, its place as bytes in order (document, line, text's hash), its bytes, and its SimHash if asked for."""
+    """(a, b, id, size, n, keys, fp) of each line: digest, place as bytes in order (document, line, text's hash), and bytes; n is the number of equal lines for
+    the first of a stretch of rows and 0 for the rest; the keys of its blocks for a sample of first lines; and its SimHash if asked for."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_key"))
+            parts, sample, count = [], [], 0
             for at, _, data, bounds in slices(batch.column("text")):
-                words, first, last, row, number = _lines(data, bounds, least_words)
+                words, first, last, row, number = _lines(data, bounds, least_words, prints)
                 joined, start, end = spaced(words, first, last)
                 a, b = digests(joined, start, end)
-                doc = ids[at + row]
-                place = np.zeros(len(row), [("doc", ">u8"), ("line", ">u4"), ("key", ">u8")])
-                place["doc"], place["line"], place["key"] = doc.view(np.uint64) ^ _SIGN, number, keys[at + row].view(np.uint64) ^ _SIGN
-                raw = pa.Array.from_buffers(pa.binary(20), len(place), [None, pa.py_buffer(place.tobytes())]).cast(pa.binary())
-                out = [pa.array(a), pa.array(b), raw, pa.array((end - start).astype(np.int32))] + ([pa.array(_simhashes(words, first, last).view(np.int64))] if prints else [])
-                yield pa.RecordBatch.from_arrays(out, ["a", "b", "id", "size", "fp"][: len(out)])
-
-    schema = "a long, b long, id binary, size int" + (", fp long" if prints else "")
+                place = np.zeros(len(row), PLACE)
+                place["doc"], place["line"], place["key"] = ids[at + row].view(np.uint64) ^ _SIGN, number, keys[at + row].view(np.uint64) ^ _SIGN
+                order, begin = _firsts(a, b, place)
+                n = np.zeros(len(row), np.int32)
+                n[order[begin]] = np.diff(np.append(begin, len(row)))
+                parts.append((a, b, place, (end - start).astype(np.int32), n, _simhashes(words, first, last).view(np.int64) if prints else n))
+                if not prints:
+                    some = np.flatnonzero((n > 0) & (a % SAMPLED == 0))
+                    sample += [(count + i, joined[start[i] : end[i]]) for i in some.tolist()]
+                count += len(a)
+            if not parts:
+                continue
+            a, b, place, size, n, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found: list[list[int] | None] = [None] * count
+            if sample:
+                ends = np.cumsum([len(x) for _, x in sample])
+                for own, _, blocks in _blocks(np.concatenate([x for _, x in sample]), np.append(0, ends[:-1]), ends):
+                    for i, k in zip(own.tolist(), blocks.view(np.int64).tolist(), strict=True):
+                        found[sample[i][0]] = (found[sample[i][0]] or []) + k
+            out = [pa.array(a), pa.array(b), _binary(place), pa.array(size), pa.array(n), pa.array(found, pa.list_(pa.int64())), *[pa.array(fps)] * prints]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "id", "size", "n", "keys", "fp"][: len(out)])
+
+    schema = "a long, b long, id binary, size int, n int, keys array<long>" + (", fp long" if prints else "")
     return rows.where(F.col("_id") != _NO_ID).select("_id", "_key", "text").transform(map_batches, scan, schema)
 
 
+def _binary(place: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(20), len(place), [None, pa.py_buffer(place.astype(PLACE).tobytes())]).cast(pa.binary())
+
+
+def _firsts(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by digest and place, and where in it each digest begins."""
+    order = np.lexsort((place["key"], place["line"], place["doc"], b, a))
+    a, b = a[order], b[order]
+    return order, np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+
+
+def _classes(found: DataFrame, parts: int, prints: bool) -> DataFrame:
+    """(a, b, own, size, n, fp): of each digest the smallest place and the number of its lines."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(map(len, held)):
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        a, b, n = (table.column(c).to_numpy() for c in ("a", "b", "n"))
+        place = np.frombuffer(b"".join(table.column("id").to_pylist()), PLACE)
+        order, begin = _firsts(a, b, place)
+        own = table.take(pa.array(order[begin])).rename_columns({"id": "own"})
+        own = own.set_column(own.column_names.index("n"), "n", pa.array(np.add.reduceat(n[order].astype(np.int64), begin)))
+        yield from own.to_batches(1 << 14)
+
+    columns = ["a", "b", "id", "size", "n", *["fp"] * prints]
+    return found.where("n > 0").select(columns).repartition(parts, "a").transform(map_batches, gather, "a long, b long, own binary, size int, n long" + ", fp long" * prints)
+
+
 def _part(at: int, size: int) -> Column:
     """A number out of ``id``."""
     number = F.conv(F.hex(F.substring("id", at, size)), 16, 10).cast("decimal(20,0)")
@@ -296,9 +386,11 @@ def _bound(a: str, b: str, allowed: int) -> int:
 def similar(a: str, b: str, least: float) -> bool:
     """Whether 1 - Levenshtein(a, b) / max length is ``least`` or more, exactly."""
     allowed = int(max(len(a), len(b)) * (1 - least) + 1e-9)
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    a, b = _trimmed(a, b)
+    return abs(len(a) - len(b)) <= allowed and _within(*_trimmed(a, b), allowed)
+
+
+def _within(a: str, b: str, allowed: int) -> bool:
+    """Whether their Levenshtein distance is at most ``allowed``."""
     if len(a) > allowed < len(b) and _bound(a, b, allowed) <= allowed:
         return True
     if len(a) > len(b):
@@ -323,52 +415,54 @@ def similar(a: str, b: str, least: float) -> bool:
     return distance <= allowed
 
 
-def _distances(a: str, others: list[str]) -> np.ndarray:
-    """Levenshtein distance of ``a`` from each of ``others``, whose Myers columns stand one behind the other in one number, a bit apart."""
-    ends = np.cumsum([len(x) + 1 for x in others])
-    starts = np.append(0, ends[:-1])
-    chars = np.frombuffer("\0".join([*others, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    chars[ends - 1] = -1
-
-    def number(bits: np.ndarray) -> int:
-        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
-
-    places = {c: number(chars == ord(c)) for c in set(a)}
-    full = number(chars >= 0)
-    low = np.zeros(len(chars), bool)
-    low[starts] = True
-    ones = number(low & (chars >= 0))
-    plus, minus = full, 0
-    for c in a:
-        equal = places[c]
-        across = (((equal & plus) + plus) ^ plus) | equal
-        up, down = minus | (full ^ (full & (across | plus))), plus & across
-        up, down = (up << 1 & full) | ones, down << 1 & full
-        step = equal | minus
-        plus, minus = down | (full ^ (full & (step | up))), up & step
-    size = (len(chars) + 7) // 8
-    raised, lowered = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=len(chars), bitorder="little").astype(np.int64) for x in (plus, minus))
-    return len(a) + np.add.reduceat(raised - lowered, starts)
+def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
+    """``similar`` of each pair; those of about a length are worked out together."""
+    out, left = np.zeros(len(pairs), bool), []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        allowed = int(len(b) * (1 - least) + 1e-9)
+        if len(b) - len(a) <= allowed:
+            a, b = _trimmed(a, b)  # both lose as much, so b is still the longer one
+            if len(b) <= allowed:
+                out[k] = True
+            elif len(a) >= LONG_PAIR and _bound(a, b, allowed) <= allowed:
+                out[k] = True
+            elif a:
+                left.append((k, a, b, allowed))
+    for own in chunks(np.array([len(x[2]) for x in left], np.int64)):
+        some = [left[k] for k in own.tolist()]
+        if len(some) < FEW:
+            for k, *pair in some:
+                out[k] = _within(*pair)
+        else:
+            at, a, b, allowed = zip(*some, strict=True)
+            out[list(at)] = distances(list(a), list(b)) <= np.array(allowed)
+    return out
 
 
 def _trigrams(lines: list[str]) -> np.ndarray:
     """Counts of each line's character trigrams in 1024 bins; an edit changes at most three trigrams to others."""
-    out = np.zeros((len(lines), 1024), np.int32)
-    for i, line in enumerate(lines):
-        x = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    out = np.zeros((len(lines), 1024), np.int16 if sizes.max(initial=0) < 1 << 15 else np.int32)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(lines):  # a part of the lines at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), "right")))
+        x = np.frombuffer("".join(lines[at:to]).encode("utf-32-le"), np.uint32).astype(np.uint64)
         if len(x) > 2:
-            out[i] = np.bincount((mix(x[:-2] | x[1:-1] << np.uint64(21) | x[2:] << np.uint64(42)) >> np.uint64(54)).astype(np.int64), minlength=1024)
+            line = np.repeat(np.arange(to - at), sizes[at:to])
+            bins = (mix(x[:-2] | x[1:-1] << np.uint64(21) | x[2:] << np.uint64(42)) >> np.uint64(54)).astype(np.int64)
+            whole = line[:-2] == line[2:]
+            out[at:to] = np.bincount((line[:-2] << 10 | bins)[whole], minlength=(to - at) << 10).reshape(-1, 1024)
+        at = to
     return out
 
 
-def _compare(members: pa.StructArray, left: int | None, radius: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of lines that link; see ``group_links``."""
-    lines = members.field("line").to_pylist()
-    fps = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-    counts, sizes = (_trigrams(lines), np.array([len(x) for x in lines])) if radius is None else (None, None)
-    sets = Sets(len(lines))
-    for i in range(len(lines) if left is None else left):
-        near = sets.apart(i, np.arange(i + 1 if left is None else left, len(lines)))
+def _asking(fps: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None, left: int | None, radius: int | None, least: float):
+    """Yields (i, positions) to be told which of the positions' lines are similar to line i; returns the positions of lines that link."""
+    sets = Sets(len(sizes))
+    for i in range(len(sizes) if left is None else left):
+        near = sets.apart(i, np.arange(i + 1 if left is None else left, len(sizes)))
         if radius is not None:
             near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
         else:  # all that lengths and trigrams do not rule out
@@ -376,20 +470,40 @@ def _compare(members: pa.StructArray, left: int | None, radius: int | None, leas
             fit = np.abs(sizes[near] - sizes[i]) <= allowed
             near, allowed = near[fit], allowed[fit]
             near = near[np.abs(counts[near] - counts[i]).sum(1) <= 6 * allowed]
-        if radius is None and sizes[i] <= TOGETHER[1]:
-            many = near[sizes[near] <= TOGETHER[1]]
-            while len(many) > TOGETHER[0]:  # the more there are, the less a line costs
-                now, many = many[: TOGETHER[2]], many[TOGETHER[2] :]
-                far = _distances(lines[i], [lines[j] for j in now.tolist()])
-                for j in now[far <= (np.maximum(sizes[now], sizes[i]) * (1 - least) + 1e-9).astype(np.int64)].tolist():
-                    sets.join(i, j)
-                near, many = np.setdiff1d(near, now), sets.apart(i, many)
-        for j in near.tolist():
-            if sets.label[i] != sets.label[j] and (lines[i] == lines[j] or similar(lines[i], lines[j], least)):
+        while len(near):
+            now, near = near[:ASKED], near[ASKED:]
+            for j in now[(yield i, now)].tolist():
                 sets.join(i, j)
+            near = sets.apart(i, near)
     return sets.pairs()
 
 
+def _compare(groups: list[tuple[pa.StructArray, int | None]], radius: int | None, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions of lines that link in each group; see ``group_links``. What all groups ask for is compared together, round by round."""
+    lines = [members.field("line").to_pylist() for members, _ in groups]
+    counts = _trigrams([x for own in lines for x in own]) if radius is None else None
+    out, asks, at = [None] * len(groups), {}, 0
+
+    def go_on(k: int, asking, told: np.ndarray | None) -> None:
+        try:
+            asks[k] = asking, *asking.send(told)
+        except StopIteration as end:
+            out[k] = end.value
+
+    for k, (members, left) in enumerate(groups):
+        fps = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        own = counts[at : at + len(members)] if radius is None else None
+        at += len(members)
+        go_on(k, _asking(fps, np.array([len(x) for x in lines[k]]), own, left, radius, least), None)
+    while asks:
+        now, asks = asks, {}
+        told, to = similar_pairs([(lines[k][i], lines[k][j]) for k, (_, i, near) in now.items() for j in near.tolist()], least), 0
+        for k, (asking, _, near) in now.items():
+            go_on(k, asking, told[to : to + len(near)])
+            to += len(near)
+    return out
+
+
 def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """(id, fp, group, line) of the lines ``wanted`` (id, fp, group), with their normalised text."""
     lists = wanted.groupBy(_part(1, 8).alias("_id"), _part(13, 8).alias("_key")).agg(F.collect_list(F.struct("id", "fp", "group")).alias("wanted"))
@@ -398,10 +512,10 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, bounds in slices(batch.column("text")):
-                words, first, last, row, number = _lines(data, bounds, least_words)
+                words, first, last, row, number = _lines(data, bounds, least_words, False)
                 lists = batch.column("wanted").slice(at, to - at)
                 wants = lists.flatten()
-                place = np.frombuffer(b"".join(wants.field("id").to_pylist()), [("doc", ">u8"), ("line", ">u4"), ("key", ">u8")])
+                place = np.frombuffer(b"".join(wants.field("id").to_pylist()), PLACE)
                 own = np.repeat(np.arange(to - at), lists.value_lengths().to_numpy(zero_copy_only=False))
                 # rows and the numbers in them ascend
                 k = np.searchsorted(row << 32 | number, own << 32 | place["line"].astype(np.int64))
@@ -416,19 +530,22 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
 def _removals(rows: DataFrame, least_words: int, radius: int | None, similarity: float) -> DataFrame:
     """(_id, _key, _gone): numbers of the lines that each document loses."""
     found = cut_lineage(occurrences(rows, least_words, radius is not None))
-    print_of = [F.first("fp").alias("fp")] if radius is not None else []
-    classes = cut_lineage(found.groupBy("a", "b").agg(F.min("id").alias("own"), F.count("*").alias("n"), F.first("size").alias("size"), *print_of))
+    parts = min(-(-found.where("n > 0").count() // PART) or 1, 1 << 16)
+    classes = cut_lineage(_classes(found, parts, radius is not None))
     if radius is None:
-        groups = _units(rows, least_words).withColumnRenamed("id", "a")
-        wanted = classes.select("a", "size", F.lit(0).cast("long").alias("fp"), F.col("own").alias("id")).join(groups, "a").drop("a")
+        sample = found.where("keys is not null").select("a", F.explode("keys").alias("_key")).distinct()
+        popular = sample.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SHARD // SAMPLED).select("_key")
+        groups = _units(rows, least_words, parts, popular).withColumnRenamed("id", "a")
+        wanted = classes.select("a", "size", F.lit(0).cast("long").alias("fp"), F.col("own").alias("id")).join(groups.hint("shuffle_hash"), "a").drop("a")
     else:
         wanted = bucketed(classes.select("fp", F.col("own").alias("id")), radius, classes.count(), bucket=512).join(classes.select(F.col("own").alias("id"), "size"), "id")
     wanted = cut_lineage(wanted)
     lines = _candidate_texts(rows, wanted, least_words)
-    links = group_links(lines, lambda members, left: _compare(members, left, radius, similarity), SHARD, sizes=wanted.select("group", "size"))
+    links = group_links(lines, lambda groups: _compare(groups, radius, similarity), SHARD, sizes=wanted.select("group", "size"), together=True)
     kept = connected_components(links)
-    keep = classes.join(kept, F.col("own") == F.col("node"), "left").where("n > 1 or component is not null").select("a", "b", F.coalesce("component", "own").alias("keep"))
-    gone = found.join(keep, ["a", "b"]).where("id <> keep")
+    # of a digest all go but the first, and that goes too where its component has a smaller one
+    repeated = small_side(classes.where("n > 1").select("a", "b", "own"))
+    gone = found.select("a", "b", "id").join(repeated, ["a", "b"]).where("id <> own").select("id").union(kept.where("node <> component").select("node"))
     return gone.groupBy(_part(1, 8).alias("_id"), _part(13, 8).alias("_key")).agg(F.collect_set(_part(9, 4)).alias("_gone"))
 
 

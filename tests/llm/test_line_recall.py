@@ -3,7 +3,7 @@
 import random
 
 from tests.llm.helpers import documents
-from tests.llm.test_group_operators import Groups
+from tests.llm.test_group_operators import Groups, levenshtein
 from tessera.llm import lines
 
 PROSE = "market river window paper season bridge winter engine garden island silver letter forest number doctor castle summer yellow planet bottle".split()
@@ -53,3 +53,44 @@ def test_short_repeats_go(spark, tmp_path):
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op7_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (5, 0), 2: (7, 5)}
+
+
+def test_pairs_are_compared_together_exactly(monkeypatch):
+    from tessera.llm import _edits
+
+    r, pairs = random.Random(5), []
+    for n in (1, 7, 8, 30, 63, 64, 65, 200) * 25:
+        a = [r.choice("abcdé 語\U0001f600") for _ in range(max(1, n + r.randint(-2, 2)))]
+        b = list(a)
+        for _ in range(r.randint(0, n // 3 + 1)):
+            i = r.randrange(len(b))
+            b[i : i + r.randint(0, 1)] = r.choice(["", "x", "é"])
+            b = b or ["y"]
+        pairs.append(("".join(a), "".join(b)))
+    for table in (_edits.TABLE, 1 << 12):
+        monkeypatch.setattr(_edits, "TABLE", table)
+        assert lines.similar_pairs(pairs, 0.8).tolist() == [levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) for a, b in pairs]
+        short = [sorted(p, key=len) for p in pairs]
+        assert _edits.distances(*map(list, zip(*short, strict=True))).tolist() == [levenshtein(a, b) for a, b in pairs]
+
+
+def test_nominations_are_sent_in_few_rows(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, " ".join(PROSE[(i * k) % 20] + str(i) for k in range(1, 9))) for i in range(500)], "_id long, text string").coalesce(1)
+    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    got = lines.nominations(rows, 1, 4, none).collect()
+    assert len(got) <= 4 and sum(len(r.keys) for r in got) == 8 * 500 * lines.BANDS
+    for r in got:
+        assert not r.popular and set(np.frombuffer(r.keys, np.uint64) % np.uint64(4)) == {r.part} and len(r.keys) == len(r.ids) == len(r.fps)
+    first = np.sort(np.frombuffer(got[0].keys, np.uint64)[:16])
+    common = [r for r in lines.nominations(rows, 1, 4, spark.sparkContext.broadcast(first)).collect() if r.popular]
+    assert set(np.concatenate([np.frombuffer(r.keys, np.uint64) for r in common]).tolist()) == set(first.tolist())
+
+
+def test_keys_of_very_many_lines_change_nothing(spark, monkeypatch):
+    rows = [(i, f"this one sentence stands nearly unchanged in every document\n{' '.join(PROSE[(i * k) % 19] for k in range(1, 12))} {i % 50}\nsentence {i} of {i % 9} kinds", "en", "s", 0) for i in range(400)]
+    df = documents(spark, rows)
+    want = {tuple(r) for r in lines.drop_repeated_lines(df, report=True).collect()}
+    monkeypatch.setattr(lines, "SHARD", 7)  # every key of the sample has more lines than are few
+    assert {tuple(r) for r in lines.drop_repeated_lines(df, report=True).collect()} == want
