@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import os
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -32,8 +36,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch) as well as by rows, so long texts do not add up."""
-    return df.mapInArrow(function, schema)
+    """mapInArrow. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch) as well as by rows, so long texts do not add up.
+
+    Python workers outlive their tasks; what a task no longer needs goes back to the system, so that it is not held beside the next stages.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    """Free memory of this process returns to the system, as far as its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:

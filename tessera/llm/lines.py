@@ -52,7 +52,7 @@ LONG_PAIR = 200
 #: Distinct lines, about, of a partition in which numpy brings equal keys together.
 PART = 1 << 15
 #: Nominations that a task holds before it sends them on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Keys of lines that a task remembers, to nominate a repeated line once.
 REMEMBERED = 1 << 20
 #: One line in so many is looked at first, to find keys that very many lines share.

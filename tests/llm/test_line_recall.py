@@ -94,3 +94,26 @@ def test_keys_of_very_many_lines_change_nothing(spark, monkeypatch):
     want = {tuple(r) for r in lines.drop_repeated_lines(df, report=True).collect()}
     monkeypatch.setattr(lines, "SHARD", 7)  # every key of the sample has more lines than are few
     assert {tuple(r) for r in lines.drop_repeated_lines(df, report=True).collect()} == want
+
+
+def test_workers_give_memory_back(spark):
+    import pyarrow as pa
+
+    from tessera.llm import _tables
+
+    def resident():
+        return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmRSS")) // 1024
+
+    def work(batches):
+        list(batches)
+        before = resident()
+        held = [[str(i * k) * 40 for k in range(40)] for i in range(5000)]
+        most, last = resident(), held[-1]
+        del held  # the last text pins what the allocator has not given back
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (before, most, len(last))], ["before", "most", "n"])
+
+    one = spark.range(1).coalesce(1)
+    first = _tables.map_batches(one, work, "before long, most long, n long").first()
+    again = _tables.map_batches(one, work, "before long, most long, n long").first()
+    assert first.most > first.before + 40
+    assert again.before < first.before + 40
