@@ -21,7 +21,7 @@ from tessera.llm._tables import cut_lineage, map_batches, small_side
 
 PIVOTS = 4
 #: Members, and bytes of them, from which on groups are compared together, where they are.
-WAVE = (8192, 4 << 20)
+WAVE = (32768, 16 << 20)
 #: (members, None) -> two arrays of positions that link, a forest; with a number n, only of pairs of one of the first n and one of the others
 Compare = Callable[[pa.StructArray, "int | None"], "tuple[np.ndarray, np.ndarray]"]
 

@@ -126,10 +126,10 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 def split(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
     """Words (maximal runs of ``member`` bytes within a row) of the rows that ``bounds`` marks in ``data``; without ``hashed``, their hashes are 0."""
     if lower:
-        data = LOWER[data]
+        data = np.frombuffer(data.tobytes().translate(LOWER.tobytes()), np.uint8)
     n = len(data)
     inside = np.zeros(n + 1, bool)
-    inside[:n] = member[data]
+    inside[:n] = np.frombuffer(data.tobytes().translate(member.tobytes()), bool)
     edge = np.empty(n + 1, bool)
     edge[0] = inside[0]
     np.not_equal(inside[1:], inside[:-1], out=edge[1:])

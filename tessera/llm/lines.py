@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from tessera.llm._edits import chunks, distances
+from tessera.llm._edits import batches, within
 from tessera.llm._groups import Sets, group_links
 from tessera.llm._tables import cut_lineage, fresh, map_batches, small_side, with_lists
 from tessera.llm._words import NOT_SPACE, Words, digests, mix, slices, spaced, split
@@ -45,10 +45,8 @@ ROWS, BANDS, SKETCH = 4, 16, 24
 GRAMS = ((2, 2, 18), (3, 14, 48), (5, 38, 120))
 #: Longer lines hash each n-gram once, and the least hash in each of ROWS * BANDS parts stands for a permutation's minimum.
 LONG = (8, 96)
-#: Fewer pairs of about a length than this are compared one by one; most lines that a line is compared with at a time.
-FEW, ASKED = 2, 128
-#: Characters from which on a bound is tried before the distance.
-LONG_PAIR = 200
+#: Most lines that a line is compared with at a time.
+ASKED = 128
 #: Distinct lines, about, of a partition in which numpy brings equal keys together.
 PART = 1 << 15
 #: Nominations that a task holds before it sends them on.
@@ -117,11 +115,14 @@ def _minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def _part_minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """As ``_minima``, from one permutation whose values are dealt into parts; an empty part takes what another, fixed by its number, has."""
-    parts, n = len(_SEEDS), end - start
+    parts, n = len(_SEEDS), end - start  # a power of 2
     line = np.repeat(np.arange(len(n)), n)
-    own = hashes[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)]
+    inside = np.zeros(len(hashes) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    own = hashes[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     out = np.full(len(n) * parts, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(out, line * parts + (own >> np.uint32(8)) % np.uint32(parts), own * np.uint32(0x9E3779B1))
+    np.minimum.at(out, line * parts + (own >> np.uint32(8) & np.uint32(parts - 1)), own * np.uint32(0x9E3779B1))
     out = out.reshape(-1, parts)
     given, empty = out.copy(), out == 0xFFFFFFFF
     for turn in range(1, 400):
@@ -139,7 +140,11 @@ def _blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tu
         own = np.flatnonzero((end - start >= max(n, low)) & (end - start <= high))
         if not len(own):
             continue
-        part, first, last = _taken(data, start[own], end[own])
+        first, last = start[own], end[own]
+        if 2 * (last - first).sum() > len(data) and (first[1:] >= last[:-1]).all():
+            part = data  # nearly all of it, in order
+        else:
+            part, first, last = _taken(data, first, last)
         minima = (_part_minima if low == LONG[1] else _minima)(_gram_hashes(part, n), first, last - n + 1)
         least = mix(minima + (np.arange(len(_SEEDS), dtype=np.uint64) << np.uint64(32)))
         prints = np.packbits((least[:, :64] >> np.uint64(63)).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
@@ -161,7 +166,7 @@ def nominations(rows: DataFrame, least_words: int, parts: int, popular: Broadcas
         for batch in batches:
             for _, _, data, bounds in slices(batch.column("text")):
                 words, first, last, _, _ = _lines(data, bounds, least_words, False)
-                joined, start, end = spaced(words, first, last)
+                joined, start, end = _spaced(words, first, last)
                 names, _ = digests(joined, start, end)
                 own = []
                 for i, name in enumerate(names.tolist()):
@@ -248,6 +253,18 @@ def _buckets(key: np.ndarray, line: np.ndarray, fp: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, names)], ["id", "group"])
 
 
+def without_parts(groups: DataFrame) -> DataFrame:
+    """``groups`` (id, group) without those whose lines are all in one other group too, where each two of them meet anyway.
+
+    A group is called after its smallest line, so one that has that line and another name is called after a smaller one, or has a key for its name.
+    """
+    groups = cut_lineage(groups)
+    wider = groups.where("id <> group").select(F.col("id").alias("group"), F.col("group").alias("_wider"))
+    there = groups.select("id", F.col("group").alias("_wider"), F.lit(1).alias("_there"))
+    held = groups.join(wider, "group").join(there, ["id", "_wider"], "left").groupBy("group", "_wider").agg((F.count("*") == F.count("_there")).alias("_part"))
+    return groups.join(held.where("_part").select("group").distinct(), "group", "left_anti").select("id", "group")
+
+
 def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int, hashed: bool = True) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and of each line of enough words: first word, word after the last, row, line number in its row."""
     words = split(data, bounds, NOT_SPACE, lower=True, hashed=hashed)
@@ -263,6 +280,21 @@ def _lines(data: np.ndarray, bounds: np.ndarray, least_words: int, hashed: bool
     return words, first, last, words.row[first], number[first]
 
 
+def _spaced(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and where in them each run of words starts and ends, one space between words; those that stand like that in the text are not copied."""
+    between = np.zeros(len(words.start), np.int64)
+    between[1:] = (words.start[1:] - words.end[:-1] != 1) | (words.data[words.start[1:] - 1] != 0x20)
+    between = np.cumsum(between)
+    start, end = words.start[first], words.end[last - 1]
+    other = np.flatnonzero(between[last - 1] != between[first])
+    if not len(other):
+        return words.data, start, end
+    joined, start[other], end[other] = spaced(words, first[other], last[other])
+    start[other] += len(words.data)
+    end[other] += len(words.data)
+    return np.concatenate([words.data, joined]), start, end
+
+
 def occurrences(rows: DataFrame, least_words: int, prints: bool) -> DataFrame:
     """(a, b, id, size, n, keys, fp) of each line: digest, place as bytes in order (document, line, text's hash), and bytes; n is the number of equal lines for
     the first of a stretch of rows and 0 for the rest; the keys of its blocks for a sample of first lines; and its SimHash if asked for."""
@@ -273,7 +305,7 @@ def occurrences(rows: DataFrame, least_words: int, prints: bool) -> DataFrame:
             parts, sample, count = [], [], 0
             for at, _, data, bounds in slices(batch.column("text")):
                 words, first, last, row, number = _lines(data, bounds, least_words, prints)
-                joined, start, end = spaced(words, first, last)
+                joined, start, end = _spaced(words, first, last)
                 a, b = digests(joined, start, end)
                 place = np.zeros(len(row), PLACE)
                 place["doc"], place["line"], place["key"] = ids[at + row].view(np.uint64) ^ _SIGN, number, keys[at + row].view(np.uint64) ^ _SIGN
@@ -416,7 +448,7 @@ def _within(a: str, b: str, allowed: int) -> bool:
 
 
 def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
-    """``similar`` of each pair; those of about a length are worked out together."""
+    """``similar`` of each pair; those with bands of about a width are worked out together."""
     out, left = np.zeros(len(pairs), bool), []
     for k, (a, b) in enumerate(pairs):
         if len(a) > len(b):
@@ -426,18 +458,12 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
             a, b = _trimmed(a, b)  # both lose as much, so b is still the longer one
             if len(b) <= allowed:
                 out[k] = True
-            elif len(a) >= LONG_PAIR and _bound(a, b, allowed) <= allowed:
-                out[k] = True
             elif a:
                 left.append((k, a, b, allowed))
-    for own in chunks(np.array([len(x[2]) for x in left], np.int64)):
-        some = [left[k] for k in own.tolist()]
-        if len(some) < FEW:
-            for k, *pair in some:
-                out[k] = _within(*pair)
-        else:
-            at, a, b, allowed = zip(*some, strict=True)
-            out[list(at)] = distances(list(a), list(b)) <= np.array(allowed)
+    rows, columns, allowed = (np.array(x, np.int64) for x in ([len(x[1]) for x in left], [len(x[2]) for x in left], [x[3] for x in left]))
+    for own in batches(rows, columns, allowed):
+        at, a, b, _ = zip(*(left[k] for k in own.tolist()), strict=True)
+        out[list(at)] = within(list(a), list(b), allowed[own])
     return out
 
 
@@ -461,8 +487,10 @@ def _trigrams(lines: list[str]) -> np.ndarray:
 def _asking(fps: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None, left: int | None, radius: int | None, least: float):
     """Yields (i, positions) to be told which of the positions' lines are similar to line i; returns the positions of lines that link."""
     sets = Sets(len(sizes))
-    for i in range(len(sizes) if left is None else left):
+    for i in range(len(sizes) - 1 if left is None else left):
         near = sets.apart(i, np.arange(i + 1 if left is None else left, len(sizes)))
+        if not len(near):
+            continue
         if radius is not None:
             near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
         else:  # all that lengths and trigrams do not rule out
@@ -519,7 +547,7 @@ def _candidate_texts(rows: DataFrame, wanted: DataFrame, least_words: int) -> Da
                 own = np.repeat(np.arange(to - at), lists.value_lengths().to_numpy(zero_copy_only=False))
                 # rows and the numbers in them ascend
                 k = np.searchsorted(row << 32 | number, own << 32 | place["line"].astype(np.int64))
-                joined, start, end = spaced(words, first[k], last[k])
+                joined, start, end = _spaced(words, first[k], last[k])
                 raw = joined.tobytes()
                 line = pa.array([raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(wants.field(c) for c in ("id", "fp", "group")), line], ["id", "fp", "group", "line"])
@@ -535,7 +563,7 @@ def _removals(rows: DataFrame, least_words: int, radius: int | None, similarity:
     if radius is None:
         sample = found.where("keys is not null").select("a", F.explode("keys").alias("_key")).distinct()
         popular = sample.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SHARD // SAMPLED).select("_key")
-        groups = _units(rows, least_words, parts, popular).withColumnRenamed("id", "a")
+        groups = without_parts(_units(rows, least_words, parts, popular)).withColumnRenamed("id", "a")
         wanted = classes.select("a", "size", F.lit(0).cast("long").alias("fp"), F.col("own").alias("id")).join(groups.hint("shuffle_hash"), "a").drop("a")
     else:
         wanted = bucketed(classes.select("fp", F.col("own").alias("id")), radius, classes.count(), bucket=512).join(classes.select(F.col("own").alias("id"), "size"), "id")

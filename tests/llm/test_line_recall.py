@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tests.llm.helpers import documents
 from tests.llm.test_group_operators import Groups, levenshtein
 from tessera.llm import lines
@@ -117,3 +119,51 @@ def test_workers_give_memory_back(spark):
     again = _tables.map_batches(one, work, "before long, most long, n long").first()
     assert first.most > first.before + 40
     assert again.before < first.before + 40
+
+
+def test_bands_decide_exactly(monkeypatch):
+    from tessera.llm import _edits
+
+    r, pairs = random.Random(9), []
+    for n in (1, 7, 31, 63, 64, 65, 130, 300) * 20:
+        a = [r.choice("abcdé 語\U0001f600") for _ in range(max(1, n + r.randint(-2, 2)))]
+        b = list(a)
+        for _ in range(r.randint(0, n // 3 + 1)):
+            i = r.randrange(len(b))
+            b[i : i + r.randint(0, 1)] = r.choice(["", "x", "éa"])
+            b = b or ["y"]
+        a, b = sorted(("".join(a), "".join(b)), key=len)
+        pairs.append((a, b, max(len(b) - len(a), r.choice([0, 1, len(b) // 5, len(b) // 2, len(b)]))))
+    a, b, allowed = (list(x) for x in zip(*pairs, strict=True))
+    want = [levenshtein(x, y) <= k for x, y, k in pairs]
+    rows, columns, allowed = np.array([len(x) for x in a]), np.array([len(x) for x in b]), np.array(allowed)
+    for lanes, table in ((_edits.LANES, _edits.TABLE), (16, 1 << 12)):
+        monkeypatch.setattr(_edits, "LANES", lanes)
+        monkeypatch.setattr(_edits, "TABLE", table)
+        got = np.zeros(len(pairs), bool)
+        for own in _edits.batches(rows, columns, allowed):
+            got[own] = _edits.within([a[k] for k in own], [b[k] for k in own], allowed[own])
+        assert got.tolist() == want
+
+
+def test_groups_held_by_another_go(spark):
+    rows = [(1, 1), (2, 1), (3, 1), (2, 2), (3, 2), (3, 3), (4, 3), (5, 5), (6, 5), (5, 99), (6, 99), (7, 99)]
+    groups = spark.createDataFrame(rows, "id long, group long")
+    # 2 and 5 have all their lines in 1 and 99; 3 has one of its own
+    assert {tuple(r) for r in lines.without_parts(groups).collect()} == {r for r in rows if r[1] in (1, 3, 99)}
+
+
+def test_lines_with_single_spaces_are_read_where_they_stand():
+    import pyarrow as pa
+
+    from tessera.llm._words import spaced
+
+    texts = ["one two three\nfour  five\n six seven", "", "A\tb c\n\n plain words here ", "x" * 120 + " y\n" + "z w " * 40]
+    for some in (texts, ["all of it plain", "and this\ntoo"]):
+        for _, _, data, bounds in lines.slices(pa.array(some)):
+            words, first, last, _, _ = lines._lines(data, bounds, 1, False)
+            found = [[x[s:e].tobytes() for s, e in zip(start, end, strict=True)] for x, start, end in (lines._spaced(words, first, last), spaced(words, first, last))]
+            assert found[0] == found[1]
+            blocks = [[tuple(map(np.ndarray.tobytes, x)) for x in lines._blocks(*how(words, first, last))] for how in (lines._spaced, spaced)]
+            assert blocks[0] == blocks[1]
+    assert lines._spaced(words, first, last)[0] is words.data
